@@ -16,7 +16,7 @@ from cohortgauge.functions.maths import log1p_exp, logit, ratio, sigmoid
 from cohortgauge.operators.metrics import expected_calibration_error, nll, observed
 from cohortgauge.operators.ordering import score_curve
 from cohortgauge.operators.regression import fit_logistic
-from cohortgauge.session import small_side
+from cohortgauge.session import materialise, small_side
 
 POOLED = "__pooled__"
 BOUNDS = (0.01, 100.0)
@@ -226,30 +226,43 @@ def select_threshold(df: DataFrame, keys: list[str], score: str = "score", truth
 
 
 def calibrate(validation: DataFrame, *, arm: str = "global", target: float = 0.90, rule: str = "fixed_sensitivity",
-              min_positives: int = 25, min_negatives: int = 25) -> tuple[DataFrame, DataFrame]:
+              min_positives: int = 25, min_negatives: int = 25, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fit temperatures and thresholds for every site, fold and label together.
 
     Returns ``(temperatures, thresholds)``. Thresholds come from the combined
     calibrated validation rows under either arm, so the arms differ in calibration
-    only. Both tables are stored before use: nothing downstream can refit them.
+    only. Validation rows are read several times and therefore stored first, as are
+    both tables: nothing downstream can refit them. A group that cannot be fitted
+    raises, or with ``strict=False`` keeps a row without values.
     """
     if arm not in ("global", "view"):
         raise CalibrationError(f"unknown calibration arm: {arm!r}")
+    validation = materialise(
+        validation.select(*FIT_KEYS, "view", "score", "truth")
+    )
     fits = view_temperatures(fit_temperatures(validation), FIT_KEYS, min_positives, min_negatives)
     if arm == "global":
         fits = fits.where(F.col("view") == POOLED)
     temperatures = small_side(fits)
+    if strict:
+        require_fitted(temperatures, arm)
     scored = apply_temperatures(validation, temperatures, FIT_KEYS, arm)
     thresholds = select_threshold(scored, FIT_KEYS, "calibrated", "truth", target, rule)
-    return temperatures, small_side(thresholds)
+    # A group without a usable calibration still has its row.
+    every = temperatures.where(F.col("view") == POOLED).select(*FIT_KEYS)
+    return temperatures, small_side(every.join(thresholds, FIT_KEYS, "left"))
 
 
 def decide(test: DataFrame, temperatures: DataFrame, thresholds: DataFrame, arm: str = "global") -> DataFrame:
-    """Add ``calibrated`` and ``predicted``; a row without a score gets neither."""
+    """Add ``calibrated`` and ``predicted``.
+
+    A row without a score is predicted negative; where the threshold itself is missing
+    the prediction stays NULL, and the row stays in the table.
+    """
     scored = apply_temperatures(test, temperatures, FIT_KEYS, arm)
-    return scored.join(thresholds.select(*FIT_KEYS, "threshold"), FIT_KEYS).withColumn(
-        "predicted", F.coalesce((F.col("calibrated") >= F.col("threshold")).cast("double"), F.lit(0.0))
-    ).drop("threshold")
+    joined = scored.join(thresholds.select(*FIT_KEYS, "threshold"), FIT_KEYS, "left")
+    above = F.coalesce((F.col("calibrated") >= F.col("threshold")).cast("double"), F.lit(0.0))
+    return joined.withColumn("predicted", F.when(F.col("threshold").isNotNull(), above)).drop("threshold")
 
 
 def fold_parameters(temperatures: DataFrame, thresholds: DataFrame, views: list[str], arm: str) -> DataFrame:

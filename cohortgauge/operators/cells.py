@@ -173,12 +173,8 @@ def cell_balance(cohort: DataFrame, labels: list[str], n_folds: int, strata: tup
     )
     folds = [str(k) for k in range(n_folds)]
     wide = long.groupBy("site", "label", "view", "stratum", "level").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n_positive"))), F.lit(0)).alias(k)
-            for k in map(int, folds)
-        ]
+        *[F.expr(f"coalesce(sum(n_positive) FILTER (WHERE fold = {k}), 0) AS `{k}`") for k in folds]
     )
-    wide = wide.toDF("site", "label", "view", "stratum", "level", *folds)
     cols = [F.col(f"`{k}`") for k in folds]
     total = sum(cols[1:], cols[0])
     spread = F.round(ratio(F.greatest(*cols) - F.least(*cols), total) * len(folds), 3)

@@ -17,6 +17,7 @@ from cohortgauge.config import StudyConfig, load_config
 from cohortgauge.functions.keys import hash_unit_sql
 from cohortgauge.operators.cohort import age_group_column, label_and_classify, retained_cohort
 from cohortgauge.operators.splits import assign_folds, fold_roles
+from cohortgauge.session import materialise
 
 # Share of positives per label before the effects of view and age.
 PREVALENCE = {
@@ -153,8 +154,11 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Validation and test scores per outer fold, for the training sites."""
     cfg = study()
     people = grouped(spark, sf_dir).where(F.col("site").isin(cfg.training_sites))
-    role = roles(spark, sf_dir).where("role <> 'train'").select(
-        "site", "patient_id", F.col("outer_fold").alias("fold"), "role"
+    # Roles are an artifact of the study: stored once, read for validation and test.
+    role = materialise(
+        roles(spark, sf_dir).where("role <> 'train'").select(
+            "site", "patient_id", F.col("outer_fold").alias("fold"), "role"
+        )
     )
     keep = ["site", "patient_id", "view", "sex", "age", "age_group", "fold", "role"]
     long = _long(people.join(role, ["site", "patient_id"]), keep, cfg.analysis_labels)
