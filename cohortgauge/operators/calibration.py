@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgauge.functions.maths import log1p_exp, logit, ratio, sigmoid
-from cohortgauge.operators.metrics import expected_calibration_error, nll, observed
+from cohortgauge.operators.metrics import NLL_EPS, observed, score_bin
 from cohortgauge.operators.ordering import score_curve
 from cohortgauge.operators.regression import fit_logistic
 from cohortgauge.session import materialise, small_side
@@ -113,7 +113,7 @@ def fit_temperatures(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or FIT_KEYS
     rows = observed(df).select(*keys, "view", logit("score").alias("_z"), F.col("truth").alias("_y"))
-    cells = rows.groupBy(*keys, "view", F.round(F.col("_z") / CELL).alias("_cell")).agg(
+    cells = rows.groupBy(*keys, "view", F.floor(F.col("_z") / CELL).alias("_cell")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("events"), F.avg("_z").alias("z")
     )
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
@@ -313,26 +313,44 @@ def calibration_slope(df: DataFrame, keys: list[str], score: str = "score", trut
 def calibration_report(decisions: DataFrame, keys: list[str], views: list[str], bins: int = 10,
                        slopes: bool = True) -> DataFrame:
     """ECE, Brier, NLL and slope before and after, and ECE within each view."""
-    seen = observed(decisions).withColumn("n_scored", F.lit(1))
+    seen = observed(decisions)
     y = F.col("truth")
 
-    def squared(score):
-        return F.avg(F.pow(F.col(score) - y, F.lit(2.0)))
-
-    report = seen.groupBy(*keys).agg(
-        squared("score").alias("brier_raw"), nll(F.col("score"), y).alias("nll_raw"),
-        squared("calibrated").alias("brier_calibrated"), nll(F.col("calibrated"), y).alias("nll_calibrated"),
+    def log_loss(score):
+        p = F.least(F.greatest(F.col(score), F.lit(NLL_EPS)), F.lit(1.0 - NLL_EPS))
+        return F.sum(-(y * F.ln(p) + (1.0 - y) * F.ln(1.0 - p)))
+
+    # One scan: every measure below is a sum over (view, raw bin, calibrated bin) cells.
+    cube = small_side(
+        seen.groupBy(
+            *keys, "view", score_bin(F.col("score"), bins).alias("bin_raw"),
+            score_bin(F.col("calibrated"), bins).alias("bin_calibrated"),
+        ).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("truth").alias("t"), F.sum("score").alias("s_raw"),
+            F.sum("calibrated").alias("s_calibrated"),
+            F.sum(F.pow(F.col("score") - y, F.lit(2.0))).alias("b_raw"),
+            F.sum(F.pow(F.col("calibrated") - y, F.lit(2.0))).alias("b_calibrated"),
+            log_loss("score").alias("l_raw"), log_loss("calibrated").alias("l_calibrated"),
+        )
     )
-    parts = [
-        expected_calibration_error(seen, keys, "score", bins=bins, name="ece_raw"),
-        expected_calibration_error(seen, keys, "calibrated", bins=bins, name="ece_calibrated"),
-    ]
-    by_view = expected_calibration_error(seen.where("view is not null"), [*keys, "view"], "calibrated", bins=bins)
-    parts.append(
-        by_view.groupBy(*keys).agg(
-            *[F.max(F.when(F.col("view") == v, F.col("ece"))).alias(f"ece_{v}") for v in views]
+    report = cube.groupBy(*keys).agg(
+        *[
+            ratio(F.sum(f"{short}_{kind}"), F.sum("n")).alias(f"{name}_{kind}")
+            for kind in ("raw", "calibrated") for short, name in (("b", "brier"), ("l", "nll"))
+        ]
+    )
+
+    def ece(kind: str, by: list[str], name: str) -> DataFrame:
+        per_bin = cube.groupBy(*by, f"bin_{kind}").agg(
+            F.sum("n").alias("n"), F.abs(F.sum("t") - F.sum(f"s_{kind}")).alias("gap")
         )
+        inside = F.sum(F.when(F.col(f"bin_{kind}").isNotNull(), F.col("gap")))
+        return per_bin.groupBy(*by).agg(F.coalesce(ratio(inside, F.sum("n")), F.lit(0.0)).alias(name))
+
+    by_view = ece("calibrated", [*keys, "view"], "ece").groupBy(*keys).agg(
+        *[F.max(F.when(F.col("view") == v, F.col("ece"))).alias(f"ece_{v}") for v in views]
     )
+    parts = [ece("raw", keys, "ece_raw"), ece("calibrated", keys, "ece_calibrated"), by_view]
     if slopes:
         for score, suffix in (("score", "raw"), ("calibrated", "calibrated")):
             parts.append(

@@ -76,11 +76,15 @@ def fit_logistic(df: DataFrame, keys: list[str], features: dict[str, Column], ta
     names = [f"_x{i}" for i in range(len(features))]
     betas = ["_b"] + [f"_b{i}" for i in range(len(names))]
     rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in zip(names, features.values(), strict=True)], target.cast("double").alias("_y"))
-    for name in [*names, "_y"]:
-        rows = rows.where(F.col(name).isNotNull())
-    cells = rows.groupBy(*keys, *[F.round(F.col(n) / resolution).alias(f"_cell{i}") for i, n in enumerate(names)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_events"), *[F.avg(n).alias(n) for n in names]
-    )
+    # Incomplete rows drop out inside the sums: a filter here would make Catalyst
+    # evaluate the feature expressions once more below the projection.
+    complete = F.col("_y")
+    for name in names:
+        complete = F.when(F.col(name).isNotNull(), complete)
+    rows = rows.withColumn("_y", complete)
+    cells = rows.groupBy(*keys, *[F.floor(F.col(n) / resolution).alias(f"_cell{i}") for i, n in enumerate(names)]).agg(
+        F.count("_y").alias("_n"), F.sum("_y").alias("_events"), *[F.avg(n).alias(n) for n in names]
+    ).where("_n > 0")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     solved = cells.select(*keys, "_n", "_events", *names).groupBy(*keys).applyInPandas(
         _cell_solver(keys, names), f"{key_schema}, {', '.join(f'{b} double' for b in betas)}"
@@ -90,14 +94,14 @@ def fit_logistic(df: DataFrame, keys: list[str], features: dict[str, Column], ta
     # Score and information at the start, summed over the full rows.
     design = [F.lit(1.0), *[F.col(n) for n in names]]
     k = len(design)
-    p = sigmoid(_dot(names, betas))
+    p = F.when(F.col("_y").isNotNull(), sigmoid(_dot(names, betas)))
     joined = rows.join(start, keys).withColumn("_p", p)
     sums = [F.sum(design[i] * (F.col("_y") - F.col("_p"))).alias(f"_g{i}") for i in range(k)]
     sums += [
         F.sum(design[i] * design[j] * F.col("_p") * (1.0 - F.col("_p"))).alias(f"_h{i}_{j}")
         for i in range(k) for j in range(i, k)
     ]
-    totals = joined.groupBy(*keys, *betas).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    totals = joined.groupBy(*keys, *betas).agg(F.count("_y").alias("_n"), *sums)
     return totals.groupBy(*keys).applyInPandas(
         _polisher(keys, terms, betas), f"{key_schema}, term string, coefficient double, std_error double, n long"
     )

@@ -17,7 +17,7 @@ from cohortgauge.config import StudyConfig, load_config
 from cohortgauge.functions.keys import hash_unit_sql
 from cohortgauge.operators.cohort import age_group_column, label_and_classify, retained_cohort
 from cohortgauge.operators.splits import assign_folds, fold_roles
-from cohortgauge.session import materialise
+from cohortgauge.session import materialise, spread
 
 # Share of positives per label before the effects of view and age.
 PREVALENCE = {
@@ -55,14 +55,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their region. Dimension joins are left to Catalyst, which sees their file sizes."""
+    """Orders with their region.
+
+    Left-deep on purpose: every right side is a base table whose file size Catalyst
+    knows, so the orders stay the streamed side and small dimensions are broadcast.
+    """
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    people = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    return orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    )
 
 
 VIEW = """CASE o_orderstatus WHEN 'F' THEN 'AP' WHEN 'O' THEN 'PA'
@@ -258,7 +264,8 @@ def flagged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as a badly assembled cohort: every contract finds something."""
     u = {n: hash_unit_sql(f"'{n}'", "l_orderkey", "l_partkey") for n in ("Cardiomegaly", "Edema", "No Finding")}
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"]
+    return spread(table(spark, sf_dir, "lineitem").select(*used)).selectExpr(
         """CASE WHEN l_quantity = 50 THEN cast(null as string) WHEN l_orderkey % 100 = 7 THEN '  '
            ELSE cast(l_orderkey as string) END AS patient_id""",
         """CASE WHEN l_linenumber = 1 THEN concat('S', l_suppkey)

@@ -64,3 +64,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """
     stored = materialise(df)
     return F.broadcast(stored) if stored.count() <= limit else stored
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan that fills fewer tasks than there are cores over all of them.
+
+    Such a table is at most one file split per core, so the shuffle is small; a table
+    with enough splits is returned as it is and never shuffled here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
