@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgauge.functions.keys import canonical_image_key
+from cohortgauge.functions.keys import canonical_image_key, hash_hex, hex_to_long
 from cohortgauge.functions.maths import logit
 from cohortgauge.operators import (
     bootstrap,
@@ -19,6 +20,7 @@ from cohortgauge.operators import (
     multiplicity,
     power,
     regression,
+    scorer,
     splits,
 )
 from cohortgauge.operators.fingerprint import fingerprint
@@ -804,3 +806,21 @@ def key_collisions(spark, sf):
     return union_all(
         [imagecache.key_collisions(images, "image_id", depth=k).withColumn("depth", F.lit(k)) for k in (1, 2, 3)]
     )
+
+
+# ----------------------------------------------------------------------- scoring
+
+
+@query
+def train_predict(spark, sf):
+    """One fold trained and scored on the embedding vectors."""
+    vectors = pop.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("patient_id"), F.col("vec_id").cast("string").alias("image_id"),
+        array_to_vector("embedding").alias("features"), (F.col("label") % 2).cast("double").alias("odd"),
+        (F.col("label") < 3).cast("double").alias("low"),
+    )
+    fold = F.pmod(hex_to_long(F.substring(hash_hex(pop.study().seed, "patient_id"), 1, 8)), F.lit(5))
+    config = scorer.TrainConfig(labels=["odd", "low"], max_epochs=2)
+    held = vectors.where(fold == 0)
+    models, _ = scorer.train_fold(vectors.where(fold > 1), vectors.where(fold == 1), config)
+    return scorer.predict(models, held)
