@@ -96,6 +96,8 @@ def bootstrap(cells: DataFrame, *, reference: dict[str, float] | None = None, re
 
     def draw(block: pd.DataFrame) -> pd.DataFrame:
         head = [block[k].iloc[0] for k in (*CELL_KEYS, "scope")]
+        # The order cells arrive in must not matter to the draw.
+        block = block.sort_values(["side", "view"])
         rng = np.random.default_rng(group_seed(seed, *head))
         raw, std = resample(
             block["side"].to_numpy(), block["view"].to_numpy(), block["n_positive"].to_numpy(),

@@ -418,6 +418,34 @@ def slope_chain(steps: int = 14) -> str:
     return ",\n".join([*parts, f"slopes AS (SELECT * FROM s_{steps})"])
 
 
+def coupling_chain(steps: int = 12) -> str:
+    """Intercept, age and sex by three-parameter Newton steps with Cramer's rule."""
+    p = "(1 / (1 + exp(-(b0 + b1 * x + b2 * m))))"
+    terms = ["1", "x", "m"]
+    sums = [f"sum({t} * (y - {p})) AS g{i}" for i, t in enumerate(terms)]
+    sums += [
+        f"sum({terms[i]} * {terms[j]} * {p} * (1 - {p})) AS h{i}{j}" for i in range(3) for j in range(i, 3)
+    ]
+    # Cofactors of the symmetric information matrix.
+    cofactors = """h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+  h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22"""
+    det = "(h00 * c00 + h01 * c01 + h02 * c02)"
+    parts = [
+        """crows AS MATERIALIZED (SELECT site, age / 10 AS x, (sex = 'Male')::INT AS m, (view = 'AP')::INT AS y FROM cohort)""",
+        "c_0 AS (SELECT DISTINCT site, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM crows)",
+    ]
+    for k in range(1, steps + 1):
+        parts.append(
+            f"""c_{k} AS MATERIALIZED (
+  SELECT site, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / {det} AS b0, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / {det} AS b1,
+         b2 + (c02 * g0 + c12 * g1 + c22 * g2) / {det} AS b2, sqrt(c11 / {det}) AS s1, sqrt(c22 / {det}) AS s2
+  FROM (SELECT *, {cofactors} FROM (
+    SELECT site, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {", ".join(sums)}
+    FROM crows JOIN c_{k - 1} USING (site) GROUP BY site)))"""
+        )
+    return ",\n".join(parts)
+
+
 def ece_of(score: str, keys: str, name: str, source: str = "seen") -> str:
     return f"""{name} AS (
   SELECT {keys}, sum(n * abs(t - s)) / sum(n) AS ece FROM (
@@ -936,6 +964,13 @@ adj AS (SELECT *, least(1.0, min(m / rn * p) OVER (PARTITION BY site ORDER BY rn
         f"SELECT site, label, stratum, {r6('p')} AS p_value, {r6('a')} AS p_adjusted, a < 0.05 AS reject FROM adj",
     )
 
+    terms = [
+        f"""SELECT site, '{name}' AS term, {r6(f"exp({b})")} AS odds_ratio, {r6(f"exp({b} - {Z95} * {se})")} AS ci_low,
+  {r6(f"exp({b} + {Z95} * {se})")} AS ci_high, {r6(two_sided(f"({b} / {se})"))} AS p_value FROM c_12"""
+        for name, b, se in (("age_decade", "b1", "s1"), ("C(sex)[T.Male]", "b2", "s2"))
+    ]
+    sql["coupling_logit"] = with_(f"{COHORT}, {coupling_chain()}", " UNION ALL ".join(terms))
+
     # ---- power
     critical = critical_value(0.05)
     z = "(0.12::DOUBLE / sqrt(0.21::DOUBLE / n_a + 0.2436::DOUBLE / n_b))"
