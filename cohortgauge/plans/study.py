@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.config import StudyConfig
+from cohortgauge.config import StudyConfig, freeze_config
 from cohortgauge.operators import calibration, cells, cohort, contracts, power, regression, splits
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.plans.analysis import Analysis, analyse, corrected_interactions
+from cohortgauge.plans.report import render_analysis_plan
 from cohortgauge.session import small_side
-from cohortgauge.sources.tables import read_manifest, write_csv, write_parquet
+from cohortgauge.sources.sites import load_site_metadata
+from cohortgauge.sources.tables import read_manifest, write_csv, write_parquet, write_text
 
 
 class Study:
@@ -28,13 +30,35 @@ class Study:
         return f"{self.root}/{self.cfg.paths[key]}/{self.cfg.artifact_name(artifact, ext=ext, **parts)}"
 
     # ---- 1. cohorts
+    def manifest(self, site: str) -> DataFrame:
+        return read_manifest(self.spark, f"{self.root}/{self.cfg.paths['manifests']}/{site}_manifest.txt")
+
+    def metadata(self, site: str) -> str:
+        return f"{self.root}/{self.cfg.paths['metadata']}/{site}"
+
+    def verify_manifests(self) -> DataFrame:
+        """Reconcile every site's held names with its metadata; raises on a failed check."""
+        frames = []
+        for site in self.cfg.site_names:
+            spec = self.cfg.sites[site]
+            table = cohort.verify_manifest(
+                load_site_metadata(site, self.cfg, self.metadata(site), self.spark), self.manifest(site),
+                int(spec.get("image_key_depth", 1)), spec.get("image_key_pattern"), None,
+                float(self.cfg.cohort.get("min_manifest_match_rate", 0.95)),
+            )
+            frames.append(table.withColumn("site", F.lit(site)))
+        report = small_side(union_all(frames))
+        failed = report.where("not ok").collect()
+        if failed:
+            raise cohort.CohortBuildError(f"manifest checks failed: {[(r['site'], r['check'], r['note']) for r in failed]}")
+        return report
+
     def build_cohorts(self, check: bool = True) -> dict[str, contracts.ContractReport]:
         """Build, store and validate every configured site."""
         cfg, reports = self.cfg, {}
         for site in cfg.site_names:
-            names = read_manifest(self.spark, f"{self.root}/{cfg.paths['manifests']}/{site}_manifest.txt")
             built = cohort.build_cohort(
-                site, cfg, f"{self.root}/{cfg.paths['metadata']}/{site}", self.spark, image_manifest=names
+                site, cfg, self.metadata(site), self.spark, image_manifest=self.manifest(site)
             )
             write_parquet(built.cohort, self.path("cohorts", "cohort", site=site))
             write_parquet(built.audit, self.path("cohorts", "audit", site=site))
@@ -52,8 +76,11 @@ class Study:
         return union_all(frames).withColumn("age_group", cohort.age_group_column(self.cfg.primary_age_threshold))
 
     # ---- 2. power gate
-    def power_gate(self) -> tuple[DataFrame, DataFrame]:
-        """Evaluated cells and label tiers, stored beside coupling and tier sensitivity."""
+    def power_gate(self, frozen_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Evaluated cells and label tiers, stored with coupling, tier sensitivity and the plan.
+
+        A study without a primary label has no plan to freeze; the tables say why.
+        """
         cfg, gate = self.cfg, self.cfg.analysis["power"]
         people = self.cohorts()
         counts = small_side(cells.contrast_counts(people, cfg.analysis_labels, cfg.contrasts))
@@ -82,7 +109,14 @@ class Study:
         write_csv(table, self.path("analysis", "cell_power", "csv"))
         write_csv(tiers, self.path("analysis", "label_tiers", "csv"))
         write_csv(sensitivity, self.path("analysis", "tier_sensitivity", "csv"))
-        write_csv(regression.acquisition_coupling(people), self.path("analysis", "acquisition_coupling", "csv"))
+        coupling = small_side(regression.acquisition_coupling(people))
+        write_csv(coupling, self.path("analysis", "acquisition_coupling", "csv"))
+        frozen = freeze_config(cfg, frozen_dir).name if (cfg.path and frozen_dir) else None
+        text = render_analysis_plan(
+            cfg, tiers, coupling, cells.cohort_summary(people), sensitivity=sensitivity, frozen_config=frozen
+        ) if not tiers.where("tier = 'primary'").isEmpty() else None
+        if text:
+            write_text(self.spark, self.path("analysis", "analysis_plan", "md"), text)
         return table, tiers
 
     # ---- 3. folds

@@ -106,6 +106,20 @@ def write_csv(df: DataFrame, path) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(str(path))
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system behind ``path``, and the path as it knows it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small document, on whatever storage the path names."""
+    fs, target = filesystem(spark, path)
+    stream = fs.create(target, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
 def markdown_table(df: DataFrame, columns: list[str] | None = None, digits: int = 4, limit: int = 500) -> str:
     """A small result table as markdown; larger ones belong in a file."""
     shown = [c for c in (columns or df.columns) if c in df.columns]

@@ -9,14 +9,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from test_cohort import write_anchored, write_paths, write_tokens
 
+from cohortgauge.config import from_mapping
 from cohortgauge.operators import scorer
 from cohortgauge.operators.fingerprint import fingerprint
 from cohortgauge.operators.scorer import TrainConfig, TrainError
+from cohortgauge.plans import population
 from cohortgauge.plans.report import PlanError, render_analysis_plan
 from cohortgauge.plans.study import Study
 from cohortgauge.sources import imagecache as ic
 from cohortgauge.sources.imagecache import CacheError
-from cohortgauge.sources.tables import markdown_table, scan_union
+from cohortgauge.sources.tables import markdown_table, scan_union, write_parquet
 
 SIZE = 8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -171,7 +173,36 @@ def test_study_builds_and_stores_every_site(spark, site_config, tmp_path):
     study = Study(spark, site_config, str(tmp_path))
     with pytest.warns(UserWarning, match="Mystery"):
         reports = study.build_cohorts()
+        checked = study.verify_manifests()
+    assert checked.where("check = 'held_matched' AND value = '100.0%'").count() == 3
     assert all(r.ok for r in reports.values())
     people = study.cohorts()
     assert people.count() == 6 and people.where("`Pleural Effusion` = 1").count() == 1
     assert set(r["age_group"] for r in people.collect()) == {"<65", ">=65"}
+
+
+def test_study_runs_from_cohorts_to_corrected_results(spark, raw_config, tmp_path):
+    """Every later stage over a population read from the order tables."""
+    gate = raw_config["analysis"]["power"]
+    gate.update(simulation_replicates=500, meaningful_effect=0.9)
+    cfg = from_mapping(raw_config)
+    study = Study(spark, cfg, str(tmp_path))
+    people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
+    for site in cfg.site_names:
+        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+    table, tiers = study.power_gate()
+    assert table.count() == 160 and tiers.where("tier = 'primary'").count() == 7
+    plan = spark.read.text(study.path("analysis", "analysis_plan", "md"), wholetext=True).first()["value"]
+    assert cfg.config_hash in plan and "| age_decade |" in plan
+    folded = study.assign_folds()
+    assert folded.where("fold IS NULL").isEmpty() and folded.count() == people.count()
+    validation, test = population.fold_scores(spark, "/root/testdata/sf0.01")
+    made = study.decide(validation, test)
+    assert made.count() == test.count() and made.where("predicted IS NULL").isEmpty()
+    sensitivity = made.where("truth = 1").agg(F.avg("predicted")).first()[0]
+    assert 0.86 < sensitivity < 0.94
+    result = study.analyse(made, tiers, replicates=200)
+    assert result.gaps.count() == 2 * 8 * 2 * 3 and result.standardised.count() == 2 * 8 * 2
+    corrected = spark.read.option("header", True).csv(study.path("analysis", "corrected", "csv"))
+    assert corrected.where("p_adjusted < p_value").isEmpty()
+    assert result.replication().count() == 16 and result.sensitivity([0.01, 0.05]).count() == 32
