@@ -31,7 +31,7 @@ SITES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 @cache
 def study() -> StudyConfig:
-    return load_config(Path(__file__).resolve().parents[2] / "config" / "study.yaml")
+    return load_config(Path(__file__).resolve().parents[1] / "data" / "study.yaml")
 
 
 # Schemas of the tables read, so no scan starts by reading footers.

@@ -129,6 +129,8 @@ class Study:
         )
         write_parquet(folded.select("patient_id", "site", "fold"), self.path("splits", "folds"))
         stored = people.join(self.spark.read.parquet(self.path("splits", "folds")), ["site", "patient_id"], "left")
+        if not stored.where("fold IS NULL").isEmpty():
+            raise splits.SplitError("some patients have no fold")
         splits.require_one_fold(stored)
         splits.check_allocation(
             splits.validation_plan(

@@ -30,7 +30,7 @@ def spark():
 
 @pytest.fixture()
 def raw_config():
-    return yaml.safe_load((ROOT / "config" / "study.yaml").read_text())
+    return yaml.safe_load((ROOT / "cohortgauge" / "data" / "study.yaml").read_text())
 
 
 @pytest.fixture()
