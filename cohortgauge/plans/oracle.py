@@ -287,7 +287,6 @@ def tiers(name: str, source: str) -> str:
       FROM {source} g WHERE site IN ('AMERICA', 'EUROPE') GROUP BY label)))"""
 
 
-UNTIDY_U = {n: unit(f"'{n}'", "l_orderkey", "l_partkey") for n in ("Cardiomegaly", "Edema", "No Finding")}
 UNTIDY = f"""
 untidy AS (
   SELECT CASE WHEN l_quantity = 50 THEN NULL WHEN l_orderkey % 100 = 7 THEN '  ' ELSE l_orderkey::VARCHAR END AS patient_id,
@@ -299,10 +298,11 @@ untidy AS (
       ELSE CASE WHEN l_linenumber = 5 THEN 'Unknown' ELSE 'Male' END END AS sex,
     l_quantity + 10 AS age, CASE WHEN l_quantity < 30 THEN '18-39' ELSE '40-59' END AS age_bin,
     CASE WHEN l_tax = 0 THEN 'NOT-A-HASH' ELSE '{pop.study().cohort_hash}' END AS config_hash,
-    CASE WHEN {UNTIDY_U["Cardiomegaly"]} < 0.02 THEN 1.0 WHEN {UNTIDY_U["Cardiomegaly"]} < 0.05 THEN -1.0
-         ELSE 0.0 END::DOUBLE AS "Cardiomegaly",
-    CASE WHEN {UNTIDY_U["Edema"]} < 0.3 THEN 1.0 WHEN {UNTIDY_U["Edema"]} < 0.4 THEN NULL ELSE 0.0 END::DOUBLE AS "Edema",
-    CASE WHEN {UNTIDY_U["No Finding"]} < 0.2 THEN 1.0 ELSE 0.0 END::DOUBLE AS "No Finding"
+    CASE WHEN (l_orderkey * 31 + l_partkey * 17) % 1000 < 20 THEN 1.0 WHEN (l_orderkey * 31 + l_partkey * 17) % 1000 < 50
+         THEN -1.0 ELSE 0.0 END::DOUBLE AS "Cardiomegaly",
+    CASE (l_orderkey * 13 + l_suppkey * 7) % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN NULL
+         ELSE 0.0 END::DOUBLE AS "Edema",
+    CASE WHEN (l_partkey + l_linenumber) % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS "No Finding"
   FROM lineitem)"""
 
 

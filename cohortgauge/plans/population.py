@@ -137,7 +137,9 @@ def label_score(model: str) -> str:
     z = f"""(CASE WHEN truth = 1 THEN 1.6D ELSE -1.4D END + ln(({u} + 0.001D) / (1.001D - {u}))
              - CASE WHEN truth = 1 AND view = 'AP' THEN 0.5D ELSE 0D END
              - CASE WHEN truth = 1 AND age >= 65 THEN 0.4D ELSE 0D END)"""
-    return f"round(1D / (1D + exp(-({z} * CASE WHEN view = 'AP' THEN 1.8D ELSE 1.2D END))), 6) AS score"
+    score = f"round(1D / (1D + exp(-({z} * CASE WHEN view = 'AP' THEN 1.8D ELSE 1.2D END))), 6)"
+    # Never missing; saying so lets Catalyst drop null checks that would evaluate it twice.
+    return f"coalesce({score}, 0D) AS score"
 
 
 def _long(df: DataFrame, keep: list[str], labels: list[str]) -> DataFrame:
@@ -263,7 +265,6 @@ def flagged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as a badly assembled cohort: every contract finds something."""
-    u = {n: hash_unit_sql(f"'{n}'", "l_orderkey", "l_partkey") for n in ("Cardiomegaly", "Edema", "No Finding")}
     used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"]
     return spread(table(spark, sf_dir, "lineitem").select(*used)).selectExpr(
         """CASE WHEN l_quantity = 50 THEN cast(null as string) WHEN l_orderkey % 100 = 7 THEN '  '
@@ -278,7 +279,9 @@ def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
            ELSE CASE WHEN l_linenumber = 5 THEN 'Unknown' ELSE 'Male' END END AS sex""",
         "l_quantity + 10D AS age", "CASE WHEN l_quantity < 30 THEN '18-39' ELSE '40-59' END AS age_bin",
         f"CASE WHEN l_tax = 0 THEN 'NOT-A-HASH' ELSE '{study().cohort_hash}' END AS config_hash",
-        f"CASE WHEN {u['Cardiomegaly']} < 0.02D THEN 1D WHEN {u['Cardiomegaly']} < 0.05D THEN -1D ELSE 0D END AS Cardiomegaly",
-        f"CASE WHEN {u['Edema']} < 0.3D THEN 1D WHEN {u['Edema']} < 0.4D THEN cast(null as double) ELSE 0D END AS Edema",
-        f"CASE WHEN {u['No Finding']} < 0.2D THEN 1D ELSE 0D END AS `No Finding`",
+        """CASE WHEN (l_orderkey * 31 + l_partkey * 17) % 1000 < 20 THEN 1D
+           WHEN (l_orderkey * 31 + l_partkey * 17) % 1000 < 50 THEN -1D ELSE 0D END AS Cardiomegaly""",
+        """CASE WHEN (l_orderkey * 13 + l_suppkey * 7) % 10 < 3 THEN 1D
+           WHEN (l_orderkey * 13 + l_suppkey * 7) % 10 = 3 THEN cast(null as double) ELSE 0D END AS Edema""",
+        "CASE WHEN (l_partkey + l_linenumber) % 5 = 0 THEN 1D ELSE 0D END AS `No Finding`",
     )
