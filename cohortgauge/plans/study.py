@@ -158,9 +158,10 @@ class Study:
             min_positives=int(limits["min_positives_per_view"]), min_negatives=int(limits["min_negatives_per_view"]),
         )
         views = sorted(self.cfg.cohort["allowed_views"])
+        params = calibration.fold_parameters(temperatures, thresholds, views, arm)
+        write_csv(params, self.path("calibration", f"calibration_{arm}", "csv", scope="model"))
         write_csv(
-            calibration.fold_parameters(temperatures, thresholds, views, arm),
-            self.path("calibration", f"calibration_{arm}", "csv", scope="model"),
+            calibration.parameter_means(params), self.path("calibration", f"calibration_means_{arm}", "csv", scope="model")
         )
         where = self.path("scores", f"decisions_{arm}", scope="model")
         write_parquet(calibration.decide(test, temperatures, thresholds, arm), where, ["site"])
