@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortgauge.llm import recompression
+from cohortgauge.llm import feistel, linkrank, recompression
 from cohortgauge.llm.tables import table
 
 
@@ -16,8 +17,23 @@ def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.selectExpr("id AS doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under a keyed permutation of row numbers."""
+    placed = feistel.assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op9_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule and verdict."""
+    return linkrank.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
+    "op5_feistel": op5_feistel,
+    "op9_linkrank": op9_linkrank,
 }
 
 ORACLE: dict[str, str] = {}

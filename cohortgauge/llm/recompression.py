@@ -22,6 +22,7 @@ is one row on that side, and Spark can split the rows of the other side between
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ from cohortgauge.llm.tables import discard, slices, stored
 #: Words of a repeated window.
 WINDOW = 35
 #: Text bytes that are parsed together; numpy needs some 60 times as much memory.
-PARSED_BYTES = 1 << 20
+PARSED_BYTES = 1 << 18
 #: Runs are named in one round of so many, pairs in the others.
 RUN_EVERY = 8
+#: Windows are counted in so many passes, each over one slice of the window names.
+PASSES = 4
 #: A window whose anchor holds fewer words is named in full instead.
 ANCHOR_WORDS = 3
 
@@ -77,8 +80,8 @@ def span_names(names: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int
     return _digest((sums[stop] - sums[start]) * down[start], (stop - start).astype(np.uint64), 1)
 
 
-def word_names(words: list[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def word_names(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def joined_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -89,11 +92,11 @@ def joined_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for x in lists for w in x], bounds
 
 
-def anchors(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor name, first word and end of the words in which it stands, for stretches of windows.
+def anchors(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor its name, the first word and the end of the words of all its windows, and a weight.
 
-    A stretch is a run of neighbouring windows with one anchor; its words are those of all
-    its windows.
+    The weight is one, or the number of windows where equal windows named in full stand
+    side by side.
     """
     n = len(names)
     lengths = np.diff(bounds)
@@ -101,7 +104,7 @@ def anchors(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndar
     where = np.flatnonzero(np.arange(n) + window <= ends)
     if not len(where):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     sym, at = names, np.arange(n)
     opens = np.zeros(n + 1, bool)
     opens[bounds[:-1][lengths > 0]] = True
@@ -151,10 +154,18 @@ def anchors(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndar
         weak = np.flatnonzero(full)
         name[weak] = span_names(names, where[weak], where[weak] + window, BASES[1])
         code[weak] = base + weak
-    order = np.argsort(code, kind="stable")
-    edge = np.flatnonzero(np.diff(code[order], prepend=-1))
-    where = where[order]
-    return name[order][edge], where[edge], where[np.append(edge[1:], len(where)) - 1] + window
+        # Equal neighbours, as inside a long run of one word, become one row.
+        same = np.flatnonzero((name[weak][1:] == name[weak][:-1]) & (np.diff(where[weak]) == 1)) + 1
+        code[weak[same]] = 0
+        code[weak] = np.maximum.accumulate(code[weak])
+    edge = np.flatnonzero(np.diff(code, prepend=-1))
+    last = np.append(edge[1:], len(where)) - 1
+    order = np.argsort(code[edge], kind="stable")
+    heads = np.flatnonzero(np.diff(code[edge][order], prepend=-1))
+    tails = np.append(heads[1:], len(order)) - 1
+    first, last = edge[order][heads], last[order][tails]
+    weight = np.where(full[first], last - first + 1, 1)
+    return name[first], where[first], where[last] + window, weight
 
 
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,24 +175,24 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _located(batch: pa.RecordBatch, bounds: np.ndarray, start: np.ndarray, stop: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    """Rows for spans of the joined words: the text's id and mark, and word numbers inside the text."""
+def _located(batch: pa.RecordBatch, bounds: np.ndarray, start: np.ndarray, more: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows for places in the joined words: the text's id and mark, and word numbers inside the text."""
     row = np.searchsorted(bounds, start, "right") - 1
-    take = pa.array(row)
-    columns = {
-        "id": batch.column("id").take(take), "mark": batch.column("mark").take(take),
-        "start": pa.array((start - bounds[row]).astype(np.int32)), "stop": pa.array((stop - bounds[row]).astype(np.int32)),
-    }
-    return pa.RecordBatch.from_pydict(columns | {k: pa.array(v.view(np.int64)) for k, v in more.items()})
+    columns = {k: batch.column(k).take(pa.array(row)) for k in ("id", "mark")}
+    columns["start"] = pa.array((start - bounds[row]).astype(np.int32))
+    if "stop" in more:
+        more["stop"] = (more["stop"] - bounds[row]).astype(np.int32)
+    return pa.RecordBatch.from_pydict(columns | {k: pa.array(v) for k, v in more.items()})
 
 
 def _anchor_rows(window: int):
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch | None:
         words, bounds = joined_words(texts)
         names = word_names(words)
-        symbol, start, stop = anchors(names, bounds, window)
+        symbol, start, stop, weight = anchors(names, bounds, window)
         around = span_names(names, start, stop, BASES[0])
-        return _located(batch, bounds, start, stop, symbol=symbol, around=around)
+        more = {"stop": stop, "symbol": symbol.view(np.int64), "around": around.view(np.int64), "weight": weight}
+        return _located(batch, bounds, start, more)
 
     return slices(PARSED_BYTES, "text", work)
 
@@ -191,13 +202,14 @@ def _window_rows(window: int):
         words, bounds = joined_words(texts)
         chosen = np.zeros(len(words) + 1, np.int64)
         for row, spans in enumerate(batch.column("spans")):
-            starts, stops = (np.asarray(x) + bounds[row] for x in _pairs(spans))
+            starts, stops = (x + bounds[row] for x in _pairs(spans))
             np.add.at(chosen, starts, 1)
             np.add.at(chosen, stops - window + 1, -1)
         start = np.flatnonzero(np.cumsum(chosen[:-1]))
-        first = span_names(word_names(words), start, start + window, BASES[0])
-        second = span_names(word_names(words, 1), start, start + window, BASES[1])
-        return _located(batch, bounds, start, start + window, first=first, second=second)
+        names = word_names(words)
+        first = span_names(names, start, start + window, BASES[0])
+        check = span_names(_mixed(names), start, start + window, BASES[1]) >> np.uint64(32)
+        return _located(batch, bounds, start, {"name": first.view(np.int64), "check": check.astype(np.uint32).view(np.int32)})
 
     return slices(PARSED_BYTES, "text", work)
 
@@ -232,28 +244,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         T.StructField("id", kind), T.StructField("mark", T.IntegerType()), T.StructField("start", T.IntegerType()),
         T.StructField("stop", T.IntegerType()),
     ]
-    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    found = stored(identity.mapInArrow(_anchor_rows(window), T.StructType(place + longs("symbol", "around"))), "anchors")
-    shared = stored(
-        found.groupBy("symbol")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("least"), F.max("around").alias("most"))
-        .where("n > 1").select("symbol", (F.col("least") == F.col("most")).alias("settled")),
-        "shared-anchors",
+    anchor = [T.StructField(n, T.LongType()) for n in ("symbol", "around", "weight")]
+    found = stored(identity.mapInArrow(_anchor_rows(window), T.StructType([*place, *anchor])), "anchors")
+    twice = found.groupBy("symbol").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol")
+    shared = stored(found.join(twice, "symbol"), "shared-anchors")
+    discard(found)
+    alike = shared.groupBy("symbol", "around").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol", "around", F.lit(True).alias("settled"))
+    spans = stored(
+        shared.join(alike, ["symbol", "around"], "left").select("id", "mark", "start", "stop", F.coalesce("settled", F.lit(False)).alias("settled")),
+        "anchor-spans",
     )
-    spans = stored(found.join(shared, "symbol").select("id", "mark", "start", "stop", "settled"), "anchor-spans")
-    discard(found, shared)
-    open_spans = spans.where("not settled").drop("settled")
-    windows = stored(
-        _with_spans(identity, open_spans, "inner").mapInArrow(
-            _window_rows(window), T.StructType(place + longs("first", "second"))
-        ),
-        "windows",
+    discard(shared)
+    windows = _with_spans(identity, spans.where("not settled"), "inner").mapInArrow(
+        _window_rows(window), T.StructType([*place[:3], T.StructField("name", T.LongType()), T.StructField("check", T.IntegerType())])
     )
-    again = windows.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    verified = windows.join(again, ["first", "second"]).select("id", "mark", "start", "stop")
-    result = stored(spans.where("settled").drop("settled").unionByName(verified), "repeats")
-    discard(spans, windows)
-    return result
+    windows = stored(windows, "windows")
+    parts = [spans.where("settled").drop("settled")]
+    for turn in range(PASSES):
+        part = windows.where(F.pmod("name", F.lit(PASSES)) == turn)
+        again = part.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        parts.append(stored(part.join(again, ["name", "check"]).select("id", "mark", "start", (F.col("start") + window).alias("stop")), "repeats"))
+    discard(windows)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _cut(texts: list[bytes], spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
