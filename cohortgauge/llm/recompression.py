@@ -12,8 +12,9 @@ same place, whatever stands around them. So one row per anchor, not one per word
 shuffled:
 
 1. An anchor that occurs once settles its windows: none of them repeats.
-2. An anchor whose occurrences all stand in the same words settles them too: all repeat.
-3. The windows of all other shared anchors are named in full and counted.
+2. Occurrences of an anchor that stand in the same words settle theirs: all repeat.
+3. The windows of all other shared anchors are named in full and counted, together with
+   one of each settled kind that has the same anchor.
 
 Counts are aggregated before the shuffle, so a passage that a third of the documents hold
 is one row on that side, and Spark can split the rows of the other side between tasks.
@@ -246,20 +247,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ]
     anchor = [T.StructField(n, T.LongType()) for n in ("symbol", "around", "weight")]
     found = stored(identity.mapInArrow(_anchor_rows(window), T.StructType([*place, *anchor])), "anchors")
-    twice = found.groupBy("symbol").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol")
+    twice = found.groupBy("symbol").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol", F.col("n").alias("total"))
     shared = stored(found.join(twice, "symbol"), "shared-anchors")
     discard(found)
-    alike = shared.groupBy("symbol", "around").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol", "around", F.lit(True).alias("settled"))
-    spans = stored(
-        shared.join(alike, ["symbol", "around"], "left").select("id", "mark", "start", "stop", F.coalesce("settled", F.lit(False)).alias("settled")),
-        "anchor-spans",
+    where = F.struct("id", "mark", "start")
+    alike = shared.groupBy("symbol", "around").agg(
+        F.sum("weight").alias("n"), F.first("total").alias("of"), F.min(where).alias("head")
+    ).where("n > 1").select("symbol", "around", F.when(F.col("n") < F.col("of"), F.col("head")).alias("head"), F.lit(True).alias("settled"))
+    spans = shared.join(alike, ["symbol", "around"], "left").select(
+        "id", "mark", "start", "stop", F.coalesce("settled", F.lit(False)).alias("settled"),
+        (F.col("settled").isNull() | F.col("head").eqNullSafe(where)).alias("named"),
     )
+    spans = stored(spans, "anchor-spans")
     discard(shared)
-    windows = _with_spans(identity, spans.where("not settled"), "inner").mapInArrow(
+    windows = _with_spans(identity, spans.where("named"), "inner").mapInArrow(
         _window_rows(window), T.StructType([*place[:3], T.StructField("name", T.LongType()), T.StructField("check", T.IntegerType())])
     )
     windows = stored(windows, "windows")
-    parts = [spans.where("settled").drop("settled")]
+    parts = [spans.where("settled").drop("settled", "named")]
     for turn in range(PASSES):
         part = windows.where(F.pmod("name", F.lit(PASSES)) == turn)
         again = part.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
