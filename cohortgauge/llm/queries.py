@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import feistel, linkrank, recompression
+from cohortgauge.llm import bitplanes, feistel, linkrank, mergequeue, recompression
 from cohortgauge.llm.tables import table
 
 
@@ -30,10 +30,30 @@ def op9_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def word_tokenizer() -> str:
+    """The path of the public word tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as bit planes in the order of doc_id, and read back."""
+    files = bitplanes.write_ids(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2)
+    return bitplanes.read_ids(files).withColumnRenamed("id", "doc_id")
+
+
+def op10_mergequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return mergequeue.encode_and_decode(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op5_feistel": op5_feistel,
+    "op8_bitplanes": op8_bitplanes,
     "op9_linkrank": op9_linkrank,
+    "op10_mergequeue": op10_mergequeue,
 }
 
 ORACLE: dict[str, str] = {}

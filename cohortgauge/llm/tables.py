@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -106,6 +108,13 @@ def slices(budget: int, text: str, work: Callable[[pa.RecordBatch, list[bytes]],
     return run
 
 
-def ascii_lower(text: bytes) -> bytes:
-    """A-Z only; other letters stay."""
-    return text.lower()
+def per_worker(key, make: Callable[[], object]) -> object:
+    """What ``make`` returns, once for each Python worker process and not once for each task.
+
+    Functions are shipped by value and forget their module's variables with the task, so the
+    object is kept under a module name of its own.
+    """
+    kept = sys.modules.setdefault("_cohortgauge_worker", types.ModuleType("_cohortgauge_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
