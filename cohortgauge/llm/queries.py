@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import bitplanes, feistel, linkrank, mergequeue, recompression
+from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, recompression, simhash
 from cohortgauge.llm.tables import table
 
 
@@ -17,6 +17,11 @@ def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.selectExpr("id AS doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).selectExpr("id AS doc_id", "fingerprint", "component_id")
+
+
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under a keyed permutation of row numbers."""
     placed = feistel.assign_shards(table(spark, sf_dir, "documents"))
@@ -25,6 +30,12 @@ def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, whether it fails the base rules, and whether it is kept."""
+    judged = fences.apply_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's rule and verdict."""
     return linkrank.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -50,7 +61,9 @@ def op10_mergequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
+    "op4_simhash": op4_simhash,
     "op5_feistel": op5_feistel,
+    "op6_fences": op6_fences,
     "op8_bitplanes": op8_bitplanes,
     "op9_linkrank": op9_linkrank,
     "op10_mergequeue": op10_mergequeue,

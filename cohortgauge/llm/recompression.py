@@ -247,19 +247,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ]
     anchor = [T.StructField(n, T.LongType()) for n in ("symbol", "around", "weight")]
     found = stored(identity.mapInArrow(_anchor_rows(window), T.StructType([*place, *anchor])), "anchors")
-    twice = found.groupBy("symbol").agg(F.sum("weight").alias("n")).where("n > 1").select("symbol", F.col("n").alias("total"))
+    # Aggregates are stored before they are joined: Spark splits a large key only where both
+    # sides of the join come straight from a shuffle.
+    twice = stored(found.groupBy("symbol").agg(F.sum("weight").alias("total")).where("total > 1"), "shared-symbols")
     shared = stored(found.join(twice, "symbol"), "shared-anchors")
-    discard(found)
+    discard(found, twice)
     where = F.struct("id", "mark", "start")
     alike = shared.groupBy("symbol", "around").agg(
         F.sum("weight").alias("n"), F.first("total").alias("of"), F.min(where).alias("head")
     ).where("n > 1").select("symbol", "around", F.when(F.col("n") < F.col("of"), F.col("head")).alias("head"), F.lit(True).alias("settled"))
+    alike = stored(alike, "settled")
     spans = shared.join(alike, ["symbol", "around"], "left").select(
         "id", "mark", "start", "stop", F.coalesce("settled", F.lit(False)).alias("settled"),
         (F.col("settled").isNull() | F.col("head").eqNullSafe(where)).alias("named"),
     )
     spans = stored(spans, "anchor-spans")
-    discard(shared)
+    discard(shared, alike)
     windows = _with_spans(identity, spans.where("named"), "inner").mapInArrow(
         _window_rows(window), T.StructType([*place[:3], T.StructField("name", T.LongType()), T.StructField("check", T.IntegerType())])
     )
@@ -268,7 +271,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     for turn in range(PASSES):
         part = windows.where(F.pmod("name", F.lit(PASSES)) == turn)
         again = part.groupBy("name", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        again = stored(again, "repeated-windows")
         parts.append(stored(part.join(again, ["name", "check"]).select("id", "mark", "start", (F.col("start") + window).alias("stop")), "repeats"))
+        discard(again)
     discard(windows)
     return reduce(DataFrame.unionByName, parts)
 
