@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, recompression, simhash
+from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, recompression, simhash, warczip
 from cohortgauge.llm.tables import table
 
 
@@ -17,6 +17,12 @@ def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.selectExpr("id AS doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_warczip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a packaged archive and read back by range."""
+    packages = warczip.write_packages(table(spark, sf_dir, "pages"))
+    return warczip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and class."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).selectExpr("id AS doc_id", "fingerprint", "component_id")
@@ -61,6 +67,7 @@ def op10_mergequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
+    "op2_warczip": op2_warczip,
     "op4_simhash": op4_simhash,
     "op5_feistel": op5_feistel,
     "op6_fences": op6_fences,
