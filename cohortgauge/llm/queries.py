@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, recompression, simhash, warczip
+from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, qgrams, recompression, simhash, warczip
 from cohortgauge.llm.tables import table
 
 
@@ -47,6 +47,13 @@ def op9_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = qgrams.with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.edits").alias("edits"), F.col("leak.stop").alias("stop_char"))
+
+
 def word_tokenizer() -> str:
     """The path of the public word tokenizer's file."""
     import public_tokenizers
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_feistel": op5_feistel,
     "op6_fences": op6_fences,
+    "op7_qgrams": op7_qgrams,
     "op8_bitplanes": op8_bitplanes,
     "op9_linkrank": op9_linkrank,
     "op10_mergequeue": op10_mergequeue,
