@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import bitplanes, feistel, fences, linkrank, mergequeue, qgrams, recompression, simhash, warczip
+from cohortgauge.llm import attention, bitplanes, feistel, fences, linkrank, mergequeue, qgrams, recompression, simhash, warczip
 from cohortgauge.llm.tables import table
 
 
@@ -23,6 +23,16 @@ def op2_warczip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf_dir, "documents")
+    scored = attention.score_rows(docs, attention.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"), attention.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= attention.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and class."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).selectExpr("id AS doc_id", "fingerprint", "component_id")
@@ -75,6 +85,7 @@ def op10_mergequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_warczip": op2_warczip,
+    "op3_attention": op3_attention,
     "op4_simhash": op4_simhash,
     "op5_feistel": op5_feistel,
     "op6_fences": op6_fences,
