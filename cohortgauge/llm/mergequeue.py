@@ -15,9 +15,11 @@ import hashlib
 import heapq
 import json
 import os
+import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -152,7 +154,7 @@ class MergeQueue:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
 
-Written = tuple[int, str, str]
+Written = tuple[int, str, str, bytes]
 
 
 class WordCache:
@@ -160,7 +162,8 @@ class WordCache:
 
     No piece spans ASCII white space and no normalising step looks across it, so a text's ids
     are those of its words in a row. Special tokens hold no white space. What is kept of a
-    word or piece is the number of its ids, the decimal ids and the decoded string.
+    word or piece is the number of its ids, the decimal ids, the decoded string and the ids as
+    little-endian 32-bit integers.
     """
 
     def __init__(self, queue: MergeQueue):
@@ -171,7 +174,8 @@ class WordCache:
 
     def _written(self, ids) -> Written:
         strings, decimal = self.queue.strings, self.decimal
-        return len(ids), " ".join([decimal[i] for i in ids]), " ".join([strings[i] for i in ids])
+        packed = struct.pack(f"<{len(ids)}i", *ids)
+        return len(ids), " ".join([decimal[i] for i in ids]), " ".join([strings[i] for i in ids]), packed
 
     def _piece(self, piece: str) -> Written:
         made = self.pieces.get(piece)
@@ -195,14 +199,14 @@ class WordCache:
         return made
 
     def encode(self, text: bytes) -> Written:
-        """Number of ids, the decimal ids joined by one space, and the decoded text."""
+        """Number of ids, the decimal ids joined by one space, the decoded text, and the packed ids."""
         known = self.words.get
         return _side_by_side([known(w) or self._word(w) for w in text.split()])
 
 
 def _side_by_side(parts: list[Written]) -> Written:
     parts = [p for p in parts if p[0]]
-    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]), b"".join([p[3] for p in parts])
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -225,7 +229,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = per_worker(("merge queue", hash(definition.value)), lambda: WordCache(MergeQueue(definition.value)))
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             made = [cache.encode(t or b"") for t in raw_bytes(batch.column("text"))]
             columns = {
                 "id": batch.column("id"), "n_tokens": pa.array([m[0] for m in made], pa.int64()),
@@ -233,7 +237,9 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
                 "decoded_sha256": pa.array([hashlib.sha256(m[2].encode()).hexdigest() for m in made], pa.string()),
             }
             if ids:
-                columns["ids"] = pa.array([[int(x) for x in m[1].split()] for m in made], pa.list_(pa.int32()))
+                ends = np.cumsum([0] + [m[0] for m in made]).astype(np.int32)
+                packed = pa.array(np.frombuffer(b"".join([m[3] for m in made]), "<i4"))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), packed)
                 columns["decoded"] = pa.array([m[2] for m in made], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 

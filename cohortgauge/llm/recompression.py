@@ -321,3 +321,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
     ]
     return _with_spans(identity, spans, "left").mapInArrow(slices(4 * PARSED_BYTES, "text", _cut_rows), T.StructType(fields))
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the words of repeated windows taken out of the texts, all columns and rows kept.
+
+    A text that loses words becomes its kept words joined by one space, and ``chars_col``, if
+    there is one, its new length; other texts are unchanged.
+    """
+    rows = docs.withColumn("_id", F.col(id_col)).withColumn("_mark", F.hash(F.col(text_col)))
+    spans = repeated_spans(docs, window, id_col, text_col).withColumnsRenamed({"id": "_its", "mark": "_own"})
+    by_row = spans.groupBy("_its", "_own").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).hint("shuffle_hash")
+    same = F.col("_id").eqNullSafe(F.col("_its")) & F.col("_mark").eqNullSafe(F.col("_own"))
+    joined = rows.join(by_row, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+
+    def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        _, removed, _, plain = _cut(texts, [_pairs(s) for s in batch.column("_spans")])
+        cut = pc.greater(pa.array(removed, pa.int64()), 0)
+        at = batch.schema.get_field_index(text_col)
+        made = pc.if_else(cut, pa.array(plain, pa.binary()).cast(pa.string()), batch.column(at))
+        batch = batch.set_column(at, batch.schema.field(at), made)
+        at = batch.schema.get_field_index(chars_col)
+        if at >= 0:
+            length = pc.utf8_length(made).cast(batch.schema.field(at).type)
+            batch = batch.set_column(at, batch.schema.field(at), pc.if_else(cut, length, batch.column(at)))
+        return batch.select(docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(slices(4 * PARSED_BYTES, text_col, work), docs.schema)

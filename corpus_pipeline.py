@@ -9,26 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import cohortgauge
-from cohortgauge.llm import recompression
+from cohortgauge.llm import attention, mergequeue, qgrams, recompression, simhash_texts
+from cohortgauge.llm.queries import word_tokenizer
 from cohortgauge.llm.tables import stored, table
 
 # The package is not installed on the executors: ship its functions by value.
 cloudpickle.register_pickle_by_value(cohortgauge)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention model scores as good; the others go."""
+    return attention.keep_good(docs, attention.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies: five-word shingles, similarity of 0.8 or more."""
+    return simhash_texts.keep_one(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the words of repeated 35-word windows out of every text; every document stays."""
-    cut = recompression.remove_repeats(docs).select(F.col("id").alias("doc_id"), "mark", F.col("text").alias("kept"))
-    rest = docs.withColumn("mark", F.hash("text")).drop("text")
-    joined = rest.join(cut.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"])
-    return joined.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    """Texts without the words of repeated 35-word windows; every document stays."""
+    return recompression.cut_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = qgrams.with_leaks(docs, table(spark, sf_dir, "benchmark"), column="_leaks")
+    return found.where(F.size("_leaks") == 0).drop("_leaks")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the digests of both directions."""
+    return mergequeue.encode_and_decode(docs, word_tokenizer(), ids=True).drop("decoded").withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
-#: The fitted classifier, the parse and the merge queue have no SQL form; tests compare with brute force.
+#: The fitted classifier, the alignment and the merge queue have no SQL form; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
