@@ -16,7 +16,7 @@ from cohortgauge.functions.maths import log1p_exp, logit, ratio, sigmoid
 from cohortgauge.operators.metrics import NLL_EPS, observed, score_bin
 from cohortgauge.operators.ordering import score_curve
 from cohortgauge.operators.regression import fit_logistic
-from cohortgauge.session import materialise, small_side
+from cohortgauge.session import materialise
 
 POOLED = "__pooled__"
 BOUNDS = (0.01, 100.0)
@@ -118,7 +118,7 @@ def fit_temperatures(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     solved = cells.drop("_cell").groupBy(*keys).applyInPandas(_fit_views(keys), f"{key_schema}, {FIT_SCHEMA}")
-    start = small_side(solved)
+    start = materialise(solved)
 
     pooled = start.where(F.col("view") == POOLED).select(*keys, F.col("scale").alias("_pooled"))
     by_view = start.where(F.col("view") != POOLED).select(*keys, "view", F.col("scale").alias("_own"))
@@ -171,8 +171,7 @@ def require_fitted(params: DataFrame, arm: str = "view") -> DataFrame:
 def apply_temperatures(df: DataFrame, params: DataFrame, keys: list[str] | None = None, arm: str = "global") -> DataFrame:
     """Add ``calibrated``. Under ``view``, a view without its own value uses the pooled one.
 
-    ``params`` should come from :func:`~cohortgauge.session.small_side`, whose size
-    check decides how it is joined.
+    ``params`` should be stored, so that its measured size decides how it is joined.
     """
     keys = keys or FIT_KEYS
     if arm not in ("global", "view"):
@@ -243,14 +242,14 @@ def calibrate(validation: DataFrame, *, arm: str = "global", target: float = 0.9
     fits = view_temperatures(fit_temperatures(validation), FIT_KEYS, min_positives, min_negatives)
     if arm == "global":
         fits = fits.where(F.col("view") == POOLED)
-    temperatures = small_side(fits)
+    temperatures = materialise(fits)
     if strict:
         require_fitted(temperatures, arm)
     scored = apply_temperatures(validation, temperatures, FIT_KEYS, arm)
     thresholds = select_threshold(scored, FIT_KEYS, "calibrated", "truth", target, rule)
     # A group without a usable calibration still has its row.
     every = temperatures.where(F.col("view") == POOLED).select(*FIT_KEYS)
-    return temperatures, small_side(every.join(thresholds, FIT_KEYS, "left"))
+    return temperatures, materialise(every.join(thresholds, FIT_KEYS, "left"))
 
 
 def decide(test: DataFrame, temperatures: DataFrame, thresholds: DataFrame, arm: str = "global") -> DataFrame:
@@ -321,7 +320,7 @@ def calibration_report(decisions: DataFrame, keys: list[str], views: list[str],
         return F.sum(-(y * F.ln(p) + (1.0 - y) * F.ln(1.0 - p)))
 
     # One scan: every measure below is a sum over (view, raw bin, calibrated bin) cells.
-    cube = small_side(
+    cube = materialise(
         seen.groupBy(
             *keys, "view", score_bin(F.col("score"), bins).alias("bin_raw"),
             score_bin(F.col("calibrated"), bins).alias("bin_calibrated"),

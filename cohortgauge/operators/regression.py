@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgauge.functions.maths import sigmoid
-from cohortgauge.session import small_side
+from cohortgauge.session import materialise
 
 #: Cells per feature: one thousandth of a unit on the folded axis.
 RESOLUTION = 1e-3
@@ -89,7 +89,7 @@ def fit_logistic(df: DataFrame, keys: list[str], features: dict[str, Column], ta
     solved = cells.select(*keys, "_n", "_events", *names).groupBy(*keys).applyInPandas(
         _cell_solver(keys, names), f"{key_schema}, {', '.join(f'{b} double' for b in betas)}"
     )
-    start = small_side(solved)
+    start = materialise(solved)
 
     # Score and information at the start, summed over the full rows.
     design = [F.lit(1.0), *[F.col(n) for n in names]]

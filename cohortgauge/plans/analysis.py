@@ -13,7 +13,7 @@ from cohortgauge.operators.fairness import contrast_cells, outcome_cube, replica
 from cohortgauge.operators.interaction import guard_notes, interaction_model
 from cohortgauge.operators.multiplicity import benjamini_hochberg, holm
 from cohortgauge.operators.ordering import union_all
-from cohortgauge.session import small_side
+from cohortgauge.session import materialise
 
 
 @dataclass
@@ -42,9 +42,9 @@ def analyse(decisions: DataFrame, cfg: StudyConfig, *, replicates: int | None =
     contrasts = cfg.contrasts
     settings = cfg.analysis
     draws_wanted = replicates or int(settings["bootstrap"]["replicates"])
-    cube = small_side(outcome_cube(decisions, list(contrasts)))
+    cube = materialise(outcome_cube(decisions, list(contrasts)))
     cells = contrast_cells(cube, contrasts)
-    draws = small_side(
+    draws = materialise(
         bootstrap(
             cells, reference=cfg.reference_mix, replicates=draws_wanted, ci=float(settings["bootstrap"]["ci"]),
             seed=cfg.seed,

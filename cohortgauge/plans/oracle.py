@@ -6,8 +6,9 @@ are chained Newton steps, and bins are CASE ladders: a different route to each r
 
 from __future__ import annotations
 
+import statistics
+
 from cohortgauge.operators.metrics import bin_edges
-from cohortgauge.operators.power import critical_value
 from cohortgauge.plans import population as pop
 from cohortgauge.plans import registry
 
@@ -17,6 +18,11 @@ QUOTED = [f'"{n}"' for n in LABELS]
 Z95 = 1.959963984540054
 
 
+def quantile(p: float) -> float:
+    """Of the standard normal distribution."""
+    return statistics.NormalDist().inv_cdf(p)
+
+
 def unit(*parts: str) -> str:
     joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"(('0x' || substr(md5(concat_ws(':', {joined})), 1, 8))::UBIGINT / 4294967296::DOUBLE)"
@@ -259,19 +265,24 @@ counts AS (
   FROM sides WHERE view IS NOT NULL GROUP BY ALL)"""
 
 
-def approximate(name: str, baseline: float) -> str:
-    reach = critical_value(0.05) + critical_value(0.40)
+def evaluated(name: str, baseline: float, meaningful: float = registry.MEANINGFUL) -> str:
+    """Detectable effects by the other form of the quadratic's root: constant term over the conjugate."""
+    reach = (quantile(0.975) + quantile(0.80)) ** 2
+    half = f"({reach * abs(1 - 2 * baseline) / 2!r}::DOUBLE / n_b)"
+    rest = f"({reach * baseline * (1 - baseline)!r}::DOUBLE * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b))"
+    root = f"{rest} / (sqrt({half} * {half} + (1.0::DOUBLE + {reach!r}::DOUBLE / n_b) * {rest}) - {half})"
     return f"""{name} AS (
-  SELECT *, coalesce(mde <= {registry.MEANINGFUL}::DOUBLE, false) AS powered FROM (
-    SELECT *, CASE WHEN least(n_a, n_b) >= 2 THEN {reach!r}::DOUBLE
-      * sqrt({baseline * (1 - baseline)!r}::DOUBLE * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)) END AS mde FROM counts))"""
+  SELECT *, coalesce(mde <= {meaningful}::DOUBLE, false) AS powered FROM (
+    SELECT * EXCLUDE (root), CASE WHEN root < {max(baseline, 1 - baseline)}::DOUBLE THEN root END AS mde FROM (
+      SELECT *, CASE WHEN least(n_a, n_b) >= 2 THEN {root} END AS root FROM counts)))"""
 
 
-def tiers(name: str, source: str) -> str:
+def tiers(name: str, source: str, lane: tuple[str, ...] = ("No Finding", "Pleural Effusion")) -> str:
+    barred = "label IN (" + ", ".join(f"'{n}'" for n in lane) + ") AND tier = 'primary'"
     return f"""{name} AS (
   SELECT label, n_cells, n_gating_cells, n_powered, sites_powered, worst_mde, median_mde,
-    CASE WHEN label IN ('No Finding', 'Pleural Effusion') AND tier = 'primary' THEN 'exploratory' ELSE tier END AS tier,
-    CASE WHEN label IN ('No Finding', 'Pleural Effusion') AND tier = 'primary'
+    CASE WHEN {barred} THEN 'exploratory' ELSE tier END AS tier,
+    CASE WHEN {barred}
          THEN 'secondary lane: inverted error semantics' ELSE reason END AS reason
   FROM (
     SELECT *, CASE WHEN n_powered = n_gating_cells THEN 'primary' WHEN n_powered = 0 THEN 'descriptive'
@@ -972,14 +983,14 @@ adj AS (SELECT *, least(1.0, min(m / rn * p) OVER (PARTITION BY site ORDER BY rn
     sql["coupling_logit"] = with_(f"{COHORT}, {coupling_chain()}", " UNION ALL ".join(terms))
 
     # ---- power
-    critical = critical_value(0.05)
+    critical = quantile(0.975)
     z = "(0.12::DOUBLE / sqrt(0.21::DOUBLE / n_a + 0.2436::DOUBLE / n_b))"
     sql["closed_form_power"] = with_(
         COUNTS,
         f"""SELECT *, {r6(f'''CASE WHEN least(n_a, n_b) < 1 THEN 0.0 ELSE ({normal_cdf(f"({z} - {critical!r}::DOUBLE)")})
   + ({normal_cdf(f"(-{z} - {critical!r}::DOUBLE)")}) END''')} AS power FROM counts""",
     )
-    cells = f"{COUNTS}, {approximate('cells', 0.30)}"
+    cells = f"{COUNTS}, {evaluated('cells', 0.30)}"
     sql["powered_summary"] = with_(
         cells,
         """SELECT site, stratum, count(*) FILTER (powered) AS n_powered, count(*) AS n_cells, bool_and(powered) AS all_powered
@@ -995,13 +1006,23 @@ FROM cells WHERE site IN ('AMERICA', 'EUROPE') GROUP BY label""",
         f"SELECT * REPLACE ({r6('worst_mde')} AS worst_mde, {r6('median_mde')} AS median_mde) FROM t",
     )
     grids = ", ".join(
-        f"{approximate(f'c{i}', b)}, {tiers(f't{i}', f'c{i}')}" for i, b in enumerate(registry.BASELINES)
+        f"{evaluated(f'c{i}', b)}, {tiers(f't{i}', f'c{i}')}" for i, b in enumerate(registry.BASELINES)
     )
     columns = ", ".join(f't{i}.tier AS "FNR={b:.0%}"' for i, b in enumerate(registry.BASELINES))
     same = " AND ".join(f"t0.tier = t{i}.tier" for i in range(1, len(registry.BASELINES)))
     joins = " ".join(f"JOIN t{i} USING (label)" for i in range(1, len(registry.BASELINES)))
     sql["tier_sensitivity"] = with_(f"{COUNTS}, {grids}", f"SELECT label, {columns}, {same} AS stable FROM t0 {joins}")
 
+    sql["evaluate_cells"] = with_(
+        f"{COUNTS}, {evaluated('cells', 0.30, 0.12)}", f"SELECT * REPLACE ({r6('mde')} AS mde) FROM cells"
+    )
+    gate = pop.study().analysis["power"]
+    sql["study_tiers"] = with_(
+        f"""{COUNTS}, {evaluated('cells', gate['assumed_baseline_fnr'], gate['meaningful_effect'])},
+{tiers('t', 'cells', tuple(pop.study().secondary_lane))}""",
+        f"SELECT * REPLACE ({r6('worst_mde')} AS worst_mde, {r6('median_mde')} AS median_mde) FROM t",
+    )
+
     # ---- image index
     words = ", ".join(
         f"sum(('0x' || substr(sha256(image_id), {8 * i + 1}, 8))::UBIGINT) AS w{i}" for i in range(4)

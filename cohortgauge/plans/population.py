@@ -17,7 +17,7 @@ from cohortgauge.config import StudyConfig, load_config
 from cohortgauge.functions.keys import hash_unit_sql
 from cohortgauge.operators.cohort import age_group_column, label_and_classify, retained_cohort
 from cohortgauge.operators.splits import assign_folds, fold_roles
-from cohortgauge.session import materialise, spread
+from cohortgauge.session import materialise
 
 # Share of positives per label before the effects of view and age.
 PREVALENCE = {
@@ -63,7 +63,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -266,7 +266,7 @@ def flagged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as a badly assembled cohort: every contract finds something."""
     used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"]
-    return spread(table(spark, sf_dir, "lineitem").select(*used)).selectExpr(
+    return table(spark, sf_dir, "lineitem").select(*used).selectExpr(
         """CASE WHEN l_quantity = 50 THEN cast(null as string) WHEN l_orderkey % 100 = 7 THEN '  '
            ELSE cast(l_orderkey as string) END AS patient_id""",
         """CASE WHEN l_linenumber = 1 THEN concat('S', l_suppkey)

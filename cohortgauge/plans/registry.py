@@ -27,7 +27,7 @@ from cohortgauge.operators.fingerprint import fingerprint
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.plans import population as pop
 from cohortgauge.plans.analysis import analyse
-from cohortgauge.session import small_side
+from cohortgauge.session import materialise
 from cohortgauge.sources import imagecache, sites, tables
 
 QUERIES = {}
@@ -473,7 +473,7 @@ def apply_temperature_view(spark, sf):
     rows = pop.scores(spark, sf)
     packed = ", ".join(f"named_struct('view', '{v}', 'temperature', {t}D)" for v, t in VIEW_TEMPERATURES.items())
     groups = rows.select("site", "label").distinct().selectExpr("*", f"inline(array({packed}))")
-    scaled = calibration.apply_temperatures(rows, small_side(groups), BY_LABEL, "view")
+    scaled = calibration.apply_temperatures(rows, materialise(groups), BY_LABEL, "view")
     return rounded(scaled.select(*BY_LABEL, "patient_id", "view", "calibrated"), "calibrated")
 
 
@@ -707,22 +707,13 @@ def closed_form_power(spark, sf):
     return rounded(table.withColumn("power", value), "power")
 
 
-@query
-def simulated_power(spark, sf):
-    return power.simulated_power(_counts(spark, sf), p_a=0.30, p_b=0.42)
+def _evaluated(spark, sf, baseline=0.30, meaningful=MEANINGFUL):
+    return power.evaluate_cells(_counts(spark, sf), baseline=baseline, meaningful_effect=meaningful)
 
 
 @query
 def evaluate_cells(spark, sf):
-    return power.evaluate_cells(_counts(spark, sf), replicates=20_000, meaningful_effect=0.12)
-
-
-def _approximate_cells(spark, sf, baseline=0.30):
-    """Detectable effects in closed form, so that SQL can check the tier rules."""
-    reach = power.critical_value(0.05) + power.critical_value(0.40)
-    text = f"""CASE WHEN least(n_a, n_b) >= 2 THEN
-               {reach!r}D * sqrt({baseline * (1 - baseline)!r}D * (1D / n_a + 1D / n_b)) END AS mde"""
-    return power.with_verdict(_counts(spark, sf).selectExpr("*", text), MEANINGFUL)
+    return rounded(_evaluated(spark, sf, meaningful=0.12), "mde")
 
 
 def _tiers(table):
@@ -735,41 +726,39 @@ def _tiers(table):
 
 @query
 def powered_summary(spark, sf):
-    return power.powered_summary(_approximate_cells(spark, sf), ["site", "stratum"])
+    return power.powered_summary(_evaluated(spark, sf), ["site", "stratum"])
 
 
 @query
 def coarsening_ladder(spark, sf):
     cfg = pop.study()
     ladder = cfg.analysis["power"]["coarsening_ladder"]
-    return power.coarsening_ladder(_approximate_cells(spark, sf), cfg.analysis_labels, ladder, cfg.inferential_sites)
+    return power.coarsening_ladder(_evaluated(spark, sf), cfg.analysis_labels, ladder, cfg.inferential_sites)
 
 
 @query
 def assign_tiers(spark, sf):
-    return rounded(_tiers(_approximate_cells(spark, sf)), "worst_mde", "median_mde")
+    return rounded(_tiers(_evaluated(spark, sf)), "worst_mde", "median_mde")
 
 
 @query
 def tier_sensitivity(spark, sf):
-    return power.tier_sensitivity({b: _tiers(_approximate_cells(spark, sf, b)) for b in BASELINES})
+    return power.tier_sensitivity({b: _tiers(_evaluated(spark, sf, b)) for b in BASELINES})
 
 
 @query
 def study_tiers(spark, sf):
-    """The gate as a study runs it: simulated effects, configured limits."""
+    """The gate with the study's own limits and secondary lane."""
     cfg = pop.study()
     gate = cfg.analysis["power"]
-    evaluated = small_side(
-        power.evaluate_cells(
-            _counts(spark, sf), baseline=gate["assumed_baseline_fnr"], alpha=gate["alpha"],
-            target_power=gate["target_power"], replicates=gate["simulation_replicates"],
-            meaningful_effect=gate["meaningful_effect"], seed=cfg.seed,
-        )
+    evaluated = power.evaluate_cells(
+        _counts(spark, sf), baseline=gate["assumed_baseline_fnr"], alpha=gate["alpha"],
+        target_power=gate["target_power"], meaningful_effect=gate["meaningful_effect"],
     )
-    return power.assign_tiers(
+    tiers = power.assign_tiers(
         evaluated, cfg.analysis_labels, secondary_lane=cfg.secondary_lane, inferential_sites=cfg.inferential_sites
     )
+    return rounded(tiers, "worst_mde", "median_mde")
 
 
 # ------------------------------------------------------------------- image index

@@ -10,7 +10,7 @@ from cohortgauge.operators import calibration, cells, cohort, contracts, power,
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.plans.analysis import Analysis, analyse, corrected_interactions
 from cohortgauge.plans.report import render_analysis_plan
-from cohortgauge.session import small_side
+from cohortgauge.session import materialise
 from cohortgauge.sources.sites import load_site_metadata
 from cohortgauge.sources.tables import read_manifest, write_csv, write_parquet, write_text
 
@@ -47,7 +47,7 @@ class Study:
                 float(self.cfg.cohort.get("min_manifest_match_rate", 0.95)),
             )
             frames.append(table.withColumn("site", F.lit(site)))
-        report = small_side(union_all(frames))
+        report = materialise(union_all(frames))
         failed = report.where("not ok").collect()
         if failed:
             raise cohort.CohortBuildError(f"manifest checks failed: {[(r['site'], r['check'], r['note']) for r in failed]}")
@@ -83,14 +83,12 @@ class Study:
         """
         cfg, gate = self.cfg, self.cfg.analysis["power"]
         people = self.cohorts()
-        counts = small_side(cells.contrast_counts(people, cfg.analysis_labels, cfg.contrasts))
-
-        def evaluate(baseline: float, replicates: int) -> DataFrame:
-            return small_side(
-                power.evaluate_cells(
-                    counts, baseline=baseline, alpha=gate["alpha"], target_power=gate["target_power"],
-                    replicates=replicates, meaningful_effect=gate["meaningful_effect"], seed=cfg.seed,
-                )
+        counts = materialise(cells.contrast_counts(people, cfg.analysis_labels, cfg.contrasts))
+
+        def evaluate(baseline: float) -> DataFrame:
+            return power.evaluate_cells(
+                counts, baseline=baseline, alpha=gate["alpha"], target_power=gate["target_power"],
+                meaningful_effect=gate["meaningful_effect"],
             )
 
         def tiers_of(table: DataFrame) -> DataFrame:
@@ -98,18 +96,16 @@ class Study:
                 table, cfg.analysis_labels, secondary_lane=cfg.secondary_lane, inferential_sites=cfg.inferential_sites
             )
 
-        draws = int(gate["simulation_replicates"])
-        table = evaluate(gate["assumed_baseline_fnr"], draws)
+        table = evaluate(gate["assumed_baseline_fnr"])
         power.require_gating_cells(table, cfg.inferential_sites)
-        tiers = small_side(tiers_of(table))
-        fewer = max(2000, draws // 5)
-        sensitivity = power.tier_sensitivity(
-            {b: tiers_of(evaluate(b, fewer)) for b in gate["baseline_sensitivity_grid"]}
-        )
+        tiers = materialise(tiers_of(table))
+        sensitivity = power.tier_sensitivity({b: tiers_of(evaluate(b)) for b in gate["baseline_sensitivity_grid"]})
+        ladder = power.coarsening_ladder(table, cfg.analysis_labels, gate["coarsening_ladder"], cfg.inferential_sites)
+        write_csv(ladder, self.path("analysis", "coarsening_ladder", "csv"))
         write_csv(table, self.path("analysis", "cell_power", "csv"))
         write_csv(tiers, self.path("analysis", "label_tiers", "csv"))
         write_csv(sensitivity, self.path("analysis", "tier_sensitivity", "csv"))
-        coupling = small_side(regression.acquisition_coupling(people))
+        coupling = materialise(regression.acquisition_coupling(people))
         write_csv(coupling, self.path("analysis", "acquisition_coupling", "csv"))
         frozen = freeze_config(cfg, frozen_dir).name if (cfg.path and frozen_dir) else None
         text = render_analysis_plan(

@@ -1,15 +1,10 @@
-"""Session helpers: checkpoint location, small-table handling, defaults."""
+"""Session helpers: checkpoint location, stored intermediate tables, defaults."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a parameter table is sent to every executor. A row here is a
-#: handful of keys and doubles, so this is a few tens of megabytes at most.
-BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "cohortgauge", master: str | None = None, **conf) -> SparkSession:
@@ -51,26 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and continue from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to reliable storage and continue from the written rows.
 
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a parameter table and broadcast it when its size allows.
-
-    The row count is measured, not assumed. Above ``limit`` the table is returned
-    without a hint, and the join falls back to a shuffle with AQE skew handling.
+    No join is forced on the result: adaptive execution broadcasts it where its measured
+    bytes allow and shuffles it otherwise.
     """
-    stored = materialise(df)
-    return F.broadcast(stored) if stored.count() <= limit else stored
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan that fills fewer tasks than there are cores over all of them.
-
-    Such a table is at most one file split per core, so the shuffle is small; a table
-    with enough splits is returned as it is and never shuffled here.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
