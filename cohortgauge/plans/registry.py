@@ -802,13 +802,15 @@ def key_collisions(spark, sf):
 
 @query
 def train_predict(spark, sf):
-    """Models trained on some folds of the embedding vectors score all of them."""
+    """Every embedding vector scored by the models of the fold it was held out of."""
     vectors = pop.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("patient_id"), F.col("vec_id").cast("string").alias("image_id"),
         array_to_vector("embedding").alias("features"), (F.col("label") % 2).cast("double").alias("odd"),
         (F.col("label") < 3).cast("double").alias("low"),
     )
-    fold = F.pmod(hex_to_long(F.substring(hash_hex(pop.study().seed, "patient_id"), 1, 8)), F.lit(5))
-    config = scorer.TrainConfig(labels=["odd", "low"], max_epochs=2)
-    models, _ = scorer.train_fold(vectors.where(fold > 1), vectors.where(fold == 1), config)
-    return scorer.predict(models, vectors)
+    cfg = pop.study()
+    fold = F.pmod(hex_to_long(F.substring(hash_hex(cfg.seed, "patient_id"), 1, 8)), F.lit(cfg.n_folds)).cast("int")
+    scores, _ = scorer.cross_predict(
+        vectors.withColumn("fold", fold), scorer.scorer_settings(cfg, ["odd", "low"]), n_folds=cfg.n_folds
+    )
+    return scores

@@ -42,33 +42,32 @@ def render_analysis_plan(cfg: StudyConfig, tiers: DataFrame, coupling: DataFrame
     if frozen_config:
         parts.append(f"Frozen configuration: `{frozen_config}`")
     parts += [
-        "## Cohorts", markdown_table(cohort_summary),
+        "## Cohorts", markdown_table(cohort_summary, stored_as="cohort_summary"),
         f"Sites with their own model: {_names(cfg.training_sites)}. "
         f"Sites described only: {_names(a.get('descriptive_sites') or [])}.",
         "## Acquisition coupling",
-        markdown_table(coupling, ["site", "term", "odds_ratio", "ci_low", "ci_high", "p_value"]),
+        markdown_table(coupling, ["site", "term", "odds_ratio", "ci_low", "ci_high", "p_value"], stored_as="acquisition_coupling"),
         "## Label tiers",
-        markdown_table(tiers, ["label", "tier", "n_powered", "n_gating_cells", "worst_mde", "reason"]),
+        markdown_table(tiers, ["label", "tier", "n_powered", "n_gating_cells", "worst_mde", "reason"], stored_as="label_tiers"),
         f"- Primary ({len(lanes['primary'])}), {family['primary_family']} correction: {_names(lanes['primary'])}\n"
         f"- Exploratory ({len(lanes['exploratory'])}), {family['exploratory_family']} correction: "
         f"{_names(lanes['exploratory'])}\n"
         f"- Descriptive ({len(lanes['descriptive'])}), no inference: {_names(lanes['descriptive'])}",
         f"A cell counts as powered when a gap of {gate['meaningful_effect']:.0%} is detected with "
-        f"{gate['target_power']:.0%} power at alpha {gate['alpha']}, over {gate['simulation_replicates']:,} simulated "
-        f"studies with an assumed baseline rate of {gate['assumed_baseline_fnr']:.0%}. "
+        f"{gate['target_power']:.0%} power at alpha {gate['alpha']} by the normal approximation, with an assumed "
+        f"baseline rate of {gate['assumed_baseline_fnr']:.0%}. "
         f"Ladder for the rest: {' -> '.join(gate['coarsening_ladder'])}.",
         "Contrasts: " + "; ".join(f"{k}: {x} against {y}" for k, (x, y) in cfg.contrasts.items()) + ".",
     ]
     if sensitivity is not None:
         stable = sensitivity.where("not stable").isEmpty()
         parts += [
-            "### Tiers under other baselines", markdown_table(sensitivity),
+            "### Tiers under other baselines", markdown_table(sensitivity, stored_as="tier_sensitivity"),
             f"Every label keeps its tier across the grid: {stable}.",
         ]
     parts += [
         "## Model and folds",
-        f"- Architecture {cfg.model['architecture']}; seeds {cfg.model.get('seeds')}; early stopping on "
-        f"`{cfg.model['early_stopping']['monitor']}`.\n"
+        f"- Logistic models; the strength is chosen by `{cfg.model['early_stopping']['monitor']}`.\n"
         f"- {cfg.n_folds} folds by patient, seed {cfg.seed}, stratified on {_names(cfg.stratify_by)}.\n"
         f"- {cfg.val_fraction:.0%} of each development set validates, stratified on {_names(cfg.val_stratify_by)}; "
         f"strata under {cfg.min_val_stratum} patients give none, and the total is met exactly.\n"

@@ -17,6 +17,7 @@ from cohortgauge.config import StudyConfig
 from cohortgauge.operators.cohort import LATERAL_CODES, CohortBuildError, flow_table, token_drift
 from cohortgauge.sources.tables import (
     SourceError,
+    counted,
     read_csv,
     read_label_jsonl,
     require_columns,
@@ -162,9 +163,9 @@ def _load_tokens(cfg: StudyConfig, folder: str, spark: SparkSession, site: str)
     require_columns(raw.columns, needed, site, "records file")
     schema = cfg.observation_schema(site)
     notes = []
-    drift = sorted(r["token"] for r in token_drift(raw, "Finding Labels", schema).collect())
-    if drift:
-        notes.append(f"{site}: finding tokens in the source but not in the configured observation schema: {drift}")
+    unknown, named = counted(token_drift(raw, "Finding Labels", schema), "token")
+    if unknown:
+        notes.append(f"{site}: {unknown} finding token(s) outside its observation schema, among them {named}")
     rows = shape_tokens(raw, schema, F.lit(site))
     counts = flow_table(rows, [("metadata_rows", "population", F.lit(True))]).drop("n_dropped")
     return SiteRows(rows, counts, [("metadata_rows", name)], notes)
@@ -231,10 +232,11 @@ def _load_anchored(cfg: StudyConfig, folder: str, spark: SparkSession, site: str
             ("demographics_joined", "population", both),
         ],
     ).drop("n_dropped")
-    lost = {r["view_raw"]: r["count"] for r in attrition_by(shaped, "view_raw").collect()}
-    note = f"{sum(lost.values())} image rows had no study-level label"
-    if lost:
-        note += f"; unmatched by projection: {lost}"
+    unmatched = shaped.where(~F.col("has_labels"))
+    lost, views = counted(unmatched, "view_raw")
+    note = f"{lost} image rows without a study-level label"
+    if views:
+        note += f", of projections such as {views}"
     flow = [
         ("metadata_rows", files["records"]),
         ("labels_joined", note),

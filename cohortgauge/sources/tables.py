@@ -19,7 +19,7 @@ def _loaded(read, path) -> DataFrame:
         return read()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise SourceError(f"required metadata file not found: {path}") from error
+            raise SourceError(f"there is no file {path}, which this site is read from") from error
         raise
 
 
@@ -72,14 +72,14 @@ def read_label_jsonl(spark: SparkSession, path, labels: list[str], key: str = "p
 def require_columns(columns, needed, site: str, what: str) -> None:
     absent = [c for c in needed if c not in columns]
     if absent:
-        raise SourceError(f"{site}: {what} is missing expected column(s) {absent}. Present: {sorted(columns)[:12]}")
+        raise SourceError(f"{site}: {what} has no column {absent}; it has {sorted(columns)}")
 
 
 def require_labels(columns, labels: list[str], site: str) -> None:
     """Every configured observation must be there; the schema is never narrowed silently."""
     absent = [name for name in labels if name not in columns]
     if absent:
-        raise SourceError(f"{site}: configured observation labels absent from the metadata: {absent}")
+        raise SourceError(f"{site}: no values for the labels {absent} of its observation schema")
 
 
 def require_unique(df: DataFrame, keys: list[str], site: str, what: str) -> None:
@@ -120,14 +120,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
-def markdown_table(df: DataFrame, columns: list[str] | None = None, digits: int = 4, limit: int = 500) -> str:
-    """A small result table as markdown; larger ones belong in a file."""
+def markdown_table(df: DataFrame, columns: list[str] | None = None, digits: int = 4, page: int = 500, stored_as: str = "") -> str:
+    """A result table as markdown; one of more than ``page`` rows is named instead of shown."""
     shown = [c for c in (columns or df.columns) if c in df.columns]
-    rows = df.select(*[F.col(f"`{c}`") for c in shown]).limit(limit + 1).collect() if shown else []
+    rows = df.select(*[F.col(f"`{c}`") for c in shown]).limit(page + 1).collect() if shown else []
     if not rows:
         return "_(none)_"
-    if len(rows) > limit:
-        raise SourceError(f"table has more than {limit} rows; write it to a file instead")
+    if len(rows) > page:
+        return f"{df.count():,} rows, stored as `{stored_as or 'a table of its own'}`"
 
     def text(value):
         return str(round(value, digits)) if isinstance(value, float) else str(value)
@@ -135,3 +135,9 @@ def markdown_table(df: DataFrame, columns: list[str] | None = None, digits: int
     lines = ["| " + " | ".join(shown) + " |", "|" + "|".join(["---"] * len(shown)) + "|"]
     lines += ["| " + " | ".join(text(v) for v in row) + " |" for row in rows]
     return "\n".join(lines)
+
+
+def counted(df: DataFrame, column: str, examples: int = 3) -> tuple[int, list[str]]:
+    """How many rows there are, and the first few values of a column: what a message needs of them."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.min_by(column, F.xxhash64(column)).alias("one")).first()
+    return row["n"], sorted({str(v) for v in (row["low"], row["one"], row["high"]) if v is not None})[:examples]

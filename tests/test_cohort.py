@@ -188,7 +188,7 @@ def test_build_end_to_end(spark, site_config, tmp_path):
     }
     flow = {r["step"]: r for r in built.flow.collect()}
     assert flow["metadata_rows"]["n_images"] == 5 and flow["labels_joined"]["n_dropped"] == 1
-    assert "unmatched by projection: {'AP': 1}" in flow["labels_joined"]["note"]
+    assert flow["labels_joined"]["note"] == "1 image rows without a study-level label, of projections such as ['AP']"
     assert flow["excluded_lateral"]["n_dropped"] is None and flow["final"]["n_images"] == 2
 
 

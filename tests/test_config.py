@@ -12,13 +12,13 @@ def test_hash_ignores_key_order_and_sees_values():
 
 def test_stage_hash_moves_only_with_what_the_stage_reads(raw_config):
     changed = copy.deepcopy(raw_config)
-    changed["model"]["lr"] = 3e-4
+    changed["model"]["patience"] = 9
     before, after = from_mapping(raw_config), from_mapping(changed)
     assert before.cohort_hash == after.cohort_hash
     assert before.split_hash == after.split_hash
     assert before.model_hash != after.model_hash
     assert before.analysis_hash != after.analysis_hash
-    with pytest.raises(ConfigError, match="unknown hash scope"):
+    with pytest.raises(ConfigError, match="is no stage"):
         scoped_hash(raw_config, "nothing")
 
 
@@ -33,26 +33,26 @@ def test_artifact_names(cfg):
 @pytest.mark.parametrize(
     ("path", "value", "message"),
     [
-        (("labels", "analysis"), [], "labels.analysis is empty"),
-        (("labels", "analysis"), ["Edema", "Edema"], "duplicates"),
-        (("labels", "analysis"), ["Unknown"], "cannot supply"),
-        (("labels", "secondary_lane"), ["Stray"], "non-analysis"),
-        (("demographics", "age_bins", "edges"), [18, 40], "edges require"),
-        (("demographics", "age_bins", "edges"), [18, 60, 40, 80, 121], "strictly increasing"),
-        (("demographics", "age_bins", "edges"), [20, 40, 60, 80, 121], "cohort.age_min"),
-        (("demographics", "age_bins", "edges"), [18, 40, 60, 80, 100], "cohort.age_max"),
-        (("demographics", "primary_age_threshold"), 18, "strictly inside"),
-        (("demographics", "strata"), ["race"], "unsupported stratum"),
-        (("splits", "n_folds"), 1, "at least 2"),
-        (("splits", "val_fraction"), 1.0, r"\(0, 1\)"),
-        (("splits", "stratify_by"), [], "at least one column"),
-        (("model", "training_sites"), [], "at least one site"),
-        (("model", "training_sites"), ["AMERICA", "EUROPE", "MARS"], "unconfigured"),
-        (("analysis", "inferential_sites"), ["ASIA"], "not in model.training_sites"),
-        (("analysis", "standardization", "reference_mix"), {"AP": 0.5, "PA": 0.4}, "sum to 1.0"),
-        (("analysis", "threshold_rule", "fixed_sensitivity_target"), 1.0, r"\(0, 1\)"),
-        (("model", "primary_source"), "MARS", "not a configured site"),
-        (("model", "early_stopping", "monitor"), "train_loss", "validation metric"),
+        (("labels", "analysis"), [], "names no label"),
+        (("labels", "analysis"), ["Edema", "Edema"], "names a label twice"),
+        (("labels", "analysis"), ["Unknown"], r"sites.AMERICA: \['Unknown'\]"),
+        (("labels", "secondary_lane"), ["Stray"], "labels.secondary_lane"),
+        (("demographics", "age_bins", "edges"), [18, 40], "1 bins have 4 labels"),
+        (("demographics", "age_bins", "edges"), [18, 60, 40, 80, 121], "do not rise"),
+        (("demographics", "age_bins", "edges"), [20, 40, 60, 80, 121], "begins at 20"),
+        (("demographics", "age_bins", "edges"), [18, 40, 60, 80, 100], "stops at 100"),
+        (("demographics", "primary_age_threshold"), 18, "one side of the contrast"),
+        (("demographics", "strata"), ["race"], "demographics.strata"),
+        (("splits", "n_folds"), 1, "two folds or more"),
+        (("splits", "val_fraction"), 1.0, "splits.val_fraction"),
+        (("splits", "stratify_by"), [], "names no column"),
+        (("model", "training_sites"), [], "names no site"),
+        (("model", "training_sites"), ["AMERICA", "EUROPE", "MARS"], r"\['MARS'\]"),
+        (("analysis", "inferential_sites"), ["ASIA"], "among model.training_sites"),
+        (("analysis", "standardization", "reference_mix"), {"AP": 0.5, "PA": 0.4}, "add up to 1"),
+        (("analysis", "threshold_rule", "fixed_sensitivity_target"), 1.0, "fixed_sensitivity_target"),
+        (("model", "primary_source"), "MARS", "model.primary_source"),
+        (("model", "early_stopping", "monitor"), "train_loss", "validation rows"),
     ],
 )
 def test_rules(raw_config, path, value, message):
@@ -64,9 +64,16 @@ def test_rules(raw_config, path, value, message):
         from_mapping(raw_config)
 
 
+def test_all_findings_are_reported_together(raw_config):
+    raw_config["splits"]["n_folds"] = 1
+    raw_config["labels"]["secondary_lane"] = ["Stray"]
+    with pytest.raises(ConfigError, match=r"secondary_lane.*n_folds"):
+        from_mapping(raw_config)
+
+
 def test_missing_section_and_shape(raw_config, tmp_path):
     del raw_config["splits"]
-    with pytest.raises(ConfigError, match="missing config section"):
+    with pytest.raises(ConfigError, match="splits"):
         from_mapping(raw_config)
     with pytest.raises(FileNotFoundError):
         load_config(tmp_path / "none.yaml")

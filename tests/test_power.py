@@ -1,7 +1,6 @@
 import math
 import statistics
 
-import numpy as np
 import pytest
 
 from cohortgauge.functions.maths import normal_cdf, two_sided_p
@@ -33,29 +32,27 @@ def test_closed_form_by_hand(spark):
     assert edge[0] == 1.0
 
 
-@pytest.mark.parametrize(("n", "p"), [(400, 0.4), (150, 0.5), (2000, 0.33)])
-def test_simulation_tracks_the_closed_form(n, p):
-    got = power.simulate_power(n, n, 0.3, p, replicates=20_000, rng=np.random.default_rng(0))
-    se = math.sqrt(0.21 / n + p * (1 - p) / n)
-    z = NORMAL.inv_cdf(0.975)
-    assert abs(got - (NORMAL.cdf((p - 0.3) / se - z) + NORMAL.cdf(-(p - 0.3) / se - z))) < 0.03
+def mde(spark, rows, **how):
+    df = spark.createDataFrame(rows, "n_a long, n_b long")
+    return [r[0] for r in df.select(power.detectable_effect(df["n_a"], df["n_b"], how.pop("baseline", 0.3), **how)).collect()]
 
 
-def test_simulation_and_mde_guards():
-    rng = np.random.default_rng(0)
-    assert power.simulate_power(0, 10, 0.3, 0.4, rng=rng) == 0.0
-    with pytest.raises(PowerError):
-        power.simulate_power(5, 5, 1.3, 0.4, rng=rng)
+@pytest.mark.parametrize("baseline", [0.1, 0.3, 0.5, 0.8])
+def test_detectable_effect_reaches_the_target_power(spark, baseline):
+    sizes = [(100, 100), (400, 250), (2500, 90), (5000, 5000)]
+    for (n_a, n_b), d in zip(sizes, mde(spark, sizes, baseline=baseline), strict=True):
+        moved = baseline + d if baseline <= 0.5 else baseline - d
+        se = math.sqrt(baseline * (1 - baseline) / n_a + moved * (1 - moved) / n_b)
+        assert abs(NORMAL.cdf(d / se - NORMAL.inv_cdf(0.975)) - 0.8) < 1e-9
+
+
+def test_detectable_effect_shrinks_with_size_and_has_limits(spark):
+    got = mde(spark, [(100, 100), (400, 400), (2500, 2500), (1, 50), (2, 2), (0, 0)])
+    assert got[0] > got[1] > got[2] > 0 and got[3:] == [None, None, None]
     with pytest.raises(PowerError):
-        power.simulate_power(5, 5, 0.3, 0.4, replicates=0, rng=rng)
-    assert math.isnan(power.minimum_detectable_effect(1, 50, rng=rng))
-    assert math.isnan(power.minimum_detectable_effect(2, 2, rng=rng))
+        mde(spark, [(5, 5)], baseline=0.0)
     with pytest.raises(PowerError):
-        power.minimum_detectable_effect(50, 50, baseline=0.0, rng=rng)
-    sizes = [power.minimum_detectable_effect(n, n, replicates=3000, rng=np.random.default_rng(1)) for n in (100, 400, 2500)]
-    assert sizes[0] > sizes[1] > sizes[2] > 0
-    high = power.minimum_detectable_effect(400, 400, baseline=0.8, rng=np.random.default_rng(2))
-    assert 0 < high < 0.8
+        mde(spark, [(5, 5)], target_power=1.0)
 
 
 @pytest.fixture()
@@ -70,15 +67,15 @@ def counts(spark):
 
 
 def test_evaluate_is_reproducible_however_it_is_partitioned(counts):
-    first = power.evaluate_cells(counts, replicates=1000).orderBy("site", "label", "view").collect()
-    again = power.evaluate_cells(counts.repartition(3), replicates=1000).orderBy("site", "label", "view").collect()
+    first = power.evaluate_cells(counts).orderBy("site", "label", "view").collect()
+    again = power.evaluate_cells(counts.repartition(3)).orderBy("site", "label", "view").collect()
     assert first == again
     by = {(r["site"], r["label"], r["view"]): r for r in first}
     assert by["a", "Rich", "AP"]["powered"] and not by["a", "Poor", "AP"]["powered"]
 
 
 def test_tiers_and_ladder(counts):
-    table = power.evaluate_cells(counts, replicates=1000).cache()
+    table = power.evaluate_cells(counts).cache()
     labels = ["Rich", "Poor", "Mixed", "Absent"]
     tiers = {r["label"]: r for r in power.assign_tiers(table, labels, inferential_sites=["a"]).collect()}
     assert {k: r["tier"] for k, r in tiers.items()} == {

@@ -5,14 +5,14 @@ import zipfile
 import numpy as np
 import pytest
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from test_cohort import write_anchored, write_paths, write_tokens
 
 from cohortgauge.config import from_mapping
 from cohortgauge.operators import scorer
 from cohortgauge.operators.fingerprint import fingerprint
-from cohortgauge.operators.scorer import TrainConfig, TrainError
+from cohortgauge.operators.scorer import ScorerSettings, TrainError
 from cohortgauge.plans import population
 from cohortgauge.plans.report import PlanError, render_analysis_plan
 from cohortgauge.plans.study import Study
@@ -118,25 +118,44 @@ def vectors(spark, n=600):
     return df.withColumn("features", array_to_vector("v"))
 
 
-def test_training_keeps_the_best_round_and_scores_everyone(spark):
+def test_training_tries_every_configured_strength_and_keeps_the_best(spark):
     df = vectors(spark)
-    config = TrainConfig(labels=["Hit"], max_epochs=4, patience=1)
-    models, history = scorer.train_fold(df.limit(400), df.subtract(df.limit(400)), config, site="s")
-    assert history.best_val_macro_auroc > 0.8 and history.best_round >= 0 and "s fold 0" in history.summary()
+    settings = ScorerSettings(labels=("Hit",), strengths=(1e-5, 1e-3, 1e-1, 1e4, 1e5))
+    models, search = scorer.train_fold(df.limit(400), df.subtract(df.limit(400)), settings)
+    assert [r["strength"] for r in search.rounds] == list(settings.strengths)
+    assert search.best > 0.8 and search.best == max(r["macro_auroc"] for r in search.rounds)
+    assert all(r["not_converged"] == [] for r in search.rounds)
     scored = scorer.predict(models, df)
     assert scored.count() == 600 and scored.where("score < 0 OR score > 1").isEmpty()
+    own = models["Hit"].transform(df).select("patient_id", vector_to_array("probability")[1].alias("p"))
+    assert scored.join(own, "patient_id").where("abs(score - p) > 1e-9").isEmpty()
 
 
-def test_training_refuses_overlap_and_bad_settings(spark, cfg):
+def test_patience_and_iteration_bound_are_seen(spark):
+    df = vectors(spark)
+    settings = ScorerSettings(labels=("Hit",), strengths=(1e-5, 1e6, 1e7, 1e8), patience=1, max_iterations=1)
+    _, search = scorer.train_fold(df.limit(400), df.subtract(df.limit(400)), settings)
+    assert len(search.rounds) < 4 and search.rounds[0]["not_converged"] == ["Hit"]
+
+
+def test_cross_prediction_never_scores_training_rows(spark):
+    df = vectors(spark, 300).withColumn("fold", F.expr("cast(substr(patient_id, 2) AS int) % 3"))
+    scores, searches = scorer.cross_predict(df, ScorerSettings(labels=("Hit",), strengths=(1e-3,)), n_folds=3)
+    assert scores.count() == 300 and len(searches) == 3
+    assert scores.join(df.select("patient_id", F.col("fold").alias("own")), "patient_id").where("fold <> own").isEmpty()
+
+
+def test_training_refuses_overlap_and_idle_settings(spark, cfg):
     df = vectors(spark, 60)
-    with pytest.raises(TrainError, match="both train and validation"):
-        scorer.train_fold(df, df.limit(5), TrainConfig(labels=["Hit"]))
-    with pytest.raises(TrainError, match="laterality"):
-        TrainConfig(labels=["Hit"], horizontal_flip=True)
-    with pytest.raises(TrainError, match="no labels"):
-        TrainConfig(labels=[])
-    made = scorer.training_config(cfg)
-    assert made.patience == 5 and made.labels == cfg.analysis_labels and made.rotation_degrees == 5
+    with pytest.raises(TrainError, match="share 5 patient"):
+        scorer.train_fold(df, df.limit(5), ScorerSettings(labels=("Hit",)))
+    with pytest.raises(TrainError, match="a label to learn"):
+        ScorerSettings(labels=())
+    made = scorer.scorer_settings(cfg)
+    assert made.patience == 5 and list(made.labels) == cfg.analysis_labels and len(made.strengths) == 3
+    cfg.model["lr"] = 0.1
+    with pytest.raises(TrainError, match="without effect"):
+        scorer.scorer_settings(cfg)
 
 
 # ---- plan document and study stages
@@ -152,7 +171,7 @@ def plan_tables(spark, tier="primary"):
 def test_plan_states_the_configuration(spark, cfg):
     sens = spark.createDataFrame([("Edema", "primary", True)], "label string, `FNR=10%` string, stable boolean")
     text = render_analysis_plan(cfg, *plan_tables(spark), sensitivity=sens, frozen_config="f.yaml")
-    for part in (cfg.config_hash, cfg.split_hash, "Edema", "age_decade", "f.yaml", "20,000", "holm", "FNR=10%"):
+    for part in (cfg.config_hash, cfg.split_hash, "Edema", "age_decade", "f.yaml", "normal approximation", "holm", "FNR=10%"):
         assert part in text
     with pytest.raises(PlanError, match="no label reached"):
         render_analysis_plan(cfg, *plan_tables(spark, "descriptive"))
