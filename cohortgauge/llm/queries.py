@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import attention, bitplanes, feistel, fences, linkrank, mergequeue, qgrams, recompression, simhash, warczip
+from cohortgauge.llm import attention, bitplanes, feistel, fences, linkrank, mergequeue, oracle, qgrams, recompression, simhash, warczip
 from cohortgauge.llm.tables import table
 
 
@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mergequeue": op10_mergequeue,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.STATEMENTS)
