@@ -17,6 +17,8 @@ from cohortgauge.session import materialise
 
 #: Leading hex digits of an md5 order key that name its chunk: 4,096 even chunks.
 CHUNK_DIGITS = 3
+#: Buckets of scores in a group.
+BUCKETS = 4096
 
 
 def hash_rank(df: DataFrame, keys: list[str], order: Column, tie: str, name: str = "rank",
@@ -76,52 +78,49 @@ def ordered_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFra
     )
 
 
+def score_bucket(score: Column) -> Column:
+    """A bucket number that rises with the score, of ``BUCKETS``, the same for any data.
+
+    Between 0 and 1 the log odds are cut, so that probabilities crowding at either end still
+    spread; scores outside share the outer quarters. NaN comes last, as in sorting.
+    """
+    squeeze = lambda x: x / (1.0 + F.abs(x))
+    inside = squeeze(F.ln(score / (1.0 - score)))
+    unit = (
+        F.when(score <= 0, 0.25 * (1.0 + squeeze(score))).when(score < 1, 0.5 + 0.25 * inside)
+        .when(score >= 1, 0.75 + 0.25 * squeeze(score - 1.0))
+    )
+    return F.when(F.isnan(score), F.lit(BUCKETS)).otherwise(F.floor(unit * BUCKETS).cast("int"))
+
+
 def score_curve(df: DataFrame, keys: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
     """Class counts at and above every distinct score.
 
     One row per ``keys`` and score: ``n_pos``/``n_neg`` at the score, ``cum_pos``/
-    ``cum_neg`` at or above it, ``all_pos``/``all_neg`` for the group. Tied rows are
-    folded together before anything is sorted, so a value held by a third of all
-    rows costs one row.
+    ``cum_neg`` at or above it, ``all_pos``/``all_neg`` for the group. Tied rows are folded
+    together before anything is sorted, so a value held by a third of all rows costs one
+    row. Buckets with fixed edges cut each group into ordered pieces; their counts are at most
+    ``BUCKETS`` + 1 rows a group, and nothing is sampled, stored or run before the result is.
     """
-    distinct = (
+    folded = (
         df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
-        .groupBy(*keys, F.col(score).alias("score"))
-        .agg(
-            F.count_if(F.col(truth) == 1).alias("n_pos"),
-            F.count_if(F.col(truth) == 0).alias("n_neg"),
-        )
-        # Descending score order is what the cumulative counts follow.
-        .withColumn("_down", -F.col("score"))
-    )
-    chunked = range_chunks(distinct, keys, ["_down"])
-    totals = chunked.groupBy(*keys, "_chunk").agg(
-        F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n")
+        .groupBy(*keys, score_bucket(F.col(score)).alias("_bucket"), F.col(score).alias("score"))
+        .agg(F.count_if(F.col(truth) == 1).alias("n_pos"), F.count_if(F.col(truth) == 0).alias("n_neg"))
     )
     group = W.partitionBy(*keys)
-    before = group.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_chunk",
-        F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_pos_before"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_neg_before"),
-        F.sum("_p").over(group).alias("all_pos"),
-        F.sum("_n").over(group).alias("all_neg"),
+    above = group.orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = folded.groupBy(*keys, "_bucket").agg(F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_pos_above"),
+        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_neg_above"),
+        F.sum("_p").over(group).alias("all_pos"), F.sum("_n").over(group).alias("all_neg"),
     )
-    inside = W.partitionBy(*keys, "_chunk").orderBy("_down").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
     return (
-        chunked.withColumn("_cp", F.sum("n_pos").over(inside))
-        .withColumn("_cn", F.sum("n_neg").over(inside))
-        .join(offsets, [*keys, "_chunk"])
+        folded.withColumn("_cp", F.sum("n_pos").over(inside)).withColumn("_cn", F.sum("n_neg").over(inside))
+        .join(offsets, [*keys, "_bucket"])
         .select(
-            *keys,
-            "score",
-            "n_pos",
-            "n_neg",
-            (F.col("_cp") + F.col("_pos_before")).alias("cum_pos"),
-            (F.col("_cn") + F.col("_neg_before")).alias("cum_neg"),
-            "all_pos",
-            "all_neg",
+            *keys, "score", "n_pos", "n_neg", (F.col("_cp") + F.col("_pos_above")).alias("cum_pos"),
+            (F.col("_cn") + F.col("_neg_above")).alias("cum_neg"), "all_pos", "all_neg",
         )
     )
 
