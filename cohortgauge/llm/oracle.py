@@ -6,7 +6,7 @@ tests compare those with brute force.
 
 from __future__ import annotations
 
-from cohortgauge.llm import fences, linkrank, recompression
+from cohortgauge.llm import feistel, fences, linkrank, recompression
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -114,4 +114,36 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust A
   THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN r{linkrank.PASSES} USING (host)"""
 
 
-STATEMENTS = {"op1_recompression": repeats(), "op2_warczip": archive(), "op6_fences": rules(), "op9_linkrank": verdicts()}
+def shards() -> str:
+    """Checksums over lists of bytes, the network as nested selects, walks by recursion."""
+
+    def network(source: str, number: str) -> str:
+        text = f"SELECT row, a, b, n, {number} % a AS l, {number} // a AS r FROM {source}"
+        for turn in range(feistel.ROUNDS):
+            side, other, size = ("l", "r", "a") if turn % 2 == 0 else ("r", "l", "b")
+            drawn = f"('0x' || substr(md5('{feistel.SEED}:{turn}:' || {other}), 1, 15))::BIGINT"
+            text = f"SELECT row, a, b, n, ({side} + {drawn} % {size}) % {size} AS {side}, {other} FROM ({text})"
+        return f"SELECT row, n, a, b, r * a + l AS place FROM ({text})"
+
+    half = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    entries = "list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, i: " + half + "))"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, strlen(t) + 1 AS size, hex(encode(t)) AS x FROM d),
+s AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, v: xor(c >> 8, e[(xor(c, v) & 255) + 1]))) AS text_crc32 FROM h, (SELECT {entries} AS e)),
+z AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM d),
+g AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row FROM s),
+k AS (SELECT row, n, a, (n + a - 1) // a AS b FROM g, z),
+w AS (
+  {network("k", "row")}
+  UNION ALL
+  {network("(SELECT * FROM w WHERE place >= n)", "place")}),
+p AS (SELECT row, place FROM w WHERE place < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {feistel.SHARDS})::INT AS shard, place // {feistel.SHARDS} AS slot,
+       NULL::INT AS grown_shard FROM g JOIN p USING (row)"""
+
+
+STATEMENTS = {"op5_feistel": shards(), "op1_recompression": repeats(), "op2_warczip": archive(), "op6_fences": rules(), "op9_linkrank": verdicts()}
