@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cohortgauge.functions.keys import hash_hex, hex_to_long, stratum_key
 from cohortgauge.functions.maths import ratio
 from cohortgauge.operators.ordering import hash_rank
+from cohortgauge.sources.tables import counted
 
 EXTERNAL_FOLD = -1
 
@@ -24,21 +25,21 @@ class SplitError(ValueError):
 def check_fold_request(cohort: DataFrame, stratify_by: list[str], n_folds: int) -> None:
     """Eager guards, one aggregate over the cohort."""
     if "patient_id" not in cohort.columns:
-        raise SplitError("cohort has no 'patient_id' column")
+        raise SplitError("folds need a patient_id column")
     if n_folds < 2:
-        raise SplitError(f"n_folds must be at least 2, got {n_folds}")
+        raise SplitError(f"{n_folds} fold(s) cannot hold anything out")
     if not stratify_by:
-        raise SplitError("stratify_by must name at least one column")
+        raise SplitError("no column to stratify by")
     absent = [c for c in stratify_by if c not in cohort.columns]
     if absent:
-        raise SplitError(f"cannot stratify on absent column(s): {absent}")
+        raise SplitError(f"no column {absent} to stratify by")
     keys = [c for c in ("site",) if c in cohort.columns]
     per_patient = cohort.groupBy(*keys, "patient_id").count()
     row = per_patient.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("count") > 1).alias("dup")).first()
     if not row["n"]:
-        raise SplitError("cannot assign folds to an empty cohort")
+        raise SplitError("a cohort without patients has no folds")
     if row["dup"]:
-        raise SplitError("patient_id is not unique; assign folds on a one-image-per-patient cohort")
+        raise SplitError("several rows of one patient; folds are dealt to patients")
 
 
 def assign_folds(cohort: DataFrame, *, training_sites: list[str], stratify_by: list[str],
@@ -320,6 +321,22 @@ def assemble_out_of_fold(predictions, cohort: DataFrame, *, n_folds: int = 5) ->
     return pooled
 
 
+def assemble_decisions(scores: DataFrame, cohort: DataFrame, labels: list[str], columns: tuple[str, ...] = ("view", "sex", "age")) -> DataFrame:
+    """Long scores beside what the cohort says of the patient and the label's truth.
+
+    A scored patient whom the cohort does not hold raises: such a row would drop out of every
+    rate unseen. Patients without a score stay out; ``assemble_out_of_fold`` looks for them.
+    """
+    held = cohort.select("site", "patient_id").distinct()
+    strangers = scores.select("site", "patient_id").distinct().join(held, ["site", "patient_id"], "left_anti")
+    n, some = counted(strangers, "patient_id")
+    if n:
+        raise SplitError(f"{n} scored patient(s) are not in the cohort, among them {some}")
+    pairs = ", ".join(f"named_struct('label', '{name}', 'truth', cast(`{name}` AS double))" for name in labels)
+    truths = cohort.selectExpr("site", "patient_id", *columns, f"inline(array({pairs}))")
+    return scores.join(truths, ["site", "patient_id", "label"])
+
+
 def leakage(roles: DataFrame) -> DataFrame:
     """Per site and outer fold: patients, and those listed under more than one role."""
     per_patient = roles.groupBy("site", "outer_fold", "patient_id").agg(F.count(F.lit(1)).alias("_n"))

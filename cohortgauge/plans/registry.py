@@ -372,12 +372,10 @@ def _predictions(spark, sf, people):
 
 @query
 def oof_union(spark, sf):
-    people = pop.folded(spark, sf)
-    frames = [
-        people.where(F.col("fold") == k).select("site", "patient_id", F.lit(k).alias("fold"))
-        for k in range(pop.study().n_folds)
-    ]
-    return union_all(frames)
+    """Per-fold predictions pooled after the checks for coverage, repeats and provenance."""
+    people, folds = pop.folded(spark, sf), pop.study().n_folds
+    parts = {k: people.where(F.col("fold") == k).select("site", "patient_id") for k in range(folds)}
+    return splits.assemble_out_of_fold(parts, people, n_folds=folds).select("site", "patient_id", "fold")
 
 
 @query
@@ -514,8 +512,7 @@ def decisions(spark, sf):
 def assemble_decisions(spark, sf):
     cfg = pop.study()
     scored = pop.scores(spark, sf, cfg.training_sites).select("site", "patient_id", "label", "score")
-    truth = pop.scores(spark, sf, cfg.training_sites).select("site", "patient_id", "label", "view", "sex", "age", "truth")
-    return scored.join(truth, ["site", "patient_id", "label"])
+    return splits.assemble_decisions(scored, pop.grouped(spark, sf), cfg.analysis_labels)
 
 
 @query

@@ -110,15 +110,15 @@ def test_guards(people):
         splits.fold_roles(people, val_stratify_by=["view"])
     with pytest.raises(SplitError, match="val_fraction"):
         splits.fold_roles(folds_of(people), val_stratify_by=["view"], val_fraction=1.5)
-    with pytest.raises(SplitError, match="at least 2"):
+    with pytest.raises(SplitError, match="cannot hold"):
         splits.check_fold_request(people, ["view"], 1)
-    with pytest.raises(SplitError, match="at least one column"):
+    with pytest.raises(SplitError, match="no column to stratify"):
         splits.check_fold_request(people, [], 5)
-    with pytest.raises(SplitError, match="absent"):
+    with pytest.raises(SplitError, match="to stratify by"):
         splits.check_fold_request(people, ["nope"], 5)
-    with pytest.raises(SplitError, match="empty"):
+    with pytest.raises(SplitError, match="without patients"):
         splits.check_fold_request(people.limit(0), ["view"], 5)
-    with pytest.raises(SplitError, match="not unique"):
+    with pytest.raises(SplitError, match="several rows"):
         splits.check_fold_request(people.unionByName(people.limit(3)), ["view"], 5)
 
 
@@ -147,3 +147,15 @@ def test_validate_folds_sees_a_split_patient(people):
     assert [r["check"] for r in bad] == ["one_fold_per_patient"]
     with pytest.raises(SplitError, match="more than one fold"):
         splits.require_one_fold(broken)
+
+
+def test_decisions_need_every_scored_patient_in_the_cohort(spark):
+    people = spark.createDataFrame(
+        [("a", "1", "AP", "Male", 50.0, 1.0, None), ("a", "2", "PA", "Male", 60.0, 0.0, 1.0)],
+        "site string, patient_id string, view string, sex string, age double, Edema double, Hernia double",
+    )
+    scores = spark.createDataFrame([("a", "1", "Edema", 0.7), ("a", "1", "Hernia", 0.1)], "site string, patient_id string, label string, score double")
+    got = {r["label"]: (r["score"], r["truth"], r["view"]) for r in splits.assemble_decisions(scores, people, ["Edema", "Hernia"]).collect()}
+    assert got == {"Edema": (0.7, 1.0, "AP"), "Hernia": (0.1, None, "AP")}
+    with pytest.raises(SplitError, match=r"1 scored patient\(s\) .*\['2'\]"):
+        splits.assemble_decisions(scores.withColumn("patient_id", F.lit("2")), people.where("patient_id = '1'"), ["Edema"])
