@@ -140,16 +140,20 @@ def _dealt(rows: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def shard_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
-    """``value, root`` for distinct ``value`` longs: a smaller value of the same class, from each shard."""
+    """``value, root`` for distinct ``value`` longs: a smaller value of the same class, from each shard.
+
+    Parts of bits are equal for certain only while there are more of them than the radius, so a
+    tree holds 2**radius members at least.
+    """
     spark = nodes.sparkSession
-    masks = {0: _first_masks(radius)}
+    masks = {0: _first_masks(radius)}  # by the bits fixed so far, as the long that holds them
     dealt = nodes.select("value", F.lit(0).cast("long").alias("mask"))
     links = []
     while True:
-        table = spark.createDataFrame([(_signed(m), [_signed(f) for f in fine]) for m, fine in masks.items()], "mask long, finer array<long>")
+        table = spark.createDataFrame([(m, [_signed(f) for f in fine]) for m, fine in masks.items()], "mask long, finer array<long>")
         rows = _dealt(dealt, table)
         sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shards = stored(rows.join(sizes, ["mask", "bits"]).select("value", "mask", "bits", (F.col("n") > tree).alias("large")), "shards")
+        shards = stored(rows.join(sizes, ["mask", "bits"]).select("value", "mask", "bits", (F.col("n") > max(tree, 1 << radius)).alias("large")), "shards")
         small = shards.where("not large").drop("large")
         grouped = small.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "value")
         links.append(grouped.mapInArrow(_shard_mapper(radius), "value long, root long"))
