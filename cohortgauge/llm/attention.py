@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortgauge.llm.recompression import span_names
-from cohortgauge.llm.tables import pieces, raw_bytes, slices
+from cohortgauge.llm.tables import portions, slices
 
 #: Words of a passage.
 PASSAGE = 50
@@ -203,19 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in raw_bytes(batch.column("text"))]
-            for begin, end in pieces(texts, 1 << 18):
-                vectors, count = encode_passages(texts[begin:end])
-                at, rows = 0, []
-                for n in count.tolist():
-                    take = at + np.unique(np.linspace(0, n - 1, min(n, SENT)).astype(np.int64))
-                    rows.append(vectors[take].tobytes())
-                    at += n
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(begin, end - begin), "label": batch.column("label").slice(begin, end - begin),
-                    "bag": pa.array(rows, pa.binary()),
-                })
+        for part, texts in portions(batches, "text", 1 << 18):
+            vectors, count = encode_passages(texts)
+            at, rows = 0, []
+            for n in count.tolist():
+                take = at + np.unique(np.linspace(0, n - 1, min(n, SENT)).astype(np.int64))
+                rows.append(vectors[take].tobytes())
+                at += n
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "bag": pa.array(rows, pa.binary())})
 
     schema = T.StructType([picked.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
     rows = picked.mapInArrow(run, schema).dropDuplicates().orderBy("doc_id", "bag").limit(2 * sample).collect()

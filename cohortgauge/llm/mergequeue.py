@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortgauge.llm.tables import per_worker, raw_bytes
+from cohortgauge.llm.tables import per_worker, portions
 
 #: Cached pieces and words of a task; a full cache is emptied.
-CACHED = 600_000
+CACHED = 250_000
 #: Bytes of the longest word that is cached.
 LONGEST = 64
 
@@ -229,8 +229,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = per_worker(("merge queue", hash(definition.value)), lambda: WordCache(MergeQueue(definition.value)))
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            made = [cache.encode(t or b"") for t in raw_bytes(batch.column("text"))]
+        for batch, texts in portions(batches, "text", 1 << 20):
+            made = [cache.encode(t) for t in texts]
             columns = {
                 "id": batch.column("id"), "n_tokens": pa.array([m[0] for m in made], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(m[1].encode()).hexdigest() for m in made], pa.string()),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortgauge.llm.recompression import span_names
-from cohortgauge.llm.tables import pieces, raw_bytes
+from cohortgauge.llm.tables import portions
 
 GRAM = 10
 #: Edits per character of a passage that still count as the passage.
@@ -187,16 +187,13 @@ def with_leaks(
 
 def _mapper(index, text_col: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in raw_bytes(batch.column(text_col))]
-            leaks = []
-            for begin, end in pieces(texts, 1 << 18):
-                leaks += search(texts[begin:end], index.value)
-            at = batch.schema.get_field_index(column)
-            kind = batch.schema.field(at).type
-            before = batch.column(at).to_pylist()
+        for part, texts in portions(batches, text_col, 1 << 18):
+            at = part.schema.get_field_index(column)
+            kind = part.schema.field(at).type
             names = [f.name for f in kind.value_type]
+            before = part.column(at).to_pylist()
+            leaks = search(texts, index.value)
             rows = [(old or []) + [dict(zip(names, x, strict=True)) for x in new] for old, new in zip(before, leaks, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(rows, kind))
+            yield part.set_column(at, part.schema.field(at), pa.array(rows, kind))
 
     return run

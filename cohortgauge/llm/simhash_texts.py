@@ -35,7 +35,11 @@ REACH = 22
 KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 #: Shingles of one block of a shard.
 BLOCK = 2_000_000
+#: Bits of a set's bitmap.
+BITMAP = 4096
 BASE = 0xD1342543DE82EF95
+#: Shards of the first key are compared first; those of the others only where they join classes.
+TURNS = ("first", "rest")
 
 
 def shingle_names(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +55,8 @@ def shingle_names(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, n
     return span_names(word_names(words), start, np.minimum(start + width, bounds[text + 1]), BASE), count
 
 
-def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Fingerprint, number of shingles and shard names of every text."""
+def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, list[tuple[list[int], list[int]]]]:
+    """Fingerprint, number of shingles, and shard names of the first and the other keys of every text."""
     names, count = shingle_names(texts, width)
     full = np.flatnonzero(count)
     start = (np.cumsum(count) - count)[full]
@@ -70,10 +74,11 @@ def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarr
     size = np.log2(np.maximum(count, 1))
     below = size % 1 < -np.log2(similarity)
     shards = []
-    for row, c, b in zip(least, np.floor(size).astype(int).tolist(), below.tolist(), strict=True):
-        named = [xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (k, v, s)) for k, v in enumerate(row.tolist()) for s in ((c, c - 1) if b else (c,))]
-        shards.append([n - (1 << 64) if n >> 63 else n for n in named])
-    return value, count, [s if n else [] for s, n in zip(shards, count.tolist(), strict=True)]
+    for row, c, b, n in zip(least, np.floor(size).astype(int).tolist(), below.tolist(), count.tolist(), strict=True):
+        named = [[xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (k, v, s)) for s in ((c, c - 1) if b else (c,))] if n else [] for k, v in enumerate(row.tolist())]
+        signed = [[x - (1 << 64) if x >> 63 else x for x in names] for names in named]
+        shards.append((signed[0], [x for names in signed[1:] for x in names]))
+    return value, count, shards
 
 
 def _sketch_rows(width: int, similarity: float):
@@ -82,7 +87,7 @@ def _sketch_rows(width: int, similarity: float):
         same = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
         return pa.RecordBatch.from_pydict({
             "id": batch.column("id"), "mark": batch.column("mark"), "same": pa.array(same, pa.binary()), "value": pa.array(value),
-            "shingles": pa.array(count, pa.int64()), "shards": pa.array(shards, pa.list_(pa.int64())),
+            "shingles": pa.array(count, pa.int64()), **{t: pa.array([s[k] for s in shards], pa.list_(pa.int64())) for k, t in enumerate(TURNS)},
         })
 
     return slices(1 << 18, "text", work)
@@ -96,6 +101,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common)
 
 
+def bitmap(names: np.ndarray) -> int:
+    """A bit for each name; a bit that another set lacks is a name that it lacks."""
+    return int.from_bytes(np.packbits(np.isin(np.arange(BITMAP), (names & np.uint64(BITMAP - 1)).astype(np.int64))).tobytes(), "big")
+
+
 def shard_classes(members: list[tuple[bytes, int, np.ndarray]], similarity: float) -> dict[bytes, bytes]:
     """The smallest node of each node's class inside a shard, for nodes that have a partner."""
     members = sorted(members, key=lambda m: m[0])
@@ -107,8 +117,13 @@ def shard_classes(members: list[tuple[bytes, int, np.ndarray]], similarity: floa
             i = root[i]
         return i
 
+    maps = [bitmap(m[2]) for m in members]
     for i, (_, value, shingles) in enumerate(members):
+        own, spare = maps[i], (1 - similarity) * len(shingles) + 1e-6
         for j in tree.within(value, REACH):
+            # Similar sets lack at most this share of each other: most others end here.
+            if (own & ~maps[j]).bit_count() > spare:
+                continue
             a, b = top(i), top(j)
             if a != b and similar(shingles, members[j][2], similarity):
                 root[max(a, b)] = min(a, b)
@@ -139,6 +154,35 @@ def _class_rows(width: int, similarity: float):
     return run
 
 
+def _with_labels(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col("same"))
+    return nodes.join(labels, F.col("same") == F.col("node"), "left").withColumn("label", F.coalesce("label", "same")).drop("node")
+
+
+def _partners(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similarity: float, labels: DataFrame | None) -> DataFrame:
+    """``value, root``: links inside the shards of one turn that hold nodes of several classes, and those known.
+
+    Most groups of near copies share the shards of every key. Once they are one class, their
+    other shards can join nothing and their texts are not sent again.
+    """
+    placed = nodes.select("same", "head.id", "head.mark", "value", "shingles", "label", F.explode(turn).alias("shard"))
+    several = placed.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("shingles").alias("all"))
+    several = stored(several.where("low <> high").select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
+    member = placed.join(several, "shard").groupBy("id", "mark", "same", "value").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
+    member = stored(member, "members").withColumnsRenamed({"id": "its", "mark": "own"}).hint("shuffle_hash")
+    equal = F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own"))
+    with_text = rows.dropDuplicates(["id", "mark"]).join(member, equal).select("same", "value", "text", F.explode("in_shards").alias("of"))
+    block = F.pmod(F.xxhash64("same"), F.col("of.blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1))
+    paired = with_text.select("same", "value", "text", F.col("of.shard").alias("shard"), block.alias("block"), other.alias("other")).select(
+        "same", "value", "text", "shard", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
+    )
+    grouped = paired.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right")
+    links = grouped.mapInArrow(_class_rows(width, similarity), "value binary, root binary")
+    return links if labels is None else links.unionByName(labels.select(F.col("node").alias("value"), F.col("label").alias("root")))
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every class of near copies, with all its columns.
 
@@ -151,27 +195,16 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     kinds = [rows.schema["id"], T.StructField("mark", T.LongType())]
     made = [
         T.StructField("same", T.BinaryType()), T.StructField("value", T.LongType()), T.StructField("shingles", T.LongType()),
-        T.StructField("shards", T.ArrayType(T.LongType())),
+        *[T.StructField(t, T.ArrayType(T.LongType())) for t in TURNS],
     ]
     sketched = stored(rows.mapInArrow(_sketch_rows(width, similarity), T.StructType(kinds + made)), "sketches")
     head = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "mark")).alias("head")
-    nodes = sketched.groupBy("same").agg(head, F.first("value").alias("value"), F.first("shingles").alias("shingles"), F.first("shards").alias("shards"))
+    nodes = sketched.groupBy("same").agg(head, *[F.first(c).alias(c) for c in ("value", "shingles", *TURNS)])
     nodes = stored(nodes, "nodes")
     discard(sketched)
-    placed = nodes.select("same", "head.id", "head.mark", "value", "shingles", F.explode("shards").alias("shard"))
-    several = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("all")).where("n > 1")
-    several = stored(several.select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
-    member = placed.join(several, "shard").groupBy("id", "mark", "same", "value").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
-    member = stored(member, "members").withColumnsRenamed({"id": "its", "mark": "own"}).hint("shuffle_hash")
-    equal = F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own"))
-    with_text = rows.dropDuplicates(["id", "mark"]).join(member, equal).select("same", "value", "text", F.explode("in_shards").alias("of"))
-    block = F.pmod(F.xxhash64("same"), F.col("of.blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1))
-    paired = with_text.select("same", "value", "text", F.col("of.shard").alias("shard"), block.alias("block"), other.alias("other")).select(
-        "same", "value", "text", "shard", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
-    )
-    grouped = paired.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right")
-    labels = classes(grouped.mapInArrow(_class_rows(width, similarity), "value binary, root binary"))
+    labels = None
+    for turn in TURNS:
+        labels = classes(_partners(rows, _with_labels(nodes, labels), turn, width, similarity, labels))
     classed = nodes.join(labels, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("label", "same")).agg(F.min("head").alias("head"))
     kept = classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own"))
     kept = stored(kept, "kept").hint("shuffle_hash")

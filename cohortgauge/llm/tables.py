@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Frees the shuffle files of a finished job, so that a chain of jobs holds one job's files at a time.
@@ -80,30 +81,36 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def pieces(texts: list[bytes], budget: int) -> Iterator[tuple[int, int]]:
+def pieces(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``budget`` bytes; a longer text stands alone."""
-    begin, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > begin and size + len(text) > budget:
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > budget:
             yield begin, i
-            begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``budget`` text bytes, and those texts (null: empty)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for begin, end in pieces(sizes, budget):
+            part = batch.slice(begin, end - begin)
+            yield part, [t or b"" for t in raw_bytes(part.column(text))]
+        pa.default_memory_pool().release_unused()
 
 
 def slices(budget: int, text: str, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch | None]):
-    """An Arrow mapper that hands ``work`` batches of about ``budget`` text bytes (null: empty)."""
+    """An Arrow mapper that hands ``work`` portions of about ``budget`` text bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [t or b"" for t in raw_bytes(batch.column(text))]
-            for begin, end in pieces(texts, budget):
-                made = work(batch.slice(begin, end - begin), texts[begin:end])
-                if made is not None and made.num_rows:
-                    yield made
+        for part, texts in portions(batches, text, budget):
+            made = work(part, texts)
+            if made is not None and made.num_rows:
+                yield made
 
     return run
 
