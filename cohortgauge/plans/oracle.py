@@ -531,7 +531,7 @@ UNION ALL SELECT site, 'metadata_rows', n_meta::VARCHAR, n_meta > 0, '' FROM j
 UNION ALL SELECT site, 'held_matched', {percent("n_match / n_held")}, n_match / n_held >= 0.95,
   coalesce('unmatched e.g. ' || ex, '') FROM j
 UNION ALL SELECT site, 'metadata_covered', {percent("n_match / n_keys")}, true,
-  'share of metadata rows that are held (low is expected after selection)' FROM j""",
+  'metadata rows with a held image; a selection of images keeps it low' FROM j""",
     )
     sql["uncertain_nan"] = with_(IMAGES, f"SELECT patient_id, {RESOLVED} FROM images")
     zeroed = ", ".join(f'CASE WHEN "{n}" = -1 THEN 0.0 ELSE "{n}" END AS "{n}"' for n in LABELS)

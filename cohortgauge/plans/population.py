@@ -1,8 +1,9 @@
 """A study population derived from the order tables.
 
 Each order is a patient with one image. Site, sex, age and view come from the order
-and its customer; labels and scores are keyed hashes of the order with effects of view
-and age planted in them. Nothing is generated: every row is a row of ``orders``.
+and its customer; labels and scores are made up: keyed hashes of the order, with effects of view
+and age planted in them. The rows are those of ``orders``, so the work grows with them;
+the measured values say nothing about the orders.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 @query
 def scan_union(spark, sf):
     orders = pop.table(spark, sf, "orders")
-    full = orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    full = orders.where("NOT o_orderstatus <=> 'P'").select("o_orderkey", "o_orderstatus", "o_totalprice")
     extra = orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
     return tables.scan_union(full, extra)
 

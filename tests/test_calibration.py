@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortgauge.operators import calibration as C
 from cohortgauge.operators import metrics as M
 from cohortgauge.operators.calibration import POOLED, CalibrationError
+from cohortgauge.operators.ordering import BUCKETS, score_bucket, score_curve
 
 KEYS = ["site", "fold", "label"]
 
@@ -143,3 +145,15 @@ def test_unknown_view_takes_the_pooled_temperature(spark):
     assert all(abs(r["calibrated"] - want) < 1e-12 for r in got)
     params = C.fold_parameters(temperatures, thresholds, ["AP", "PA"], "view")
     assert set(params.columns) >= {"T_AP", "T_PA", "threshold", "achieved_sensitivity"}
+
+
+def test_score_curve_counts_as_a_plain_sort_does_for_any_scores(spark):
+    rng = np.random.default_rng(4)
+    scores = np.concatenate([rng.uniform(size=300), rng.uniform(size=100) * 1e-9, 1 - rng.uniform(size=100) * 1e-9, rng.normal(size=200) * 50, [0.0, 1.0, 0.5] * 20])
+    truth = rng.integers(0, 2, len(scores))
+    df = spark.createDataFrame([("g", float(s), float(t)) for s, t in zip(scores, truth, strict=True)], "k string, score double, truth double")
+    buckets = [r["b"] for r in df.select("score", score_bucket(F.col("score")).alias("b")).orderBy("score").collect()]
+    assert buckets == sorted(buckets) and 0 <= buckets[0] and buckets[-1] <= BUCKETS and len(set(buckets)) > 100
+    for r in score_curve(df, ["k"]).collect():
+        assert r["cum_pos"] == int(((scores >= r["score"]) & (truth == 1)).sum()) and r["all_neg"] == int((truth == 0).sum())
+        assert r["cum_neg"] == int(((scores >= r["score"]) & (truth == 0)).sum()) and r["n_pos"] == int(((scores == r["score"]) & (truth == 1)).sum())
