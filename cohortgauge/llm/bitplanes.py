@@ -25,15 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortgauge.llm.tables import new_path, per_worker, raw_bytes, stored
+from cohortgauge.llm.tables import new_path, per_worker, portions, stored
 
 MAGIC = b"IDPLANE1"
 FOOTER = "<QQQQQBI8s"
 #: Ids of a block, and the compression level of its planes.
 BLOCK, LEVEL = 1 << 16, 3
-#: Words whose ids a worker keeps.
-CACHED = 600_000
-LONGEST = 64
+#: Words after which a worker forgets those whose ids it keeps, and text bytes encoded together.
+CACHED, PORTION = 500_000, 1 << 20
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -65,7 +64,7 @@ def from_planes(planes: list[bytes], count: int, unit: str) -> np.ndarray:
 
 
 class PlaneWriter:
-    """Writes one file; ids may be added document by document."""
+    """Writes one file, as documents are added in order."""
 
     def __init__(self, out, unit: str, block: int = BLOCK):
         self.out, self.unit, self.block = out, unit, block
@@ -73,8 +72,9 @@ class PlaneWriter:
         self.waiting, self.held, self.sizes, self.lengths, self.ids = [], 0, [], [], 0
         out.write(MAGIC)
 
-    def add(self, ids: np.ndarray) -> None:
-        self.lengths.append(len(ids))
+    def add(self, ids: np.ndarray, lengths: list[int]) -> None:
+        """The ids of several documents in a row, and how many each has."""
+        self.lengths += lengths
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= self.block:
@@ -154,7 +154,8 @@ class PlaneReader:
 class WordIds:
     """Ids of texts from the tokenizer, with the ids of words kept between texts.
 
-    Holds for tokenizers whose splitting never spans ASCII white space and that drop it.
+    Holds for tokenizers whose splitting never spans ASCII white space and that drop it. The
+    ids of all known words lie in one array; a text's ids are gathered from it.
     """
 
     def __init__(self, definition: str):
@@ -166,23 +167,36 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, list[int]] = {}
-
-    def encode(self, text: bytes) -> list[int]:
-        words = text.split()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = [f.ids for f in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        ends = self.starts[-1] + np.cumsum([len(f) for f in found])
+        new = np.fromiter((i for f in found for i in f), np.uint32)
+        self.starts = np.concatenate([self.starts, ends])
+        self.ids = np.concatenate([self.ids, new])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        lists = [t.split() for t in texts]
+        words = [w for x in lists for w in x]
+        if len(self.numbers) > CACHED:
+            self._empty()
+        fresh = list({*words} - self.numbers.keys())
         if fresh:
-            if len(self.words) + len(fresh) > CACHED:
-                self.words.clear()
-                fresh = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            self.words.update(zip(fresh, [f.ids for f in found], strict=True))
-        known = self.words
-        out = [i for w in words for i in known[w]]
-        for word in fresh:
-            if len(word) > LONGEST:
-                del known[word]
-        return out
+            self._learn(fresh)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        begin, size = self.starts[number], self.starts[number + 1] - self.starts[number]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+        bounds = np.cumsum([0] + [len(x) for x in lists])
+        total = np.append(0, ends)[bounds]
+        return self.ids[place], np.diff(total)
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -214,19 +228,17 @@ def write_ids(
         import uuid
 
         words = per_worker(("word ids", hash(definition.value)), lambda: WordIds(definition.value))
-        writer, ids, part = None, [], None
         store, root = _filesystem(folder)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        writer, ids, part = None, [], None
+        for batch, texts in portions(batches, "text", PORTION):
             if writer is None:
                 part = batch.column("part")[0].as_py()
                 store.create_dir(root, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
                 out = store.open_output_stream(f"{root}/{name}")
                 writer = PlaneWriter(out, unit, block)
-            for text in raw_bytes(batch.column("text")):
-                writer.add(np.array([*words.encode(text or b""), end_id], np.uint32))
+            found, counts = words.encode(texts)
+            writer.add(np.insert(found, np.cumsum(counts), end_id), (counts + 1).tolist())
             ids.append(batch.column("id"))
         if writer is not None:
             writer.close()
