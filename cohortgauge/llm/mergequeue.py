@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from cohortgauge.llm.tables import per_worker, portions
 
-#: Cached pieces and words of a task; a full cache is emptied.
-CACHED = 250_000
+#: Pieces and words that a worker keeps; a full cache is emptied. A lost piece costs a merge, a
+#: lost word only its splitting.
+PIECES, WORDS = 500_000, 300_000
 #: Bytes of the longest word that is cached.
 LONGEST = 64
 
@@ -180,7 +181,7 @@ class WordCache:
     def _piece(self, piece: str) -> Written:
         made = self.pieces.get(piece)
         if made is None:
-            if len(self.pieces) >= CACHED:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             made = self.pieces[piece] = self._written(self.queue.merge(piece))
         return made
@@ -193,7 +194,7 @@ class WordCache:
             parts = [self._piece(p) for p in self.queue.split_up(text)]
             made = parts[0] if len(parts) == 1 else _side_by_side(parts)
         if len(word) <= LONGEST:
-            if len(self.words) >= CACHED:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             self.words[word] = made
         return made
