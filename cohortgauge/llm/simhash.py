@@ -238,6 +238,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     per_value = nodes.join(joined, F.col("value") == F.col("node"), "left").select(
         F.col("value").alias("of"), F.coalesce("smallest", "least").alias("component_id")
     )
+    # Stored, so that the join can split the rows of one fingerprint between tasks.
+    per_value = stored(per_value, "components")
     return rows.join(per_value, F.col("value") == F.col("of")).select(
         "id", "value", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id"
     )
