@@ -55,9 +55,20 @@ def shingle_names(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, n
     return span_names(word_names(words), start, np.minimum(start + width, bounds[text + 1]), BASE), count
 
 
-def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, list[tuple[list[int], list[int]]]]:
-    """Fingerprint, number of shingles, and shard names of the first and the other keys of every text."""
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The same without repeats: each text's names once, in ascending order."""
     names, count = shingle_names(texts, width)
+    text = np.repeat(np.arange(len(texts)), count)
+    order = np.lexsort((names, text))
+    names, text = names[order], text[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+    return names[new], np.bincount(text[new], minlength=len(texts))
+
+
+def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, list[tuple[list[int], list[int]]]]:
+    """Fingerprint, number of different shingles, and shard names of the first and the other keys of every text."""
+    names, count = shingle_sets(texts, width)
     full = np.flatnonzero(count)
     start = (np.cumsum(count) - count)[full]
     ones = np.zeros((len(texts), 64), np.int64)

@@ -214,6 +214,18 @@ def test_one_of_each_class_of_near_copies_stays(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == jaccard_classes(texts, 0.8)
 
 
+def test_repeats_inside_a_text_do_not_hide_a_copy(spark):
+    texts = []
+    for g in range(6):
+        base = " ".join(f"w{g}x{i}" for i in range(40 + 30 * g))
+        texts += [base, " ".join([base] * 2), " ".join([base] * 3)]
+        line = " ".join(f"l{g}y{i}" for i in range(20))  # the line is repeated once, and then nine times
+        texts += [f"{line} {line} a{g} {base}z", " ".join([line] * 9) + f" a{g} {base}z"]
+    want = jaccard_classes(texts, 0.8)
+    assert len(want) <= 12
+    assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == want
+
+
 def test_equal_rows_and_null_ids_keep_one(spark):
     text = " ".join(prose(9, 50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (None, "only this"), (None, "only this")], "doc_id long, text string")
