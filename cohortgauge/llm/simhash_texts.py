@@ -8,6 +8,12 @@ key, and by a size class, since similar texts have similar numbers of shingles.
 BK-tree gives the partners within a wide radius; the similarity is then computed from the whole
 sets of shingles.
 
+Keys and radius can miss a partner, so an exact turn follows for pairs of different classes. A
+text has a partner in another class only if at least that share of its shingles occurs in other
+classes. Names are counted for that, first those of a slice, then all of the texts still open.
+Two partners share one of their rarest names: of n, the n - 0.8 n rarest and one more. These
+names are the shards of the last turn, in which all pairs of different classes are compared.
+
 Texts of equal words are one node before anything else. Nodes that share no shard with another
 are never sent with their text. A shard whose shingles exceed what a task should hold is cut
 into blocks, and every pair of blocks is compared, so no partner is lost.
@@ -29,9 +35,9 @@ from cohortgauge.llm.simhash import BKTree, classes
 from cohortgauge.llm.tables import discard, slices, stored
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Differing bits up to which a partner's similarity is computed; 0.8 gives about 10, with deviation 3.
+#: Differing bits up to which a partner's similarity is computed before the exact turn; 0.8 gives about 10, with deviation 3.
 REACH = 22
-#: Keys of shards. A pair at the least similarity misses all of them once in 600 times.
+#: Keys of shards. A pair at the least similarity misses all of them once in 600 times, and is left to the exact turn.
 KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 #: Shingles of one block of a shard.
 BLOCK = 2_000_000
@@ -40,6 +46,8 @@ BITMAP = 4096
 BASE = 0xD1342543DE82EF95
 #: Shards of the first key are compared first; those of the others only where they join classes.
 TURNS = ("first", "rest")
+#: One of so many names is counted first; most texts have no partner by these alone.
+SLICE = 3
 
 
 def shingle_names(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +100,34 @@ def _sketch(texts: list[bytes], width: int, similarity: float) -> tuple[np.ndarr
     return value, count, shards
 
 
+def _same(texts: list[bytes]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary())
+
+
 def _sketch_rows(width: int, similarity: float):
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         value, count, shards = _sketch(texts, width, similarity)
-        same = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
         return pa.RecordBatch.from_pydict({
-            "id": batch.column("id"), "mark": batch.column("mark"), "same": pa.array(same, pa.binary()), "value": pa.array(value),
+            "id": batch.column("id"), "mark": batch.column("mark"), "same": _same(texts), "value": pa.array(value),
             "shingles": pa.array(count, pa.int64()), **{t: pa.array([s[k] for s in shards], pa.list_(pa.int64())) for k, t in enumerate(TURNS)},
         })
 
     return slices(1 << 18, "text", work)
 
 
+def _set_rows(width: int, part: int):
+    """``same, shingles, names``: of the different names those that ``part`` divides."""
+
+    def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        names, count = shingle_sets(texts, width)
+        taken = names % np.uint64(part) == 0
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), count)[taken], minlength=len(texts)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(names[taken].view(np.int64)))
+        return pa.RecordBatch.from_pydict({"same": _same(texts), "shingles": pa.array(count, pa.int64()), "names": lists})
+
+    return slices(1 << 18, "text", work)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have at least that Jaccard similarity."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -112,9 +136,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common)
 
 
+def _bits(names: np.ndarray) -> np.ndarray:
+    held = np.zeros(BITMAP, bool)
+    held[(names & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(held)
+
+
 def bitmap(names: np.ndarray) -> int:
     """A bit for each name; a bit that another set lacks is a name that it lacks."""
-    return int.from_bytes(np.packbits(np.isin(np.arange(BITMAP), (names & np.uint64(BITMAP - 1)).astype(np.int64))).tobytes(), "big")
+    return int.from_bytes(_bits(names).tobytes(), "big")
 
 
 def shard_classes(members: list[tuple[bytes, int, np.ndarray]], similarity: float) -> dict[bytes, bytes]:
@@ -142,24 +172,45 @@ def shard_classes(members: list[tuple[bytes, int, np.ndarray]], similarity: floa
     return {members[i][0]: members[t][0] for i in range(len(members)) if (t := top(i)) != i}
 
 
-def _class_rows(width: int, similarity: float):
+def pair_links(members: list[tuple[bytes, bytes, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links of nodes that join the labels of ``node, label, shingles``, after comparing all pairs of different classes."""
+    _, group = np.unique([m[1] for m in members], return_inverse=True)
+    sizes = np.array([len(m[2]) for m in members])
+    maps = np.stack([_bits(m[2]).view(np.uint64) for m in members])
+    links = []
+    for i, (node, _, shingles) in enumerate(members):
+        least, most = similarity * sizes[i] - 1e-6, sizes[i] / similarity + 1e-6
+        near = np.flatnonzero((group[:i] != group[i]) & (sizes[:i] >= least) & (sizes[:i] <= most))
+        near = near[np.bitwise_count(maps[i] & ~maps[near]).sum(1) <= (1 - similarity) * sizes[i] + 1e-6]
+        for j in near.tolist():
+            if group[j] != group[i] and similar(shingles, members[j][2], similarity):
+                group[group == group[j]] = group[i]
+                links.append((node, members[j][0]))
+    return links
+
+
+def _class_rows(width: int, similarity: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
         def made() -> Iterator[pa.RecordBatch]:
-            found = shard_classes(members, similarity) if len(members) > 1 else {}
+            if exact:
+                found = pair_links([(node, label, names) for node, label, _, names in members], similarity) if members else []
+            else:
+                found = list(shard_classes([(node, value, names) for node, _, value, names in members], similarity).items()) if len(members) > 1 else []
             if found:
-                yield pa.RecordBatch.from_pydict({"value": pa.array(found.keys(), pa.binary()), "root": pa.array(found.values(), pa.binary())})
+                sides = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in sides], ["value", "root"])
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("shard", "left", "right")), strict=True)
-            nodes, values = batch.column("same").to_pylist(), batch.column("value").to_pylist()
+            nodes, labels, values = (batch.column(c).to_pylist() for c in ("same", "label", "value"))
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for own, node, value, text in zip(keys, nodes, values, texts, strict=True):
+            for own, node, label, value, text in zip(keys, nodes, labels, values, texts, strict=True):
                 if own != key:
                     yield from made()
                     key, members = own, []
-                members.append((node, value & (1 << 64) - 1, np.unique(shingle_names([text], width)[0])))
+                members.append((node, label, value & (1 << 64) - 1, np.unique(shingle_names([text], width)[0])))
         yield from made()
 
     return run
@@ -175,25 +226,64 @@ def _partners(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similari
     """``value, root``: links inside the shards of one turn that hold nodes of several classes, and those known.
 
     Most groups of near copies share the shards of every key. Once they are one class, their
-    other shards can join nothing and their texts are not sent again.
+    other shards can join nothing and their texts are not sent again. Of shards with the same
+    nodes one is enough.
     """
+    exact = turn not in TURNS
     placed = nodes.select("same", "head.id", "head.mark", "value", "shingles", "label", F.explode(turn).alias("shard"))
-    several = placed.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("shingles").alias("all"))
-    several = stored(several.where("low <> high").select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
-    member = placed.join(several, "shard").groupBy("id", "mark", "same", "value").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
+    # In the exact turn, bitmaps of all members are held besides.
+    weight = F.col("shingles") + F.lit(BITMAP // 64 if exact else 0)
+    held = [F.bit_xor(F.xxhash64("same", F.lit(k))).alias(f"held{k}") for k in range(2)]
+    several = placed.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(weight).alias("all"), F.count(F.lit(1)).alias("n"), *held)
+    several = several.where("low <> high").groupBy("held0", "held1", "n").agg(F.min("shard").alias("shard"), F.first("all").alias("all"))
+    several = stored(several.select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
+    member = placed.join(several, "shard").groupBy("id", "mark", "same", "value", "label").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
     member = stored(member, "members").withColumnsRenamed({"id": "its", "mark": "own"}).hint("shuffle_hash")
     equal = F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own"))
-    with_text = rows.dropDuplicates(["id", "mark"]).join(member, equal).select("same", "value", "text", F.explode("in_shards").alias("of"))
+    with_text = rows.dropDuplicates(["id", "mark"]).join(member, equal).select("same", "value", "label", "text", F.explode("in_shards").alias("of"))
     block = F.pmod(F.xxhash64("same"), F.col("of.blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1))
-    paired = with_text.select("same", "value", "text", F.col("of.shard").alias("shard"), block.alias("block"), other.alias("other")).select(
-        "same", "value", "text", "shard", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
+    paired = with_text.select("same", "value", "label", "text", F.col("of.shard").alias("shard"), block.alias("block"), other.alias("other")).select(
+        "same", "value", "label", "text", "shard", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     )
     grouped = paired.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right")
-    links = grouped.mapInArrow(_class_rows(width, similarity), "value binary, root binary")
+    links = grouped.mapInArrow(_class_rows(width, similarity, exact), "value binary, root binary")
     return links if labels is None else links.unionByName(labels.select(F.col("node").alias("value"), F.col("label").alias("root")))
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """``name, often``: the names that nodes of several classes have, and how many nodes."""
+    each = sets.select("class", F.explode("names").alias("name"))
+    counted = each.groupBy("name").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("often"))
+    return stored(counted.where("low <> high").select("name", "often"), "shared")
+
+
+def _open(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The nodes that may have a partner in another class, with the shards of the exact turn in ``exact``."""
+    kind, spare = "same binary, shingles long, names array<long>", F.floor((1 - similarity) * F.col("shingles") + F.lit(1e-6))
+    labelled = nodes.select("same", F.xxhash64("label").alias("class"))
+    sets = rows.mapInArrow(_set_rows(width, SLICE), kind).dropDuplicates(["same"])
+    sets = stored(sets.join(labelled, "same").where("shingles > 0"), "slices")
+    shared = _shared(sets)
+    met = sets.select("same", F.explode("names").alias("name")).join(shared, "name").groupBy("same").agg(F.count(F.lit(1)).alias("met"))
+    left = sets.join(met, "same", "left").where(F.size("names") - F.coalesce("met", F.lit(0)) <= spare).select("same")
+    left = stored(left.join(nodes, "same"), "open")
+    discard(sets, shared)
+    # The same with all names.
+    heads = left.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own")).hint("shuffle_hash")
+    texts = rows.dropDuplicates(["id", "mark"]).join(heads, F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own")), "left_semi")
+    sets = texts.mapInArrow(_set_rows(width, 1), kind)
+    sets = stored(sets.join(left.select("same", F.xxhash64("label").alias("class")), "same"), "sets")
+    shared = _shared(sets)
+    each = sets.select("same", "shingles", F.explode("names").alias("name")).join(shared, "name")
+    common = each.groupBy("same", "shingles").agg(F.array_sort(F.collect_list(F.struct("often", "name"))).alias("common"))
+    rarest = spare + 1 - (F.col("shingles") - F.size("common"))
+    first = F.slice(F.col("common.name"), F.lit(1), rarest.cast("int")).alias("exact")
+    found = stored(left.join(common.where(rarest > 0).select("same", first), "same"), "rarest")
+    discard(left, sets, shared)
+    return found
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every class of near copies, with all its columns.
 
@@ -216,6 +306,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     labels = None
     for turn in TURNS:
         labels = classes(_partners(rows, _with_labels(nodes, labels), turn, width, similarity, labels))
+    open_nodes = _open(rows, _with_labels(nodes, labels), width, similarity)
+    labels = classes(_partners(rows, open_nodes, "exact", width, similarity, labels))
+    discard(open_nodes)
     classed = nodes.join(labels, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("label", "same")).agg(F.min("head").alias("head"))
     kept = classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own"))
     kept = stored(kept, "kept").hint("shuffle_hash")

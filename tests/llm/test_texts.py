@@ -226,6 +226,34 @@ def test_repeats_inside_a_text_do_not_hide_a_copy(spark):
     assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == want
 
 
+def missed_by_keys():
+    """Pairs at 90/112 whose smallest digests differ under all keys."""
+    texts = []
+    for seed in (124, 824, 1650):
+        rng = random.Random(seed)
+        one = [f"m{rng.randrange(10**6)}" for _ in range(104)]
+        other = [*one, "q0", "q1"]
+        other[20] = other[60] = "n"
+        texts += [" ".join(one), " ".join(other)]
+    return texts
+
+
+def test_no_copy_is_lost_where_all_keys_differ(spark):
+    texts = missed_by_keys()
+    _, _, shards = simhash_texts._sketch([t.encode() for t in texts], 5, 0.8)
+    named = [set(first) | set(rest) for first, rest in shards]
+    assert not any(a & b for a, b in zip(named[::2], named[1::2], strict=True))
+    assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == jaccard_classes(texts, 0.8) == {0, 2, 4}
+
+
+@pytest.mark.parametrize("block", [500, simhash_texts.BLOCK])
+def test_exact_turn_alone_finds_all_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_texts, "BLOCK", block)
+    monkeypatch.setattr(simhash_texts, "REACH", -1)  # the turns before find nothing
+    texts = near_copies() + missed_by_keys() + [" ".join(prose(300, 60)) * k for k in (2, 3)]
+    assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == jaccard_classes(texts, 0.8)
+
+
 def test_equal_rows_and_null_ids_keep_one(spark):
     text = " ".join(prose(9, 50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (None, "only this"), (None, "only this")], "doc_id long, text string")
