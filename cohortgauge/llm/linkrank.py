@@ -13,13 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortgauge.llm.tables import stored
+from cohortgauge.llm.tables import discard, stored
 
 #: ``(verdict, host and path prefix)``.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 DAMPING = 0.85
-#: Passes at most, and the largest change of a rank at which passes end before.
-PASSES, TOLERANCE = 40, 1e-6
+#: Passes that the SQL unrolls.
+PASSES = 40
+#: Passes end when no rank changes by more than the tolerance. Each hands on ``DAMPING`` of all change, so
+#: 300 are enough for 10**14 hosts; more raise.
+MOST_PASSES, TOLERANCE = 300, 1e-6
 #: Passes between two stored copies of the ranks.
 LEG = 5
 #: A host is blocked if its distrust is above its trust and above that of a host of which
@@ -57,12 +60,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, passes: int = PASSES, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, passes: int = MOST_PASSES, tolerance: float = TOLERANCE) -> DataFrame:
     """Trust and distrust per host from ``seeds(host, trust, distrust)``.
 
     A host hands on ``damping`` of its rank, shared out by page counts: trust to the hosts
     it links to, distrust to those that link to it. Both directions are one edge table and
-    one join a pass. Ranks are stored every few passes.
+    one join a pass. Ranks are stored every few passes, until they change by no more than
+    ``tolerance``; an error says if that takes more than ``passes``.
     """
     both = links.select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit(1).alias("trusts"), "pages").unionByName(
         links.select(F.col("target").alias("from"), F.col("source").alias("to"), F.lit(0).alias("trusts"), "pages")
@@ -87,9 +91,11 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, pass
             F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))), F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))
         )
         change = ranks.join(old, "host", "left").agg(F.max(moved)).first()[0]
+        if before is not start:
+            discard(before)
         if change is None or change <= tolerance:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"ranks still change by more than {tolerance} after {passes} passes")
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] = RULES, limit: float = LIMIT) -> DataFrame:

@@ -173,6 +173,19 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert got["h1.com"]["verdict"] == "block" and got["h1.com"]["rule"] is None
 
 
+def test_ranks_of_cycles_meet_the_tolerance(spark):
+    edges = {("a", "b"): 1, ("b", "c"): 2, ("c", "a"): 1, ("b", "a"): 1}
+    seeds = {h: {"trust": float(h == "a"), "distrust": float(h == "c")} for h in "abc"}
+    links = spark.createDataFrame([(*e, n) for e, n in edges.items()], "source string, target string, pages long")
+    given = spark.createDataFrame([(h, s["trust"], s["distrust"]) for h, s in seeds.items()], "host string, trust double, distrust double")
+    got = {r["host"]: r for r in linkrank.propagate(links, given).collect()}
+    want = plain_ranks(Counter(edges), seeds, 400)
+    for h in "abc":
+        assert abs(got[h]["trust"] - want["trust"][h]) < 1e-5 and abs(got[h]["distrust"] - want["distrust"][h]) < 1e-5
+    with pytest.raises(RuntimeError, match="after 10 passes"):
+        linkrank.propagate(links, given, passes=10)
+
+
 # ---------------------------------------------------------------- encoding and id files
 
 
