@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortgauge.llm.recompression import span_names
-from cohortgauge.llm.tables import portions, slices
+from cohortgauge.llm.tables import discard, portions, slices, stored
 
 #: Words of a passage.
 PASSAGE = 50
 #: Labelled documents the model is fitted on, at most: those with the smallest digest of their id.
 SAMPLE = 4000
-#: Passages of a sampled document that are sent to the driver, at most, evenly spaced.
-SENT = 64
+#: Passages of all sampled documents together, at most, unless the first document alone has more.
+SENT = 64 * SAMPLE
 HIDDEN, GATES = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 60, 128, 0.01, 1e-4, 7
 THRESHOLD = 0.3
@@ -190,9 +190,10 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """Fit on at most ``sample`` labelled documents that are not held out.
+    """Fit on at most ``sample`` labelled documents that are not held out, each with all its passages.
 
-    Rows without id or label are left out. Without any labelled document the model scores
+    Where ids repeat or documents are long, rows are taken in the order of their digest, up to
+    twice ``sample`` rows and ``SENT`` passages. Rows without id or label are left out. Without any labelled document the model scores
     from its start weights.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -207,13 +208,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             vectors, count = encode_passages(texts)
             at, rows = 0, []
             for n in count.tolist():
-                take = at + np.unique(np.linspace(0, n - 1, min(n, SENT)).astype(np.int64))
-                rows.append(vectors[take].tobytes())
+                rows.append(vectors[at:at + n].tobytes())
                 at += n
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "bag": pa.array(rows, pa.binary())})
 
     schema = T.StructType([picked.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
-    rows = picked.mapInArrow(run, schema).dropDuplicates().orderBy("doc_id", "bag").limit(2 * sample).collect()
+    bagged = stored(picked.mapInArrow(run, schema).dropDuplicates().withColumn("digest", F.xxhash64("doc_id", "label", "bag")), "bags")
+    sizes = bagged.select("digest", F.length("bag").alias("size")).orderBy("digest").limit(2 * sample).collect()
+    total = np.cumsum([r["size"] // (4 * len(NAMES)) for r in sizes])
+    last = sizes[max(0, int(np.searchsorted(total, SENT, "right")) - 1)]["digest"] if sizes else 0
+    rows = bagged.where(F.col("digest") <= F.lit(last)).orderBy("doc_id", "bag").collect()
+    discard(bagged)
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, len(NAMES)).astype(np.float64) for r in rows]
     return GatedAttention.fit(bags, np.array([r["label"] for r in rows]))
 

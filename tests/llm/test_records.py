@@ -324,6 +324,22 @@ def test_held_out_accuracy_and_separate_scoring(spark):
     assert attention.score_rows(docs, nothing).where("score IS NULL").isEmpty()
 
 
+def test_fit_sees_all_passages_and_chooses_rows_by_digest(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(attention.GatedAttention, "fit", classmethod(lambda cls, bags, labels: seen.append((bags, labels))))
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
+    labels = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, quality int")
+    long = " ".join("word" if i != 5025 else "!!!" for i in range(10_000))
+    attention.fit(spark.createDataFrame([(ids[0], long)], "doc_id long, text string"), labels)
+    assert len(seen[0][0][0]) == 200
+    again = [(i, f"{'a' * (k + 1)} text") for i in ids for k in range(12)]
+    attention.fit(spark.createDataFrame(again, "doc_id long, text string"), labels, sample=3)
+    assert len(seen[1][0]) == 6 and set(seen[1][1]) == {0.0, 1.0}
+    monkeypatch.setattr(attention, "SENT", 4)
+    attention.fit(spark.createDataFrame(again, "doc_id long, text string"), labels)
+    assert len(seen[2][0]) == 4
+
+
 # ---------------------------------------------------------------- shared tables, queries, pipeline
 
 
