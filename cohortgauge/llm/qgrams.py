@@ -174,25 +174,38 @@ def with_leaks(
     ``stop`` is where the passage ends in the normalised text. A passage counts with up to
     ``edits`` times its characters inserted, deleted or replaced. A passage that occurs more than
     once in a text is listed once, with its fewest edits. Null and empty texts hold none, null
-    passages and passages shorter than a q-gram are in none. A column of that name is replaced.
+    and empty passages are in none. Passages shorter than a q-gram are found by grams of their own
+    size, also inside words. A column of that name is replaced.
     """
     item_type = benchmark.schema[item_col].dataType
     leak = T.StructType([T.StructField("item", item_type), T.StructField("edits", T.IntegerType()), T.StructField("stop", T.LongType())])
     found = docs.withColumn(column, F.lit(None).cast(T.ArrayType(leak)))
     for block in _blocks(benchmark, item_col, item_text_col):
-        index = docs.sparkSession.sparkContext.broadcast(PassageIndex(block, edits=edits))
-        found = found.mapInArrow(_mapper(index, text_col, column), found.schema)
+        indexes = docs.sparkSession.sparkContext.broadcast(_indexes(block, edits))
+        found = found.mapInArrow(_mapper(indexes, text_col, column), found.schema)
     return found.withColumn(column, F.coalesce(column, F.array().cast(T.ArrayType(leak))))
 
 
-def _mapper(index, text_col: str, column: str):
+def _indexes(block: list[tuple[object, bytes]], edits: float) -> list[PassageIndex]:
+    """An index of the passages that hold a q-gram, and one for every smaller q that shorter ones need."""
+    sizes: dict[int, list[tuple[object, bytes]]] = {}
+    for item, text in block:
+        m = len(normalised(text))
+        # Of as many pieces as the budget and one more, one is met without edits.
+        q = GRAM if m >= GRAM else m // (int(np.floor(edits * m)) + 1)
+        if q:
+            sizes.setdefault(q, []).append((item, text))
+    return [PassageIndex(items, size, edits) for size, items in sorted(sizes.items(), reverse=True)]
+
+
+def _mapper(indexes, text_col: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in portions(batches, text_col, 1 << 18):
             at = part.schema.get_field_index(column)
             kind = part.schema.field(at).type
             names = [f.name for f in kind.value_type]
             before = part.column(at).to_pylist()
-            leaks = search(texts, index.value)
+            leaks = [sum(found, []) for found in zip(*(search(texts, index) for index in indexes.value), strict=True)] or [[]] * len(texts)
             rows = [(old or []) + [dict(zip(names, x, strict=True)) for x in new] for old, new in zip(before, leaks, strict=True)]
             yield part.set_column(at, part.schema.field(at), pa.array(rows, kind))
 

@@ -361,6 +361,18 @@ def test_passages_are_found_within_the_edit_budget_and_not_beyond(spark):
     assert len(set(near)) > 3 and found[60] == {} == found[61] == found[62]
 
 
+def test_items_shorter_than_a_gram_are_found(spark):
+    items = ["Tiny", "two  Wd", "é", "ninechars", "ten chars!", "absent", " ", ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["a tiny one, not TINY", "here two\nwd end", "caf\u00e9", "xninecharsx ten chars!", "ninechar", "", None]
+    for edits in (0.05, 0.2):
+        found = {r["doc_id"]: {(x["item"], x["edits"]) for x in r["leaks"]} for r in qgrams.with_leaks(docs(spark, texts), bench, edits=edits).collect()}
+        for i, text in enumerate(texts):
+            t = " ".join((text or "").lower().split())
+            plain = {(j, edit_distance_inside(m, t)) for j, m in enumerate(" ".join(x.lower().split()) for x in items) if m and t}
+            assert found[i] == {(j, d) for j, d in plain if d <= int(edits * len(" ".join(items[j].lower().split())))}, (i, edits)
+
+
 def test_blocks_case_ties_and_extra_columns(spark, monkeypatch):
     monkeypatch.setattr(qgrams, "BLOCK", 100)
     item = "An ÉCOLE passage that Is long enough to be told apart from others"
