@@ -77,7 +77,7 @@ class Study:
 
     # ---- 2. power gate
     def power_gate(self, frozen_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """Evaluated cells and label tiers, stored with coupling, tier sensitivity and the plan.
+        """Evaluated cells and label tiers, stored with coupling, tier sensitivity, cohort summary and the plan.
 
         A study without a primary label has no plan to freeze; the tables say why.
         """
@@ -107,9 +107,11 @@ class Study:
         write_csv(sensitivity, self.path("analysis", "tier_sensitivity", "csv"))
         coupling = materialise(regression.acquisition_coupling(people))
         write_csv(coupling, self.path("analysis", "acquisition_coupling", "csv"))
+        summary = materialise(cells.cohort_summary(people))
+        write_csv(summary, self.path("analysis", "cohort_summary", "csv"))
         frozen = freeze_config(cfg, frozen_dir).name if (cfg.path and frozen_dir) else None
         text = render_analysis_plan(
-            cfg, tiers, coupling, cells.cohort_summary(people), sensitivity=sensitivity, frozen_config=frozen
+            cfg, tiers, coupling, summary, sensitivity=sensitivity, frozen_config=frozen
         ) if not tiers.where("tier = 'primary'").isEmpty() else None
         if text:
             write_text(self.spark, self.path("analysis", "analysis_plan", "md"), text)

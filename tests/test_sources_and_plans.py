@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_cohort import write_anchored, write_paths, write_tokens
 
 from cohortgauge.config import from_mapping
-from cohortgauge.operators import scorer
+from cohortgauge.operators import cells, scorer
 from cohortgauge.operators.fingerprint import fingerprint
 from cohortgauge.operators.scorer import ScorerSettings, TrainError
 from cohortgauge.plans import population
@@ -225,3 +225,15 @@ def test_study_runs_from_cohorts_to_corrected_results(spark, raw_config, tmp_pat
     corrected = spark.read.option("header", True).csv(study.path("analysis", "corrected", "csv"))
     assert corrected.where("p_adjusted < p_value").isEmpty()
     assert result.replication().count() == 16 and result.sensitivity([0.01, 0.05]).count() == 32
+
+
+def test_power_gate_stores_the_summary_that_the_plan_names(spark, raw_config, tmp_path):
+    raw_config["analysis"]["power"].update(simulation_replicates=500, meaningful_effect=0.9)
+    cfg = from_mapping(raw_config)
+    study = Study(spark, cfg, str(tmp_path))
+    people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
+    for site in cfg.site_names:
+        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+    study.power_gate()
+    stored = spark.read.option("header", True).csv(study.path("analysis", "cohort_summary", "csv"))
+    assert stored.count() == cells.cohort_summary(study.cohorts()).count() > 0
