@@ -6,13 +6,14 @@ import pytest
 import yaml
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 from pyspark import cloudpickle  # noqa: E402
 
 import cohortgauge  # noqa: E402
 from cohortgauge.config import from_mapping  # noqa: E402
 from cohortgauge.session import build_session  # noqa: E402
+from site_files import CHEX, NIH  # noqa: E402
 
 cloudpickle.register_pickle_by_value(cohortgauge)
 
@@ -38,10 +39,6 @@ def cfg(raw_config):
     return from_mapping(copy.deepcopy(raw_config))
 
 
-CHEX = ["Cardiomegaly", "Lung Opacity", "Edema", "Pleural Effusion", "Support Devices", "No Finding"]
-NIH = ["Cardiomegaly", "Effusion", "Edema", "Hernia", "No Finding"]
-
-
 @pytest.fixture()
 def site_config(raw_config):
     """A configuration of three file layouts with small schemas."""

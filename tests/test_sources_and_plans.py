@@ -7,7 +7,6 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
-from test_cohort import write_anchored, write_paths, write_tokens
 
 from cohortgauge.config import from_mapping
 from cohortgauge.operators import cells, scorer
@@ -19,6 +18,7 @@ from cohortgauge.plans.study import Study
 from cohortgauge.sources import imagecache as ic
 from cohortgauge.sources.imagecache import CacheError
 from cohortgauge.sources.tables import markdown_table, scan_union, write_parquet
+from site_files import write_anchored, write_paths, write_tokens
 
 SIZE = 8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
