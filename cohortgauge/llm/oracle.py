@@ -1,12 +1,12 @@
 """SQL for the contract queries that SQL can express, in DuckDB's dialect.
 
-The classifier, the fingerprints' hash, the alignment and the tokenizers have no SQL form;
+The classifiers, the fingerprints' hash, the alignment and the tokenizers have no SQL form;
 tests compare those with brute force.
 """
 
 from __future__ import annotations
 
-from cohortgauge.llm import feistel, fences, linkrank, recompression
+from cohortgauge.llm import centroids, feistel, fences, lehmer, linkrank, recompression
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -146,4 +146,70 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {feistel.SHARDS})::INT
        NULL::INT AS grown_shard FROM g JOIN p USING (row)"""
 
 
-STATEMENTS = {"op5_feistel": shards(), "op1_recompression": repeats(), "op2_warczip": archive(), "op6_fences": rules(), "op9_linkrank": verdicts()}
+def clusters(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """Rounds as a chain of tables: all distances side by side, the nearest kept, floors of means."""
+
+    def near(turn: int) -> str:
+        return f"""a{turn} AS MATERIALIZED (SELECT v.r, arg_min(c.i, struct_pack(d := d, i := c.i)) AS cluster, min(d) AS distance
+  FROM v, c{turn} c, LATERAL (SELECT list_sum(list_transform(list_zip(v.v, c.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d) GROUP BY v.r)"""
+
+    def moved(turn: int) -> str:
+        return f"""m{turn} AS MATERIALIZED (SELECT i, list(f ORDER BY p) AS c FROM (
+  SELECT a.cluster AS i, p, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS f
+  FROM (SELECT r, unnest(v) AS x, unnest(range(len(v))) AS p FROM v) JOIN a{turn} a USING (r) GROUP BY ALL) GROUP BY i),
+c{turn + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.c, c.c) AS c FROM c{turn} c LEFT JOIN m{turn} m ON m.i = c.i)"""
+
+    chain = ",\n".join([near(0), *(f"{moved(t)},\n{near(t + 1)}" for t in range(rounds))])
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) = {centroids.DIMENSION}),
+v AS MATERIALIZED (
+  SELECT r, vec_id, list_transform(x, lambda y: floor(y * {centroids.SCALE})::BIGINT) AS v FROM e
+  WHERE len(list_filter(x, lambda y: isfinite(y))) = {centroids.DIMENSION}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, vec_id, v) - 1 AS i, v AS c FROM (SELECT *, sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v)
+  ORDER BY h, vec_id, v LIMIT {k}),
+{chain},
+s AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, a.cluster::INT AS cluster, distance, cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN s USING (cluster) JOIN c{rounds} c ON c.i = a.cluster"""
+
+
+def orders() -> str:
+    """Every order judged for every kind of row, one by one."""
+    letter = f"SELECT unnest(string_split('{lehmer.LETTERS}', '')) AS x"
+    return f"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (
+  SELECT doc_id, part, concat(
+    CASE WHEN len(w) < {lehmer.FEWEST_WORDS} THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < {lehmer.LEAST_DISTINCT} * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > {lehmer.MOST_CAPITALS} * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[{lehmer.SYMBOLS.decode()}]') THEN 'D' END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM d),
+m AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS ({letter}),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+j AS (SELECT *, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS earlier FROM s),
+g AS (
+  SELECT part, filter_order, step, letter,
+         sum(n) FILTER (len(list_intersect(string_split(fails, ''), string_split(earlier || letter, ''))) = 0 OR fails = '') AS kept,
+         sum(n) FILTER (contains(fails, letter) AND NOT gone) AS removed, sum(n) FILTER (contains(fails, letter) AND gone) AS redundant,
+         sum(n) FILTER (fails = letter) AS unique_fails, sum(good) FILTER (contains(fails, letter) AND NOT gone) AS good_lost,
+         sum(toxic) FILTER (contains(fails, letter) AND NOT gone) AS toxic_lost
+  FROM (SELECT m.*, j.*, earlier <> '' AND fails <> '' AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AS gone FROM m, j)
+  GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g"""
+
+
+STATEMENTS = {
+    "op12_centroids": clusters(), "op13_lehmer": orders(),
+    "op5_feistel": shards(), "op1_recompression": repeats(), "op2_warczip": archive(), "op6_fences": rules(), "op9_linkrank": verdicts(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import attention, bitplanes, feistel, fences, linkrank, mergequeue, oracle, qgrams, recompression, simhash, warczip
+from cohortgauge.llm import attention, bitplanes, centroids, feistel, fences, lehmer, linkrank, mergequeue, oracle, qgrams, recompression, simhash, toxicspans, warczip
 from cohortgauge.llm.tables import table
 
 
@@ -82,6 +82,26 @@ def op10_mergequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergequeue.encode_and_decode(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op11_chainfield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and its offending spans."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicspans.score_rows(docs, toxicspans.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"), toxicspans.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= toxicspans.THRESHOLD).cast("int").alias("predicted"), "spans",
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's cluster, its distance and the sums of distances."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_lehmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in all 120 orders."""
+    return lehmer.audit(lehmer.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_warczip": op2_warczip,
@@ -93,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bitplanes": op8_bitplanes,
     "op9_linkrank": op9_linkrank,
     "op10_mergequeue": op10_mergequeue,
+    "op11_chainfield": op11_chainfield,
+    "op12_centroids": op12_centroids,
+    "op13_lehmer": op13_lehmer,
 }
 
 ORACLE: dict[str, str] = dict(oracle.STATEMENTS)
