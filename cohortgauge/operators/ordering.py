@@ -82,7 +82,9 @@ def score_bucket(score: Column) -> Column:
     """A bucket number that rises with the score, of ``BUCKETS``, the same for any data.
 
     Between 0 and 1 the log odds are cut, so that probabilities crowding at either end still
-    spread; scores outside share the outer quarters. NaN comes last, as in sorting.
+    spread; scores outside share the outer quarters. NaN comes last, as in sorting. Never null,
+    and said so: joins on the bucket then need no null filter, which would spell the score out
+    again below one side and keep both sides from sharing their exchange.
     """
     squeeze = lambda x: x / (1.0 + F.abs(x))
     inside = squeeze(F.ln(score / (1.0 - score)))
@@ -90,7 +92,7 @@ def score_bucket(score: Column) -> Column:
         F.when(score <= 0, 0.25 * (1.0 + squeeze(score))).when(score < 1, 0.5 + 0.25 * inside)
         .when(score >= 1, 0.75 + 0.25 * squeeze(score - 1.0))
     )
-    return F.when(F.isnan(score), F.lit(BUCKETS)).otherwise(F.floor(unit * BUCKETS).cast("int"))
+    return F.coalesce(F.when(F.isnan(score), F.lit(BUCKETS)).otherwise(F.floor(unit * BUCKETS).cast("int")), F.lit(BUCKETS))
 
 
 def score_curve(df: DataFrame, keys: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
