@@ -1,24 +1,24 @@
 """Patient bootstrap on cell counts.
 
 Drawing n patients with replacement and recounting is a multinomial draw over the
-cells (side x view x missed), so a replicate costs a few numbers whatever n is. A
-group's cells are bounded by its views, and one small task draws all its replicates.
+cells (side x view x missed), so a replicate costs a few numbers whatever n is. The
+multinomial is a chain of binomial draws keyed by seed, analysis and replicate: column
+expressions, with replicates as rows dealt over all tasks. A replicate is a set of cells
+like the observed one, and the estimators of the gaps are applied to it unchanged.
 """
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortgauge.functions.draws import binomial_sql, normal_sql, unit_sql
 from cohortgauge.operators.fairness import (
     CELL_KEYS,
     DEFAULT_REFERENCE,
     EQUIVALENCE_MARGIN,
     group_gap,
+    paired_gaps,
     positivity_detail,
     positivity_report,
     significant,
@@ -30,47 +30,49 @@ from cohortgauge.operators.fairness import (
 #: Fewer usable replicates than this give no interval.
 MIN_USABLE = 100
 BOTH = "both"
+GROUP = [*CELL_KEYS, "scope"]
 
 
-def group_seed(seed: int, *parts) -> np.random.SeedSequence:
-    """Seed from the group's own name; no stream is shared between groups."""
-    return np.random.SeedSequence([seed, zlib.crc32("|".join(map(str, parts)).encode())])
-
-
-def resample(side: np.ndarray, view: np.ndarray, positives: np.ndarray, missed: np.ndarray, reference: dict,
-             replicates: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Raw and standardised gap of every replicate, both from the same draw.
+def _shares(cells: DataFrame) -> DataFrame:
+    """One row per analysis and scope: its cells in a fixed order with the shares the chain draws by.
 
-    A side without positives in a replicate makes its gap NaN.
+    ``share`` is the cell's part of what the cells before it leave, ``missed`` its own rate. The
+    array is bounded by three sides times the views.
     """
-    counts = np.concatenate([missed, positives - missed]).astype(np.int64)
-    total = int(counts.sum())
-    if not total:
-        nothing = np.full(replicates, np.nan)
-        return nothing, nothing.copy()
-    draws = rng.multinomial(total, counts / total, size=replicates)
-    k = len(side)
-    lost, all_drawn = draws[:, :k], draws[:, :k] + draws[:, k:]
-
-    def rate(mask):
-        bottom = all_drawn[:, mask].sum(axis=1)
-        return np.divide(
-            lost[:, mask].sum(axis=1), bottom, out=np.full(replicates, np.nan), where=bottom > 0
-        )
-
-    is_a, is_b = side == "a", side == "b"
-    raw = rate(is_b) - rate(is_a)
-    standardised = sum(
-        weight * (rate(is_b & (view == name)) - rate(is_a & (view == name))) for name, weight in reference.items()
+    scopes = F.when(F.col("view").isNull(), F.array(F.lit(BOTH))).otherwise(F.array(F.lit(BOTH), F.col("view")))
+    staged = cells.where("n_positive > 0").select(
+        *CELL_KEYS, F.explode(scopes).alias("scope"),
+        F.struct("side", F.coalesce("view", F.lit("")).alias("view"), "n_positive", "n_missed").alias("cell"),
+    )
+    packed = staged.groupBy(*GROUP).agg(F.array_sort(F.collect_list("cell")).alias("cells"), F.sum("cell.n_positive").alias("total"))
+    before = "aggregate(slice(cells, 1, i), 0L, (t, x) -> t + x.n_positive)"
+    return packed.selectExpr(
+        *GROUP, "total",
+        f"""transform(cells, (c, i) -> named_struct('side', c.side, 'view', c.view, 'share', cast(c.n_positive as double) / (total - {before}),
+            'missed', cast(c.n_missed as double) / c.n_positive)) AS cells""",
     )
-    return raw, standardised
 
 
-def _interval(draws: np.ndarray, ci: float):
-    if len(draws) < MIN_USABLE:
-        return None, None
-    low, high = np.quantile(draws, [(1 - ci) / 2, (1 + ci) / 2])
-    return float(low), float(high)
+def replicate_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The cells of every replicate: ``side, view, n_positive, n_missed`` per analysis, scope and replicate."""
+    spark = cells.sparkSession
+    spread = _shares(cells).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # A few short rows make all the work: a number of partitions that adaptive execution leaves alone.
+    dealt = spread.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *GROUP, "replicate")
+    key = ", ".join(["'" + str(seed) + "'", *GROUP, "cast(replicate as string)", "cast(i as string)"])
+    digests = f"transform(cells, (c, i) -> md5(concat_ws(':', {key})))"
+    u, v = unit_sql("h", 0), unit_sql("h", 2)
+    drawn_by = f"named_struct('u', {u}, 'z', {normal_sql(u, unit_sql('h', 1))}, 'v', {v}, 'y', {normal_sql(v, unit_sql('h', 3))})"
+    keyed = dealt.withColumn("draws", F.expr(f"transform({digests}, h -> {drawn_by})"))
+    first = binomial_sql("(s.rest - s.last)", "cells[i].share", "draws[i].u", "draws[i].z")
+    chain = f"""aggregate(sequence(0, size(cells) - 1), named_struct('rest', total, 'last', 0L, 'drawn', cast(array() as array<bigint>)),
+        (s, i) -> named_struct('rest', s.rest - s.last, 'last', {first}, 'drawn', IF(i = 0, s.drawn, concat(s.drawn, array(s.last)))))"""
+    drawn = keyed.withColumn("chain", F.expr(chain)).withColumn("drawn", F.expr("concat(chain.drawn, array(chain.last))"))
+    return drawn.selectExpr(
+        *GROUP, "replicate",
+        f"""inline(transform(cells, (c, i) -> named_struct('side', c.side, 'view', c.view, 'n_positive', drawn[i],
+            'n_missed', {binomial_sql("drawn[i]", "c.missed", "draws[i].v", "draws[i].y")})))""",
+    )
 
 
 OUT = [
@@ -87,35 +89,22 @@ def bootstrap(cells: DataFrame, *, reference: dict[str, float] | None = None, re
     the raw gap, the standardised gap and their difference come from the replicates
     in which both gaps exist; the others are counted out.
     """
-    mix = reference or DEFAULT_REFERENCE
-    scopes = F.when(F.col("view").isNull(), F.array(F.lit(BOTH))).otherwise(F.array(F.lit(BOTH), F.col("view")))
-    staged = cells.where("n_positive > 0").select(
-        *CELL_KEYS, F.explode(scopes).alias("scope"), "side", F.coalesce("view", F.lit("")).alias("view"),
-        "n_positive", "n_missed",
+    gaps = paired_gaps(replicate_cells(cells, replicates, seed), [*GROUP, "replicate"], reference or DEFAULT_REFERENCE)
+    both = (F.col("scope") == BOTH) & F.col("raw").isNotNull() & F.col("std").isNotNull()
+    ends = F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2))
+    measures = {
+        "": F.col("raw"), "raw_": F.when(both, F.col("raw")), "std_": F.when(both, F.col("std")), "delta_": F.when(both, F.col("raw") - F.col("std")),
+    }
+    folded = gaps.groupBy(*GROUP).agg(
+        F.count("raw").alias("usable"), F.count_if(both).alias("_paired"), *(F.percentile(c, ends).alias(f"_{n}") for n, c in measures.items())
     )
-
-    def draw(block: pd.DataFrame) -> pd.DataFrame:
-        head = [block[k].iloc[0] for k in (*CELL_KEYS, "scope")]
-        # The order cells arrive in must not matter to the draw.
-        block = block.sort_values(["side", "view"])
-        rng = np.random.default_rng(group_seed(seed, *head))
-        raw, std = resample(
-            block["side"].to_numpy(), block["view"].to_numpy(), block["n_positive"].to_numpy(),
-            block["n_missed"].to_numpy(), mix, replicates, rng,
-        )
-        alone = raw[~np.isnan(raw)]
-        row = [*_interval(alone, ci), len(alone)]
-        if head[-1] == BOTH:
-            paired = ~np.isnan(raw) & ~np.isnan(std)
-            r, s = raw[paired], std[paired]
-            row += [*_interval(r, ci), *_interval(s, ci), *_interval(r - s, ci), int(paired.sum())]
-        else:
-            row += [None] * 7
-        return pd.DataFrame([[*head, *row]], columns=[*CELL_KEYS, "scope", *OUT])
-
-    kinds = ", ".join(f"{c} {'long' if c.startswith('usable') else 'double'}" for c in OUT)
-    schema = ", ".join(f"{k} string" for k in (*CELL_KEYS, "scope")) + ", " + kinds
-    return staged.groupBy(*CELL_KEYS, "scope").applyInPandas(draw, schema)
+    enough = lambda n, count: F.when(F.col(count) >= MIN_USABLE, F.col(n))
+    intervals = {}
+    for name in measures:
+        count = "_paired" if name else "usable"
+        intervals[f"{name}ci_low"], intervals[f"{name}ci_high"] = (enough(f"_{name}", count)[i] for i in (0, 1))
+    paired = F.when(F.col("scope") == BOTH, F.col("_paired"))
+    return folded.withColumns({**intervals, "usable_replicates": paired}).select(*GROUP, *OUT)
 
 
 def bootstrap_gaps(cells: DataFrame, draws: DataFrame) -> DataFrame:

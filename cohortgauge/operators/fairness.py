@@ -108,6 +108,13 @@ def standardised_gap(cells: DataFrame, reference: dict[str, float] | None = None
     return rates.withColumn("gap_standardised", F.col("std_rate_b") - F.col("std_rate_a"))
 
 
+def paired_gaps(cells: DataFrame, keys: list[str], reference: dict[str, float]) -> DataFrame:
+    """Raw and standardised gap of every set of cells, ``raw`` and ``std``, from one aggregate."""
+    raw = f"{_rate("side = 'b'")} - {_rate("side = 'a'")} AS raw"
+    std = f"({_standardised('b', reference)}) - ({_standardised('a', reference)}) AS std"
+    return cells.groupBy(*keys).agg(F.expr(raw), F.expr(std))
+
+
 def positivity_detail(cells: DataFrame, reference: dict[str, float] | None = None, min_positives: int = MIN_POSITIVES,
                       max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Each side's observed share of every reference view, and whether it is usable.

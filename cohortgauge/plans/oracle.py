@@ -373,15 +373,103 @@ keepers AS (
   FROM folded WHERE fold >= 0 AND patient_id::BIGINT % 50 <> 0),
 preds AS (SELECT * FROM keepers UNION ALL SELECT * FROM keepers WHERE patient_id::BIGINT % 70 = 3)"""
 
-INTERVALS = f"""{DECIDED}, {mixed({"AP": 0.9, "PA": 0.1})},
+REPLICATES = 2000
+
+
+def _uniform(number: int) -> str:
+    return f"((('0x' || substr(h, {8 * number + 1}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)"
+
+
+def _binomial(n: str, p: str, number: int) -> str:
+    """Quantile of a binomial: terms added up in a list where the variance is small."""
+    u = _uniform(number)
+    z = f"(sqrt(-2::DOUBLE * ln({u})) * cos(2::DOUBLE * pi() * {_uniform(number + 1)}))"
+
+    def summed(q: str) -> str:
+        terms = f"list_transform(range(0, least({n}, 90)), lambda j: {{'f': 0::DOUBLE, 'b': 0::DOUBLE, 'k': 0::BIGINT, 'j': j}})"
+        step = f"{{'f': s.f * ({n} - x.j) / (x.j + 1) * ({q} / (1 - {q})), 'b': s.b + s.f, 'k': s.k + (s.b + s.f <= {u})::BIGINT, 'j': 0::BIGINT}}"
+        start = f"{{'f': pow(1 - {q}, {n}), 'b': 0::DOUBLE, 'k': 0::BIGINT, 'j': 0::BIGINT}}"
+        return f"list_reduce({terms}, lambda s, x: {step}, {start}).k"
+
+    var = f"({n} * {p} * (1 - {p}))"
+    far = f"floor({n} * {p} + sqrt({var}) * {z} + (1 - 2 * {p}) * ({z} * {z} - 1) / 6 + 0.5)"
+    return f"""CASE WHEN {n} = 0 OR {p} <= 0 THEN 0 WHEN {p} >= 1 THEN {n} WHEN {var} >= 9 THEN least({n}, greatest(0, {far}::BIGINT))
+      WHEN {p} <= 0.5 THEN {summed(p)} ELSE {n} - {summed(f"(1 - {p})")} END"""
+
+
+def resampled(mix: dict[str, float]) -> str:
+    """Gaps of every replicate, the cells drawn one after the other by recursion, and their intervals."""
+    side = "CASE level WHEN level_a THEN 'a' WHEN level_b THEN 'b' ELSE 'other' END"
+    key = "concat_ws(':', '42', site, label, stratum, level_a, level_b, scope, rep::VARCHAR, i::VARCHAR)"
+
+    def rate(where: str) -> str:
+        return f"(sum(m) FILTER ({where}))::DOUBLE / nullif(sum(k) FILTER ({where}), 0)"
+
+    std = " - ".join("(" + " + ".join(f"{w}::DOUBLE * ({rate(f"side = '{s}' AND view = '{v}'")})" for v, w in mix.items()) + ")" for s in "ba")
+    ends = [f"quantile_cont({v}, {q}) AS {n}_{e}" for n, v in (("g", "raw"), ("r", "praw"), ("s", "pstd"), ("d", "praw - pstd")) for e, q in (("l", 0.025), ("h", 0.975))]
+    return f"""
+bcells AS (SELECT {KEYS}, {side} AS side, coalesce(view, '') AS view, count(*) AS n, sum(missed)::BIGINT AS m FROM sick GROUP BY ALL),
+bscoped AS (SELECT *, 'both' AS scope FROM bcells UNION ALL SELECT *, view FROM bcells WHERE view <> ''),
+bnumbered AS (
+  SELECT *, (row_number() OVER w - 1)::INTEGER AS i, (sum(n) OVER (PARTITION BY {KEYS}, scope))::BIGINT AS total,
+         n / (sum(n) OVER (PARTITION BY {KEYS}, scope) - (sum(n) OVER w - n))::DOUBLE AS share, m / n::DOUBLE AS rate
+  FROM bscoped WINDOW w AS (PARTITION BY {KEYS}, scope ORDER BY side, view)),
+bkeyed AS (SELECT *, md5({key}) AS h FROM bnumbered, (SELECT unnest(range(1, {REPLICATES} + 1)) AS rep)),
+bchain AS (
+  SELECT {KEYS}, scope, rep, i, total AS rest, ({_binomial("total", "share", 0)})::BIGINT AS k FROM bkeyed WHERE i = 0
+  UNION ALL
+  SELECT {KEYS}, scope, rep, i, rest, ({_binomial("rest", "share", 0)})::BIGINT
+  FROM (SELECT n.*, c.rest - c.k AS rest FROM bchain c JOIN bkeyed n USING ({KEYS}, scope, rep) WHERE n.i = c.i + 1)),
+bdrawn AS (
+  SELECT {KEYS}, scope, rep, side, view, k, ({_binomial("k", "rate", 2)})::BIGINT AS m FROM bchain JOIN bkeyed USING ({KEYS}, scope, rep, i)),
+bgaps AS (
+  SELECT {KEYS}, scope, rep, {rate("side = 'b'")} - {rate("side = 'a'")} AS raw, {std} AS std FROM bdrawn GROUP BY ALL),
+bfolded AS (
+  SELECT {KEYS}, scope, count(raw) AS usable, count(praw) AS paired, {", ".join(ends)}
+  FROM (SELECT *, CASE WHEN scope = 'both' AND std IS NOT NULL THEN raw END AS praw, CASE WHEN scope = 'both' AND raw IS NOT NULL THEN std END AS pstd FROM bgaps)
+  GROUP BY ALL)"""
+
+
+def _deltas(mix: dict[str, float]) -> str:
+    """The difference of both gaps with its interval, NULL below 100 usable replicates."""
+    return f"""{DECIDED}, {mixed(mix)}, {resampled(mix)},
 gap0 AS (
   SELECT {KEYS}, avg(missed) FILTER (level = level_b) - avg(missed) FILTER (level = level_a) AS gap,
-         count(*) FILTER (level IN (level_a, level_b)) AS n
+         count(*) FILTER (level = level_a) AS n_a, count(*) FILTER (level = level_b) AS n_b
   FROM sick GROUP BY ALL),
 intervals AS (
-  SELECT site, label, stratum, {r6("gap - (sb - sa)")} AS delta, delta - 0.25::DOUBLE / sqrt(n) AS low,
-         delta + 0.25::DOUBLE / sqrt(n) AS high
-  FROM gap0 JOIN mixed USING ({KEYS}))"""
+  SELECT {KEYS}, n_a, n_b, gap, sb - sa AS std, gap - (sb - sa) AS delta, coalesce(paired, 0) AS paired,
+         {", ".join(f"CASE WHEN paired >= 100 THEN {n}_{e} END AS {n}_{e}" for n in "rsd" for e in "lh")},
+         CASE WHEN paired >= 100 THEN d_l END AS low, CASE WHEN paired >= 100 THEN d_h END AS high
+  FROM gap0 JOIN mixed USING ({KEYS}) LEFT JOIN (SELECT * FROM bfolded WHERE scope = 'both') USING ({KEYS}))"""
+
+
+INTERVALS = _deltas(pop.study().reference_mix)
+
+
+def positivity_of(mix: dict[str, float], fewest: int, far: float) -> str:
+    """Every side's share of every referenced view, counted one by one, and the problems of each analysis."""
+    values = ", ".join(f"('{v}', {w}::DOUBLE, {i})" for i, (v, w) in enumerate(mix.items()))
+    return f"""
+slots AS (
+  SELECT {KEYS}, level_a AS level, 0 AS k FROM keyset UNION ALL SELECT {KEYS}, level_b, {len(mix)} FROM keyset),
+mix AS (SELECT * FROM (VALUES {values}) AS v(view, w, i)),
+counted AS (
+  SELECT site, label, stratum, level_a, level_b, s.level, m.view, w, k + i AS pos,
+    (SELECT count(*) FROM sick x WHERE x.site = s.site AND x.label = s.label AND x.stratum = s.stratum AND x.level = s.level
+       AND x.view = m.view) AS n,
+    (SELECT count(*) FROM sick x WHERE x.site = s.site AND x.label = s.label AND x.stratum = s.stratum AND x.level = s.level) AS total
+  FROM slots s CROSS JOIN mix m),
+detail AS (
+  SELECT {KEYS}, pos, level, view, n AS n_positive, {r6("n / nullif(total, 0)", 4)} AS observed_share, w AS reference_weight,
+    {r6("abs(n / nullif(total, 0) - w)", 4)} AS reweight_distance,
+    CASE WHEN n < {fewest} THEN level || '/' || view || ': ' || n || ' positives'
+         WHEN abs(n / nullif(total, 0) - w) > {far} THEN level || '/' || view || ': observed '
+           || printf('%.2f', round(n / total, 2)) || ' reweighted to ' || printf('%.2f', w) END AS problem
+  FROM counted),
+positive AS (
+  SELECT {KEYS}, count(problem) = 0 AS positivity_ok, coalesce(string_agg(problem, '; ' ORDER BY pos), '') AS positivity_note
+  FROM detail GROUP BY ALL)"""
 
 
 def verdict(margin: float) -> str:
@@ -403,7 +491,7 @@ tests AS (SELECT *, {two_sided("(b / se)")} AS p FROM closed)"""
 
 
 def with_(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select}"
+    return f"WITH RECURSIVE {ctes}\n{select}" if "bchain" in ctes else f"WITH {ctes}\n{select}"
 
 
 def percent(value: str) -> str:
@@ -901,30 +989,25 @@ LEFT JOIN (SELECT * FROM ev WHERE view = 'PA') vp USING (site, label)""",
     sql["standardised_gap"] = with_(
         f"{DECIDED}, {mixed({'AP': 0.5, 'PA': 0.5})}", f"SELECT {KEYS}, {r6('sb - sa')} AS gap_standardised FROM mixed"
     )
-    positivity = f"""{DECIDED},
-slots AS (
-  SELECT {KEYS}, level_a AS level, 0 AS k FROM keyset UNION ALL SELECT {KEYS}, level_b, 2 FROM keyset),
-mix AS (SELECT * FROM (VALUES ('AP', 0.8::DOUBLE, 0), ('PA', 0.2::DOUBLE, 1)) AS v(view, w, i)),
-counted AS (
-  SELECT site, label, stratum, level_a, level_b, s.level, m.view, w, k + i AS pos,
-    (SELECT count(*) FROM sick x WHERE x.site = s.site AND x.label = s.label AND x.stratum = s.stratum AND x.level = s.level
-       AND x.view = m.view) AS n,
-    (SELECT count(*) FROM sick x WHERE x.site = s.site AND x.label = s.label AND x.stratum = s.stratum AND x.level = s.level) AS total
-  FROM slots s CROSS JOIN mix m),
-detail AS (
-  SELECT {KEYS}, pos, level, view, n AS n_positive, {r6("n / nullif(total, 0)", 4)} AS observed_share, w AS reference_weight,
-    {r6("abs(n / nullif(total, 0) - w)", 4)} AS reweight_distance,
-    CASE WHEN n < 45 THEN level || '/' || view || ': ' || n || ' positives'
-         WHEN abs(n / nullif(total, 0) - w) > 0.3 THEN level || '/' || view || ': observed '
-           || printf('%.2f', round(n / total, 2)) || ' reweighted to ' || printf('%.2f', w) END AS problem
-  FROM counted)"""
+    positivity = f"{DECIDED}, {positivity_of({'AP': 0.8, 'PA': 0.2}, 45, 0.3)}"
     sql["positivity_report"] = with_(positivity, "SELECT * EXCLUDE (pos) FROM detail")
     sql["positivity_verdict"] = with_(
-        positivity,
-        f"""SELECT {KEYS}, count(problem) = 0 AS positivity_ok, coalesce(string_agg(problem, '; ' ORDER BY pos), '') AS positivity_note
-FROM detail GROUP BY ALL""",
-    )
-    sql["verdict"] = with_(INTERVALS, f"SELECT site, label, stratum, delta, {verdict(0.02)} AS verdict FROM intervals")
+        positivity, "SELECT * FROM positive",
+    )
+    positivity_ok = positivity_of(pop.study().reference_mix, 10, 0.3)
+    sql["bootstrap_gap"] = with_(
+        f"{DECIDED}, {resampled({'AP': 0.5, 'PA': 0.5})}",
+        f"""SELECT {KEYS}, g.view, rate_a, rate_b, n_a, n_b, gap, {r6("CASE WHEN usable >= 100 THEN g_l END")} AS ci_low,
+  {r6("CASE WHEN usable >= 100 THEN g_h END")} AS ci_high, coalesce(usable >= 100 AND (g_l > 0 OR g_h < 0), false) AS significant
+FROM (SELECT *, 'both' AS view FROM ({gaps()}) UNION ALL BY NAME FROM ({gaps("view")}) WHERE view IS NOT NULL) g
+LEFT JOIN bfolded b USING ({KEYS}) WHERE g.view = b.scope OR b.scope IS NULL""",
+    )
+    delta = f"""SELECT {KEYS}, n_a, n_b, {r6("gap")} AS gap_raw, {r6("std")} AS gap_standardised,
+  {", ".join(f"{r6(f'{n}_{e}')} AS {long}_ci_{end}" for n, long in (("r", "raw"), ("s", "std"), ("d", "delta")) for e, end in (("l", "low"), ("h", "high")))},
+  paired AS usable_replicates, positivity_ok, positivity_note, {r6("delta")} AS delta, {verdict(0.02)} AS verdict,
+  0.02::DOUBLE AS equivalence_margin, 2000 AS attempted_replicates FROM intervals JOIN positive USING ({KEYS})"""
+    sql["delta_gap"] = sql["analyse_label"] = with_(f"{INTERVALS}, {positivity_ok}", delta)
+    sql["verdict"] = with_(INTERVALS, f"SELECT site, label, stratum, {r6('delta')} AS delta, {verdict(0.02)} AS verdict FROM intervals")
     named = ", ".join(f'{verdict(m)} AS "margin={m}"' for m in registry.MARGINS)
     first, second, third = (verdict(m) for m in registry.MARGINS)
     sql["verdict_sensitivity"] = with_(

@@ -592,18 +592,26 @@ def positivity_verdict(spark, sf):
 @query
 def bootstrap_gap(spark, sf):
     wanted = _cells(spark, sf)
-    return bootstrap.bootstrap_gaps(wanted, bootstrap.bootstrap(wanted))
+    return rounded(bootstrap.bootstrap_gaps(wanted, bootstrap.bootstrap(wanted)), "rate_a", "rate_b", "gap", "ci_low", "ci_high")
+
+
+DELTAS = ["gap_raw", "gap_standardised", "delta", *(f"{n}_ci_{e}" for n in ("raw", "std", "delta") for e in ("low", "high"))]
+
+
+def _deltas(spark, sf):
+    """Gap differences with the intervals of their replicates."""
+    wanted, mix = _cells(spark, sf), pop.study().reference_mix
+    return bootstrap.delta_gaps(wanted, bootstrap.bootstrap(wanted, reference=mix), reference=mix)
 
 
 @query
 def delta_gap(spark, sf):
-    wanted = _cells(spark, sf)
-    return bootstrap.delta_gaps(wanted, bootstrap.bootstrap(wanted, reference=pop.study().reference_mix))
+    return rounded(_deltas(spark, sf), *DELTAS)
 
 
 @query
 def analyse_label(spark, sf):
-    return analyse(pop.quick_decisions(spark, sf), pop.study()).standardised
+    return rounded(analyse(pop.quick_decisions(spark, sf), pop.study()).standardised, *DELTAS)
 
 
 @query
@@ -611,35 +619,19 @@ def analysis_notes(spark, sf):
     return analyse(pop.quick_decisions(spark, sf), pop.study()).notes
 
 
-def _intervals(spark, sf):
-    """Gap differences with a plain interval, so that SQL can check the verdicts."""
-    wanted = _cells(spark, sf)
-    raw = fairness.group_gap(wanted).select(*fairness.CELL_KEYS, "gap", "n_a", "n_b")
-    std = fairness.standardised_gap(wanted, {"AP": 0.9, "PA": 0.1}).select(*fairness.CELL_KEYS, "gap_standardised")
-    table = raw.join(std, fairness.CELL_KEYS).selectExpr(
-        "*", f"round(gap - gap_standardised + {NUDGE}D, 6) AS delta", "0.25D / sqrt(cast(n_a + n_b as double)) AS _half"
-    )
-    return table.selectExpr("*", "delta - _half AS delta_ci_low", "delta + _half AS delta_ci_high")
-
-
 @query
 def verdict(spark, sf):
-    table = _intervals(spark, sf)
-    named = fairness.verdict(F.col("delta_ci_low"), F.col("delta_ci_high"), fairness.EQUIVALENCE_MARGIN)
-    return table.select("site", "label", "stratum", "delta", named.alias("verdict"))
+    return rounded(_deltas(spark, sf).select("site", "label", "stratum", "delta", "verdict"), "delta")
 
 
 @query
 def verdict_sensitivity(spark, sf):
-    return fairness.verdict_sensitivity(_intervals(spark, sf), MARGINS)
+    return fairness.verdict_sensitivity(_deltas(spark, sf), MARGINS)
 
 
 @query
 def replication(spark, sf):
-    sites_wanted = pop.study().training_sites
-    table = _intervals(spark, sf).where(F.col("site").isin(sites_wanted))
-    named = fairness.verdict(F.col("delta_ci_low"), F.col("delta_ci_high"), fairness.EQUIVALENCE_MARGIN)
-    return fairness.replication(table.withColumn("verdict", named))
+    return fairness.replication(_deltas(spark, sf).where(F.col("site").isin(pop.study().training_sites)))
 
 
 # ------------------------------------------------------------- models and families
