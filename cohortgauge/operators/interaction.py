@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from cohortgauge.functions.maths import two_sided_p
 from cohortgauge.operators.cells import level_columns
+from cohortgauge.operators.fairness import FairnessError
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.operators.regression import newton_logistic
 
 MIN_POSITIVES = 30
 Z95 = 1.959963984540054
+#: A fitted probability closer to 0 or 1 than this is separation, not an estimate.
+SEPARATED = 1e-7
 
 
 def interaction_cells(cube: DataFrame, stratum: str, min_events: int = 10) -> DataFrame:
@@ -86,11 +89,21 @@ def interaction_closed(cube: DataFrame, contrasts: dict[str, tuple[str, str]], m
     )
 
 
-def _design(block: pd.DataFrame, stratum: str, adjust: list[str]):
+def _levels(cells: DataFrame, columns: list[str], levels: dict[str, list[str]] | None) -> dict[str, list[str]]:
+    """The levels of every column over all sites and labels; a handful of categories."""
+    found = cells.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns)).first()
+    given = levels or {}
+    for column in columns:
+        unlisted = set(found[column]) - set(given.get(column, found[column]))
+        if unlisted:
+            raise FairnessError(f"{column} has levels that are not listed: {sorted(unlisted)}")
+    return {c: sorted(given.get(c, found[c])) for c in columns}
+
+
+def _design(block: pd.DataFrame, stratum: str, adjust: list[str], levels: dict[str, list[str]]):
     """Treatment coding against the alphabetically first level, term names as formulas write them."""
     def dummies(column):
-        levels = sorted(block[column].unique())
-        return {f"C({column})[T.{v}]": (block[column] == v).to_numpy(float) for v in levels[1:]}
+        return {f"C({column})[T.{v}]": (block[column] == v).to_numpy(float) for v in levels[column][1:]}
 
     main, view = dummies(stratum), dummies("view")
     columns = {"Intercept": np.ones(len(block)), **main, **view}
@@ -100,12 +113,26 @@ def _design(block: pd.DataFrame, stratum: str, adjust: list[str]):
     return list(columns), np.column_stack(list(columns.values()))
 
 
-def interaction_model(cube: DataFrame, stratum: str, adjust_for: list[str] | None = None,
-                      min_events: int = 10) -> DataFrame:
-    """Adjusted logistic model of a miss among positives, one per site and label.
+def _failure(block: pd.DataFrame, used: list[str], levels: dict[str, list[str]], converged: bool, x, beta) -> str | None:
+    """Why a fit cannot be reported; None where it can."""
+    absent = [f"{c}={v}" for c in used for v in levels[c] if not (block[c] == v).any()]
+    if absent:
+        return f"no positives at {', '.join(absent)}"
+    if not converged:
+        return "the fit did not converge"
+    fitted = 1 / (1 + np.exp(-(x @ beta)))
+    if np.minimum(fitted, 1 - fitted).min() < SEPARATED:
+        return "separation: fitted probabilities of 0 or 1"
+    return None
+
 
-    ``error ~ stratum + view + adjust_for + stratum:view``. Models a guard rejects are
-    absent; :func:`guard_notes` says why.
+def fit_interactions(cube: DataFrame, stratum: str, adjust_for: list[str] | None = None, min_events: int = 10,
+                     levels: dict[str, list[str]] | None = None) -> DataFrame:
+    """Coefficients and errors per site, label and term; one row with a ``note`` where a fit fails.
+
+    ``error ~ stratum + view + adjust_for + stratum:view`` among positives. Levels hold for all
+    sites and labels, so every model has the same terms: a site that lacks a level gets a note,
+    not a smaller model. Models a guard rejects are absent; :func:`guard_notes` says why.
     """
     adjust = [c for c in (adjust_for or []) if c in cube.columns and c != stratum]
     used = [stratum, "view", *adjust]
@@ -114,27 +141,43 @@ def interaction_model(cube: DataFrame, stratum: str, adjust_for: list[str] | Non
     for column in used:
         cells = cells.where(F.col(column).isNotNull())
     cells = cells.groupBy("site", "label", *used).agg(F.sum("n_positive").alias("n"), F.sum("n_missed").alias("y"))
+    known = _levels(cells, used, levels)
 
     def fit(block: pd.DataFrame) -> pd.DataFrame:
-        names, x = _design(block, stratum, adjust)
+        names, x = _design(block, stratum, adjust, known)
         beta, covariance, converged = newton_logistic(x, block["n"].to_numpy(float), block["y"].to_numpy(float))
-        if not converged:
-            names, beta, error = ["(not converged)"], np.array([np.nan]), np.array([np.nan])
+        note = _failure(block, used, known, converged, x, beta)
+        if note:
+            rows = [(None, None, None, note)]
         else:
-            error = np.sqrt(np.diag(covariance))
-        out = pd.DataFrame({"term": names, "coefficient": beta, "std_error": error})
-        out = out.astype(object).where(out.notna(), None)
-        out.insert(0, "label", block["label"].iloc[0])
-        out.insert(0, "site", block["site"].iloc[0])
-        return out
+            rows = list(zip(names, beta.tolist(), np.sqrt(np.diag(covariance)).tolist(), [None] * len(names), strict=True))
+        head = (block["site"].iloc[0], block["label"].iloc[0])
+        out = pd.DataFrame([(*head, *r) for r in rows], columns=["site", "label", "term", "coefficient", "std_error", "note"])
+        return out.astype(object).where(out.notna(), None)
 
     fits = cells.join(allowed, ["site", "label"], "left_semi").groupBy("site", "label").applyInPandas(
-        fit, "site string, label string, term string, coefficient double, std_error double"
+        fit, "site string, label string, term string, coefficient double, std_error double, note string"
     )
+    return fits.withColumn("stratum", F.lit(stratum))
+
+
+def fitted_terms(fits: DataFrame) -> DataFrame:
+    """Odds ratios, intervals and p-values of the fits that converged."""
     beta, se = F.col("coefficient"), F.col("std_error")
-    return fits.select(
-        "label", "site", F.lit(stratum).alias("stratum"), "term", "coefficient", F.exp(beta).alias("odds_ratio"),
+    return fits.where("note is null").select(
+        "label", "site", "stratum", "term", "coefficient", F.exp(beta).alias("odds_ratio"),
         F.exp(beta - Z95 * se).alias("ci_low"), F.exp(beta + Z95 * se).alias("ci_high"),
         two_sided_p(F.try_divide(beta, se)).alias("p_value"),
         (F.instr("term", ":") > 0).alias("is_interaction"),
     )
+
+
+def fit_notes(fits: DataFrame) -> DataFrame:
+    """Site, label and stratum of the fits that failed, and why."""
+    return fits.where("note is not null").select("site", "label", "stratum", "note")
+
+
+def interaction_model(cube: DataFrame, stratum: str, adjust_for: list[str] | None = None, min_events: int = 10,
+                      levels: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adjusted logistic model of a miss among positives, one per site and label."""
+    return fitted_terms(fit_interactions(cube, stratum, adjust_for, min_events, levels))

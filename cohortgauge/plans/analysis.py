@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortgauge.config import StudyConfig
 from cohortgauge.operators.bootstrap import bootstrap, bootstrap_gaps, delta_gaps
 from cohortgauge.operators.fairness import contrast_cells, outcome_cube, replication, verdict_sensitivity
-from cohortgauge.operators.interaction import guard_notes, interaction_model
+from cohortgauge.operators.interaction import fit_interactions, fit_notes, fitted_terms, guard_notes
 from cohortgauge.operators.multiplicity import benjamini_hochberg, holm
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.session import materialise
@@ -37,7 +37,7 @@ def analyse(decisions: DataFrame, cfg: StudyConfig, *, replicates: int | None =
     """Gaps, standardised gaps and interaction models from one scan of the decisions.
 
     The scan's result, the outcome cube, is stored: every table below reads those few
-    rows. A model a guard rejects becomes a note and costs nothing else.
+    rows. A model a guard rejects becomes a note and costs nothing else; so does a fit that fails.
     """
     contrasts = cfg.contrasts
     settings = cfg.analysis
@@ -58,19 +58,18 @@ def analyse(decisions: DataFrame, cfg: StudyConfig, *, replicates: int | None =
         max_distance=float(positivity.get("max_reweight_distance", 0.30)),
     )
     min_events = int((settings.get("interaction") or {}).get("min_events_per_cell", 10))
-    models = union_all(
-        [interaction_model(cube, s, [c for c in contrasts if c != s], min_events) for s in contrasts]
-    )
+    fits = materialise(union_all([fit_interactions(cube, s, [c for c in contrasts if c != s], min_events) for s in contrasts]))
     refused = union_all([guard_notes(cube, s, min_events) for s in contrasts]).where("note is not null")
     notes = union_all(
         [
             refused.withColumn("note", F.concat(F.lit("interaction model not fitted: "), "note")),
+            fit_notes(fits).withColumn("note", F.concat(F.lit("interaction model not reported: "), "note")),
             standardised.where(~F.col("positivity_ok")).select(
                 "site", "label", "stratum", F.concat(F.lit("positivity: "), "positivity_note").alias("note")
             ),
         ]
     )
-    return Analysis(bootstrap_gaps(cells, draws), standardised, models, notes, cube)
+    return Analysis(bootstrap_gaps(cells, draws), standardised, fitted_terms(fits), notes, cube)
 
 
 def corrected_interactions(models: DataFrame, tiers: DataFrame, alpha: float = 0.05) -> DataFrame:

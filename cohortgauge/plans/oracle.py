@@ -545,6 +545,54 @@ def coupling_chain(steps: int = 12) -> str:
     return ",\n".join(parts)
 
 
+def eliminated(source: str, name: str, size: int, carried: str) -> tuple[str, list[str]]:
+    """Gauss-Jordan on ``h`` beside ``g`` and the identity: one table per pivot, solutions as expressions.
+
+    ``h{i}_{j}`` is the matrix, ``r{i}_0`` the right side and ``r{i}_1`` and on the identity.
+    """
+    parts = []
+    for k in range(size):
+        columns = []
+        for i in range(size):
+            factor = f"h{i}_{k} / h{k}_{k}"
+            for j in range(k + 1, size):
+                columns.append(f"h{k}_{j} / h{k}_{k} AS h{k}_{j}" if i == k else f"h{i}_{j} - {factor} * h{k}_{j} AS h{i}_{j}")
+            for j in range(size + 1):
+                columns.append(f"r{k}_{j} / h{k}_{k} AS r{k}_{j}" if i == k else f"r{i}_{j} - {factor} * r{k}_{j} AS r{i}_{j}")
+        parts.append(f"{name}_{k} AS (SELECT {carried}, {', '.join(columns)} FROM {source if k == 0 else f'{name}_{k - 1}'})")
+    return ",\n".join(parts), [f"r{i}_0" for i in range(size)]
+
+
+def interaction_chain(steps: int = 12) -> str:
+    """Five-parameter Newton steps for both strata at once, over the patients' cells."""
+    size = 5
+    x = ["1", "m", "p", "o", "m * p"]
+    p = "(1 / (1 + exp(-(" + " + ".join(f"b{i} * {t}" for i, t in enumerate(x)) + "))))"
+    keys = "site, label, stratum"
+    parts = [f"""gok AS (
+  SELECT site, label, stratum FROM (SELECT site, label, stratum, count(*) AS np, sum(missed) AS nm FROM sick GROUP BY ALL)
+  JOIN (SELECT site, label, stratum, min(least(events, non_events)) AS fewest FROM icells GROUP BY ALL) USING ({keys})
+  WHERE np >= 30 AND nm > 0 AND nm < np AND fewest >= 10),
+gcells AS MATERIALIZED (
+  SELECT {keys}, (CASE stratum WHEN 'sex' THEN sex = 'Male' ELSE age_group = '>=65' END)::INT AS m, (view = 'PA')::INT AS p,
+         (CASE stratum WHEN 'sex' THEN age_group = '>=65' ELSE sex = 'Male' END)::INT AS o, count(*) AS n, sum(missed) AS y
+  FROM sick JOIN gok USING ({keys}) WHERE sex IS NOT NULL AND age_group IS NOT NULL AND view IS NOT NULL GROUP BY ALL),
+g_0 AS (SELECT DISTINCT {keys}, {", ".join(f"0::DOUBLE AS b{i}" for i in range(size))} FROM gcells)"""]
+    betas = ", ".join(f"b{i}" for i in range(size))
+    for k in range(1, steps + 1):
+        sums = [f"sum({x[i]} * {x[j]} * n * {p} * (1 - {p})) AS h{i}_{j}" for i in range(size) for j in range(size)]
+        sums += [f"sum({x[i]} * (y - n * {p})) AS r{i}_0" for i in range(size)]
+        unit_matrix = [f"{int(i == j)}::DOUBLE AS r{i}_{j + 1}" for i in range(size) for j in range(size)]
+        steps_text, solved = eliminated(f"gs{k}", f"ge{k}", size, f"{keys}, {betas}")
+        moved = ", ".join(f"b{i} + {r} AS b{i}" for i, r in enumerate(solved))
+        errors = ", ".join(f"sqrt(r{i}_{i + 1}) AS s{i}" for i in range(size))
+        parts.append(f"""gs{k} AS MATERIALIZED (SELECT {keys}, {betas}, {", ".join(sums)}, {", ".join(unit_matrix)}
+  FROM gcells JOIN g_{k - 1} USING ({keys}) GROUP BY ALL),
+{steps_text},
+g_{k} AS MATERIALIZED (SELECT {keys}, {moved}, {errors} FROM ge{k}_{size - 1})""")
+    return ",\n".join(parts)
+
+
 def ece_of(score: str, keys: str, name: str, source: str = "seen") -> str:
     return f"""{name} AS (
   SELECT {keys}, sum(n * abs(t - s)) / sum(n) AS ece FROM (
@@ -1032,17 +1080,30 @@ FROM (SELECT *, {verdict(0.02)} AS v FROM intervals WHERE site IN ('AMERICA', 'E
         f"""SELECT site, label, stratum, {r6("b")} AS coefficient, {r6("exp(b)")} AS odds_ratio,
   {r6(f"exp(b - {Z95} * se)")} AS ci_low, {r6(f"exp(b + {Z95} * se)")} AS ci_high, {r6("p")} AS p_value FROM tests""",
     )
-    sql["interaction_notes"] = with_(
-        f"""{INTERACTION},
+    main = {"sex": ("C(sex)[T.Male]", "C(age_group)[T.>=65]"), "age_group": ("C(age_group)[T.>=65]", "C(sex)[T.Male]")}
+    named = [(s, i, t) for s, (m, o) in main.items() for i, t in enumerate(("Intercept", m, "C(view)[T.PA]", o, f"{m}:C(view)[T.PA]"))]
+    fitted = [
+        f"""SELECT label, site, stratum, '{t}' AS term, {r6(f"b{i}")} AS coefficient, {r6(f"exp(b{i})")} AS odds_ratio,
+  {r6(f"exp(b{i} - {Z95} * s{i})")} AS ci_low, {r6(f"exp(b{i} + {Z95} * s{i})")} AS ci_high, {r6(two_sided(f"(b{i} / s{i})"))} AS p_value,
+  {":" in t} AS is_interaction FROM g_12 WHERE stratum = '{s}'"""
+        for s, i, t in named
+    ]
+    sql["interaction_glm"] = with_(f"{INTERACTION}, {interaction_chain()}", " UNION ALL ".join(fitted))
+    noted = f"""{INTERACTION},
 tot AS (SELECT site, label, stratum, count(*) AS np, sum(missed) AS nm FROM sick GROUP BY ALL),
 st AS (
   SELECT site, label, stratum, count(*) AS nc, count(*) FILTER (least(events, non_events) = 0) AS ns,
-         count(*) FILTER (least(events, non_events) BETWEEN 1 AND 9) AS nt FROM icells GROUP BY ALL)""",
-        """SELECT site, label, stratum, CASE WHEN np < 30 THEN np || ' positives are too few'
+         count(*) FILTER (least(events, non_events) BETWEEN 1 AND 9) AS nt FROM icells GROUP BY ALL),
+noted AS (SELECT site, label, stratum, CASE WHEN np < 30 THEN np || ' positives are too few'
   WHEN nm = 0 OR nm = np THEN 'the model made no errors, or only errors'
   WHEN ns > 0 THEN 'separation in ' || ns || ' of ' || nc || ' cells'
   WHEN nt > 0 THEN 'fewer than 10 events or non-events in ' || nt || ' of ' || nc || ' cells' END AS note
-FROM tot LEFT JOIN st USING (site, label, stratum)""",
+FROM tot LEFT JOIN st USING (site, label, stratum))"""
+    sql["interaction_notes"] = with_(noted, "SELECT * FROM noted")
+    sql["analysis_notes"] = with_(
+        f"{noted}, {positivity_ok}",
+        """SELECT site, label, stratum, 'interaction model not fitted: ' || note AS note FROM noted WHERE note IS NOT NULL
+UNION ALL SELECT site, label, stratum, 'positivity: ' || positivity_note FROM positive WHERE NOT positivity_ok""",
     )
     order = "PARTITION BY site ORDER BY p, label, stratum"
     ranks = f"""{INTERACTION},

@@ -652,9 +652,8 @@ def interaction_closed(spark, sf):
 @query
 def interaction_glm(spark, sf):
     cube = _cube(spark, sf)
-    return union_all(
-        [interaction.interaction_model(cube, "sex", ["age_group"]), interaction.interaction_model(cube, "age_group", ["sex"])]
-    )
+    models = [interaction.interaction_model(cube, "sex", ["age_group"]), interaction.interaction_model(cube, "age_group", ["sex"])]
+    return rounded(union_all(models), "coefficient", "odds_ratio", "ci_low", "ci_high", "p_value")
 
 
 @query

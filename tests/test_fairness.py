@@ -198,6 +198,23 @@ def test_adjusted_model_matches_a_fit_on_patients(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in got)
 
 
+def test_levels_hold_for_all_sites_and_failed_fits_leave_a_note(spark):
+    rng = np.random.default_rng(5)
+    full = {k: (int(rng.integers(20, 60)), int(rng.integers(40, 90))) for k in
+            itertools.product(("AP", "PA"), ("Female", "Male"), ("<65", ">=65"))}
+    young = {k: v for k, v in full.items() if k[2] == "<65"}
+    apart = {k: ((0, 60) if k[2] == ">=65" else v) for k, v in full.items()}
+    rows = [("one", *r[1:]) for r in cohort_rows(full)] + [("two", *r[1:]) for r in cohort_rows(young)] + [("three", *r[1:]) for r in cohort_rows(apart)]
+    cube = Fa.outcome_cube(spark.createDataFrame(rows, SCHEMA), ["sex", "age_group"])
+    fits = I.fit_interactions(cube, "sex", ["age_group"])
+    assert {r["site"] for r in I.fitted_terms(fits).collect()} == {"one"}
+    notes = {r["site"]: r["note"] for r in I.fit_notes(fits).collect()}
+    assert notes["two"] == "no positives at age_group=>=65" and set(notes) == {"two", "three"}
+    assert "did not converge" in notes["three"] or "separation" in notes["three"]
+    with pytest.raises(Fa.FairnessError, match="not listed"):
+        I.interaction_model(cube, "sex", ["age_group"], levels={"age_group": ["<65"]})
+
+
 def test_coupling_matches_a_fit_on_patients_with_fractional_ages(spark):
     rng = np.random.default_rng(5)
     n = 3000

@@ -7,9 +7,9 @@ import __spark_entry__ as entry
 from cohortgauge.plans import oracle, registry
 
 SMALL = "/root/testdata/sf0.001"
-# Monte Carlo, iterative model fits, and the document-sized outputs built on them.
+# An iterative fit over long vectors.
 ROWS_ONLY = {
-    "bootstrap_gap", "delta_gap", "analyse_label", "analysis_notes", "interaction_glm", "train_predict",
+    "train_predict",
 }
 
 
