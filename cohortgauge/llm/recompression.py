@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortgauge.llm.tables import discard, slices, stored
+from cohortgauge.llm.tables import discard, packed, slices, stored, unpacked, unused
 
 #: Words of a repeated window.
 WINDOW = 35
@@ -327,16 +327,18 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     """``docs`` with the words of repeated windows taken out of the texts, all columns and rows kept.
 
     A text that loses words becomes its kept words joined by one space, and ``chars_col``, if
-    there is one, its new length; other texts are unchanged.
+    there is one, its new length; other texts are unchanged. Null texts stay null, no rows give
+    no rows, and columns may have any names.
     """
-    rows = docs.withColumn("_id", F.col(id_col)).withColumn("_mark", F.hash(F.col(text_col)))
-    spans = repeated_spans(docs, window, id_col, text_col).withColumnsRenamed({"id": "_its", "mark": "_own"})
-    by_row = spans.groupBy("_its", "_own").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).hint("shuffle_hash")
-    same = F.col("_id").eqNullSafe(F.col("_its")) & F.col("_mark").eqNullSafe(F.col("_own"))
-    joined = rows.join(by_row, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    names, spans_col = docs.columns, unused(docs, "_spans")
+    rows = packed(docs, id=F.col(id_col), mark=F.hash(F.col(text_col)))
+    spans = repeated_spans(docs, window, id_col, text_col).withColumnsRenamed({"id": "its", "mark": "own"})
+    by_row = spans.groupBy("its", "own").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash")
+    same = F.col("id").eqNullSafe(F.col("its")) & F.col("mark").eqNullSafe(F.col("own"))
+    joined = unpacked(rows.join(by_row, same, "left"), names, F.col("spans").alias(spans_col))
 
     def work(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        _, removed, _, plain = _cut(texts, [_pairs(s) for s in batch.column("_spans")])
+        _, removed, _, plain = _cut(texts, [_pairs(s) for s in batch.column(spans_col)])
         cut = pc.greater(pa.array(removed, pa.int64()), 0)
         at = batch.schema.get_field_index(text_col)
         made = pc.if_else(cut, pa.array(plain, pa.binary()).cast(pa.string()), batch.column(at))
@@ -345,7 +347,6 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         if at >= 0:
             length = pc.utf8_length(made).cast(batch.schema.field(at).type)
             batch = batch.set_column(at, batch.schema.field(at), pc.if_else(cut, length, batch.column(at)))
-        return batch.select(docs_columns)
+        return batch.select(names)
 
-    docs_columns = docs.columns
     return joined.mapInArrow(slices(4 * PARSED_BYTES, text_col, work), docs.schema)

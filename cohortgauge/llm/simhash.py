@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortgauge.llm.tables import discard, slices, stored
+from cohortgauge.llm.tables import discard, slices, stored, task_count
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Bits of the five blocks, from the lowest.
@@ -66,7 +66,7 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 
 class BKTree:
-    """Distinct 64-bit values; a child hangs on its Hamming distance to the parent."""
+    """64-bit values; a child hangs on its Hamming distance to the parent, an equal value on 0."""
 
     def __init__(self):
         self.values: list[int] = []
@@ -91,7 +91,7 @@ class BKTree:
             if len(children) <= 2 * radius + 1:
                 open_nodes += [c for d, c in children.items() if distance - radius <= d <= distance + radius]
             else:
-                open_nodes += [children[d] for d in range(max(1, distance - radius), distance + radius + 1) if d in children]
+                open_nodes += [children[d] for d in range(max(0, distance - radius), distance + radius + 1) if d in children]
         return found
 
 
@@ -155,7 +155,7 @@ def shard_links(nodes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Dat
         sizes = rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shards = stored(rows.join(sizes, ["mask", "bits"]).select("value", "mask", "bits", (F.col("n") > max(tree, 1 << radius)).alias("large")), "shards")
         small = shards.where("not large").drop("large")
-        grouped = small.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "value")
+        grouped = small.repartition(task_count(spark), "mask", "bits").sortWithinPartitions("mask", "bits", "value")
         links.append(grouped.mapInArrow(_shard_mapper(radius), "value long, root long"))
         over = [r[0] for r in shards.where("large").select("mask").distinct().collect()]  # one per mask at most
         if not over:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from cohortgauge.llm.recompression import joined_words, span_names, word_names
 from cohortgauge.llm.simhash import BKTree, classes
-from cohortgauge.llm.tables import discard, slices, stored
+from cohortgauge.llm.tables import discard, packed, slices, stored, task_count, unpacked
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Differing bits up to which a partner's similarity is computed before the exact turn; 0.8 gives about 10, with deviation 3.
@@ -222,9 +222,37 @@ def _with_labels(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.join(labels, F.col("same") == F.col("node"), "left").withColumn("label", F.coalesce("label", "same")).drop("node")
 
 
-def _partners(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similarity: float, labels: DataFrame | None) -> DataFrame:
+def _key(identity: str, mark: str):
+    """One column for an id that may be null and a mark: joins on it are partitioned like what follows them."""
+    return F.xxhash64(identity, mark)
+
+
+def _only(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """One row of each ``id, mark`` that ``wanted`` lists as ``its, own``.
+
+    The rows are shuffled once: what is wanted decides before repeats are dropped, and both go
+    by ``key``.
+    """
+    equal = (F.col("key") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own"))
+    listed = wanted.withColumn("its_key", _key("its", "own")).hint("shuffle_hash")
+    return rows.join(listed, equal, how).dropDuplicates(["key", "id", "mark"])
+
+
+def _joined(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similarity: float, labels: DataFrame | None) -> DataFrame:
+    """The labels after one turn. What the turn stored is deleted with the labels before it."""
+    links, used = _partners(rows, nodes, turn, width, similarity, labels)
+    after = classes(links)
+    discard(*used, *([labels] if labels is not None else []))
+    return after
+
+
+def _partners(
+    rows: DataFrame, nodes: DataFrame, turn: str, width: int, similarity: float, labels: DataFrame | None
+) -> tuple[DataFrame, list[DataFrame]]:
     """``value, root``: links inside the shards of one turn that hold nodes of several classes, and those known.
 
+    Beside them the stored tables that they are read from.
+
     Most groups of near copies share the shards of every key. Once they are one class, their
     other shards can join nothing and their texts are not sent again. Of shards with the same
     nodes one is enough.
@@ -238,17 +266,18 @@ def _partners(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similari
     several = several.where("low <> high").groupBy("held0", "held1", "n").agg(F.min("shard").alias("shard"), F.first("all").alias("all"))
     several = stored(several.select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
     member = placed.join(several, "shard").groupBy("id", "mark", "same", "value", "label").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
-    member = stored(member, "members").withColumnsRenamed({"id": "its", "mark": "own"}).hint("shuffle_hash")
-    equal = F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own"))
-    with_text = rows.dropDuplicates(["id", "mark"]).join(member, equal).select("same", "value", "label", "text", F.explode("in_shards").alias("of"))
+    member = stored(member.withColumnsRenamed({"id": "its", "mark": "own"}), "members")
+    with_text = _only(rows, member, "inner").select("same", "value", "label", "text", F.explode("in_shards").alias("of"))
     block = F.pmod(F.xxhash64("same"), F.col("of.blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1))
     paired = with_text.select("same", "value", "label", "text", F.col("of.shard").alias("shard"), block.alias("block"), other.alias("other")).select(
         "same", "value", "label", "text", "shard", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
     )
-    grouped = paired.repartition("shard", "left", "right").sortWithinPartitions("shard", "left", "right")
-    links = grouped.mapInArrow(_class_rows(width, similarity, exact), "value binary, root binary")
-    return links if labels is None else links.unionByName(labels.select(F.col("node").alias("value"), F.col("label").alias("root")))
+    dealt = paired.repartition(task_count(rows.sparkSession), "shard", "left", "right")
+    links = dealt.sortWithinPartitions("shard", "left", "right").mapInArrow(_class_rows(width, similarity, exact), "value binary, root binary")
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("node").alias("value"), F.col("label").alias("root")))
+    return links, [several, member]
 
 
 def _shared(sets: DataFrame) -> DataFrame:
@@ -270,9 +299,8 @@ def _open(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> D
     left = stored(left.join(nodes, "same"), "open")
     discard(sets, shared)
     # The same with all names.
-    heads = left.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own")).hint("shuffle_hash")
-    texts = rows.dropDuplicates(["id", "mark"]).join(heads, F.col("id").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("own")), "left_semi")
-    sets = texts.mapInArrow(_set_rows(width, 1), kind)
+    heads = left.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own"))
+    sets = _only(rows, heads, "left_semi").mapInArrow(_set_rows(width, 1), kind)
     sets = stored(sets.join(left.select("same", F.xxhash64("label").alias("class")), "same"), "sets")
     shared = _shared(sets)
     each = sets.select("same", "shingles", F.explode("names").alias("name")).join(shared, "name")
@@ -289,10 +317,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
 
     Two texts are near copies if their sets of ``width``-word shingles, A-Z lower-cased, have at
     least that Jaccard similarity; classes are connected. The row with the smallest id stays, a
-    null id last, and one of several equal rows. Texts without words are one class.
+    null id last, and one of several equal rows. Texts without words, null ones too, are one
+    class. No rows give no rows. Columns may have any names and are returned unchanged.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(text_col)).withColumn("_id", F.col(id_col))
-    rows = marked.select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col(text_col).cast("string").alias("text"))
+    marked = packed(docs, id=F.col(id_col), mark=F.xxhash64(text_col), text=F.col(text_col).cast("string"))
+    marked = marked.withColumn("key", _key("id", "mark"))
+    rows = marked.drop("row")
     kinds = [rows.schema["id"], T.StructField("mark", T.LongType())]
     made = [
         T.StructField("same", T.BinaryType()), T.StructField("value", T.LongType()), T.StructField("shingles", T.LongType()),
@@ -305,12 +335,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     discard(sketched)
     labels = None
     for turn in TURNS:
-        labels = classes(_partners(rows, _with_labels(nodes, labels), turn, width, similarity, labels))
+        labels = _joined(rows, _with_labels(nodes, labels), turn, width, similarity, labels)
     open_nodes = _open(rows, _with_labels(nodes, labels), width, similarity)
-    labels = classes(_partners(rows, open_nodes, "exact", width, similarity, labels))
-    discard(open_nodes)
+    labels = _joined(rows, open_nodes, "exact", width, similarity, labels)
     classed = nodes.join(labels, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("label", "same")).agg(F.min("head").alias("head"))
-    kept = classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own"))
-    kept = stored(kept, "kept").hint("shuffle_hash")
-    stays = F.col("_id").eqNullSafe(F.col("its")) & (F.col("_mark") == F.col("own"))
-    return marked.dropDuplicates(["_id", "_mark"]).join(kept, stays, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = stored(classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own")), "kept")
+    discard(open_nodes, labels, nodes)
+    return unpacked(_only(marked.drop("text"), kept, "left_semi"), docs.columns)

@@ -11,7 +11,8 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Frees the shuffle files of a finished job, so that a chain of jobs holds one job's files at a time.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,6 +73,29 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with as many underscores as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row`` beside ``columns``, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The columns that ``packed`` put away, in their order, and ``more``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names], *more)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for rows that cost more than their bytes say: a stated number is not merged by bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

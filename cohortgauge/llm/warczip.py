@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortgauge.llm.tables import new_path, raw_bytes, stored
+from cohortgauge.llm.tables import new_path, raw_bytes, stored, task_count
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Compressed bytes after which a task starts its next package.
 PACKAGE = 64 << 20
 #: Bytes of neighbouring records that are fetched at once.
 FETCH = 4 << 20
+#: Bytes of packages that one task reads.
+READ_BYTES = 64 << 20
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LARGE = 0xFFFFFFFF
 
@@ -259,6 +261,16 @@ def _finish(package: PackageWriter, out, index: list[str], path: str) -> pa.Reco
     return pa.RecordBatch.from_pydict({"path": [path], "records": [len(index)], "bytes": [size]})
 
 
+def read_tasks(packages: DataFrame) -> int:
+    """Tasks to read the packages with: one for each 64 MiB, or for each package as far as there are cores.
+
+    The rows that name packages are short and stand for megabytes. A stated number keeps adaptive
+    execution from merging them by their own bytes.
+    """
+    sizes = packages.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    return max(1, -(-(sizes["bytes"] or 0) // READ_BYTES), min(sizes["n"], task_count(packages.sparkSession)))
+
+
 def index_rows(packages: DataFrame) -> DataFrame:
     """``path, first, bytes, offsets, lengths``: stretches of neighbouring records of about 4 MiB, from the indexes."""
 
@@ -282,7 +294,7 @@ def index_rows(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("first", pa.int64()), ("bytes", pa.int64()), ("lengths", pa.list_(pa.int64()))]))
 
-    return packages.select("path").repartition("path").mapInArrow(run, "path string, first long, bytes long, lengths array<long>")
+    return packages.select("path").repartition(read_tasks(packages), "path").mapInArrow(run, "path string, first long, bytes long, lengths array<long>")
 
 
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
@@ -310,7 +322,7 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return index_rows(packages).repartition("path", "first").mapInArrow(run, fields + (", payload binary" if payloads else ""))
+    return index_rows(packages).repartition(read_tasks(packages), "path", "first").mapInArrow(run, fields + (", payload binary" if payloads else ""))
 
 
 def _row(fields: dict[str, str], block: bytes, payloads: bool) -> dict:

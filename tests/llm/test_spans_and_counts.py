@@ -10,7 +10,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import centroids, lehmer, queries, toxicspans
+import corpus_pipeline
+from cohortgauge.llm import bitplanes, centroids, lehmer, queries, recompression, simhash, simhash_texts, tables, toxicspans, warczip
 
 SMALL = "/root/testdata/sf0.001"
 INSULTS = ["brute", "villain", "scoundrel", "rogue"]
@@ -249,3 +250,52 @@ def test_held_out_toxicity_of_the_given_documents(spark):
     caught = sum(r["predicted"] for r in rows if r["toxic"] == 1) / sum(r["toxic"] == 1 for r in rows)
     wrong = sum(r["predicted"] for r in rows if r["toxic"] == 0) / sum(r["toxic"] == 0 for r in rows)
     assert caught >= 0.88 and wrong <= 0.02
+
+
+# ---------------------------------------------------------------- other columns, equal values, reading back
+
+
+def test_a_tree_finds_equal_values_below_many_children():
+    rng = random.Random(8)
+    tree, values = simhash.BKTree(), []
+    for d in range(1, 61):
+        value = sum(1 << b for b in rng.sample(range(64), d))
+        tree.insert(value)
+        values.append(value)
+    for value in [0, values[0], values[0], *values[:30]]:
+        tree.insert(value)
+        values.append(value)
+    for value in {*values, 0, (1 << 64) - 1}:
+        want = [i for i, v in enumerate(values) if (v ^ value).bit_count() <= 22]
+        assert sorted(tree.within(value, 22)) == want
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    own = lambda k: " ".join(f"k{k}x{i}" for i in range(80))
+    texts = [own(1), own(1), own(2) + " " + shared, own(3) + " " + shared, None, "", own(4)]
+    rows = [(i, t, f"mine{i}", f"mark{i}", f"span{i}", f"leak{i}", float(i), len(t or "")) for i, t in enumerate(texts)]
+    names = ["doc_id", "text", "_id", "_mark", "_spans", "_leaks", "a b", "n_chars"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_id` string, `_mark` string, `_spans` string, `_leaks` string, `a b` double, n_chars long")
+    docs = docs.withColumn("id", F.lit("i")).withColumn("key", F.lit("k")).withColumn("row", F.lit("r"))
+    one = simhash_texts.keep_one(docs)
+    cut = recompression.cut_repeats(docs)
+    clean = corpus_pipeline.decontamination(spark, docs, SMALL)
+    for made, kept in ((one, {0, 2, 3, 4, 6}), (cut, set(range(7))), (clean, set(range(7)))):
+        assert made.columns == docs.columns and [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+        got = {r["doc_id"]: r for r in made.collect()}
+        assert set(got) == kept
+        for i, r in got.items():
+            assert [r[c] for c in ("_id", "_mark", "_spans", "_leaks", "a b", "id", "key", "row")] == [f"mine{i}", f"mark{i}", f"span{i}", f"leak{i}", float(i), "i", "k", "r"]
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[2] == own(2)
+    assert names == docs.columns[:8]
+
+
+def test_packages_and_id_files_are_read_by_many_tasks(spark):
+    pages = spark.range(64).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(md5(cast(id as string)), 20) AS html").repartition(8)
+    packages = warczip.write_packages(pages)
+    eight = packages.unionByName(packages) if packages.count() < 8 else packages
+    assert warczip.read_packages(eight).rdd.getNumPartitions() >= min(eight.count(), tables.task_count(spark))
+    docs = spark.range(400).selectExpr("id AS doc_id", "md5(cast(id as string)) AS text")
+    files = bitplanes.write_ids(docs, queries.word_tokenizer(), 2)
+    assert bitplanes.read_ids(files).rdd.getNumPartitions() == files.count()
