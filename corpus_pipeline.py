@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import cohortgauge
 from cohortgauge.llm import attention, mergequeue, qgrams, recompression, simhash_texts
 from cohortgauge.llm.queries import word_tokenizer
-from cohortgauge.llm.tables import stored, table
+from cohortgauge.llm.tables import stored, table, unused
 
 # The package is not installed on the executors: ship its functions by value.
 cloudpickle.register_pickle_by_value(cohortgauge)
@@ -34,8 +34,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = qgrams.with_leaks(docs, table(spark, sf_dir, "benchmark"), column="_leaks")
-    return found.where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = unused(docs, "_leaks")
+    found = qgrams.with_leaks(docs, table(spark, sf_dir, "benchmark"), column=leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
