@@ -1,8 +1,9 @@
 """Document quality by attention over passages (multiple-instance learning).
 
-A document is a bag of passages of a fixed number of words. Every passage is encoded: counts
-of its bytes and words become a vector, and one learned layer its representation h. Gated
-attention, softmax over the passages of w . (tanh(V h) * sigmoid(U h)), weighs them; the
+A document is a bag of passages of a fixed number of words. Every passage is encoded: its words
+and the three-byte pieces of its words, hashed, and counts of its bytes and words become a
+vector, and one learned layer its representation h. That layer holds an embedding for every
+place of the hash, and h starts from their sum over the passage. Gated attention, softmax over the passages of w . (tanh(V h) * sigmoid(U h)), weighs them; the
 weighted sum is scored. Only documents have labels, so the weights learn which passages tell.
 
 The model is fitted on the driver from a bounded sample of labelled documents, which are
@@ -27,9 +28,9 @@ PASSAGE = 50
 #: Labelled documents the model is fitted on, at most: those with the smallest digest of their id.
 SAMPLE = 4000
 #: Passages of all sampled documents together, at most, unless the first document alone has more.
-SENT = 64 * SAMPLE
+SENT = 12 * SAMPLE
 HIDDEN, GATES = 24, 12
-EPOCHS, BATCH, RATE, DECAY, SEED = 60, 128, 0.01, 1e-4, 7
+EPOCHS, BATCH, RATE, DECAY, SEED = 40, 128, 0.01, 1e-4, 7
 THRESHOLD = 0.3
 
 #: Byte classes of the counts: capital, small letter, digit, listed symbols, bar, calls, other
@@ -39,6 +40,11 @@ NAMES = [
     "capitals", "letters", "digits", "symbols", "bars", "calls", "points", "lines", "other", "length", "spread", "words",
     "distinct", "most", "stutter", "shouted", "ended", "few",
 ]
+#: Places that words, and three-byte pieces of words, are hashed to.
+WORDS, PIECES = 128, 128
+WIDTH = len(NAMES) + WORDS + PIECES
+#: The hashed parts have many more columns than the counts: so much smaller is each.
+SHRINK = 10.0
 
 
 def byte_classes() -> np.ndarray:
@@ -102,7 +108,22 @@ def encode_passages(texts: list[bytes], size: int = PASSAGE) -> tuple[np.ndarray
         classes[:, 5] / safe, classes[:, 6] / points, classes[:, 7] / safe, classes[:, 9] / points, mean / 10, spread / 5, n / size,
         distinct / safe, most / safe, per(again) / safe, per(shouted) / safe, per(ended) / safe, np.repeat(words < size, count),
     ], axis=1)
-    return np.minimum(vector, 10).astype(np.float32), count
+    # Shares of the passage's words, and of their pieces, at every place of the hash.
+    spoken = np.bincount(passage * WORDS + (name % np.uint64(WORDS)).astype(np.int64), minlength=total * WORDS).reshape(total, WORDS) / safe[:, None]
+    inside = ~blank[:-2] & ~blank[1:-1] & ~blank[2:] if len(data) > 2 else np.zeros(0, bool)
+    at_piece = np.flatnonzero(inside)
+    low = _lower()[data].astype(np.uint64)
+    piece = (low[at_piece] << np.uint64(16) | low[at_piece + 1] << np.uint64(8) | low[at_piece + 2]) * np.uint64(0x9E3779B97F4A7C15)
+    place = at[at_piece] * PIECES + (piece >> np.uint64(57)).astype(np.int64)
+    pieces = np.bincount(place, minlength=total * PIECES).reshape(total, PIECES).astype(np.float64)
+    pieces /= np.maximum(pieces.sum(1, keepdims=True), 1)
+    return np.concatenate([np.minimum(vector, 10), spoken, pieces], axis=1).astype(np.float32), count
+
+
+def _lower() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
 def _word_hash(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -158,11 +179,12 @@ class GatedAttention:
     @classmethod
     def fit(cls, bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> GatedAttention:
         """Adam on the log loss, in an order drawn from ``seed``: the same bags give the same weights."""
-        model = cls(cls.start(bags[0].shape[1] if bags else len(NAMES), seed))
+        model = cls(cls.start(bags[0].shape[1] if bags else WIDTH, seed))
         if not bags:
             return model
         everything = np.concatenate(bags)
         model.weights["mean"], model.weights["scale"] = everything.mean(0), everything.std(0) + 1e-3
+        model.weights["scale"][len(NAMES):] *= SHRINK
         share = float(np.clip(labels.mean(), 0.01, 0.99))
         model.weights["d"] = np.array([np.log(share / (1 - share))])
         random = np.random.RandomState(seed)
@@ -193,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Fit on at most ``sample`` labelled documents that are not held out, each with all its passages.
 
     Where ids repeat or documents are long, rows are taken in the order of their digest, up to
-    twice ``sample`` rows and ``SENT`` passages. Rows without id or label are left out. Without any labelled document the model scores
-    from its start weights.
+    twice ``sample`` rows and ``SENT`` passages. Rows without id or label are left out, and rows of
+    one id, label and text count once. Without any labelled document the model scores from its
+    start weights.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("label"))
@@ -215,11 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     schema = T.StructType([picked.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
     bagged = stored(picked.mapInArrow(run, schema).dropDuplicates().withColumn("digest", F.xxhash64("doc_id", "label", "bag")), "bags")
     sizes = bagged.select("digest", F.length("bag").alias("size")).orderBy("digest").limit(2 * sample).collect()
-    total = np.cumsum([r["size"] // (4 * len(NAMES)) for r in sizes])
+    total = np.cumsum([r["size"] // (4 * WIDTH) for r in sizes])
     last = sizes[max(0, int(np.searchsorted(total, SENT, "right")) - 1)]["digest"] if sizes else 0
     rows = bagged.where(F.col("digest") <= F.lit(last)).orderBy("doc_id", "bag").collect()
     discard(bagged)
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, len(NAMES)).astype(np.float64) for r in rows]
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
     return GatedAttention.fit(bags, np.array([r["label"] for r in rows]))
 
 

@@ -289,7 +289,10 @@ def test_passages_are_those_of_a_plain_split():
     for text, n in zip(texts, count.tolist(), strict=True):
         for k in range(n):
             words = text.split()[k * attention.PASSAGE:(k + 1) * attention.PASSAGE]
-            v = dict(zip(attention.NAMES, vectors[at], strict=True))
+            v = dict(zip(attention.NAMES, vectors[at], strict=False))
+            hashed = vectors[at][len(attention.NAMES):]
+            assert vectors.shape[1] == attention.WIDTH and abs(hashed[:attention.WORDS].sum() - bool(words)) < 1e-5
+            assert abs(hashed[attention.WORDS:].sum() - any(len(w) > 2 for w in words)) < 1e-5
             assert abs(v["words"] - len(words) / attention.PASSAGE) < 1e-6
             if words:
                 assert abs(v["distinct"] - len(set(words)) / len(words)) < 1e-6
@@ -324,6 +327,29 @@ def test_held_out_accuracy_and_separate_scoring(spark):
     assert attention.score_rows(docs, nothing).where("score IS NULL").isEmpty()
 
 
+def test_words_alone_tell_junk_from_prose_in_held_out_documents(monkeypatch):
+    """The given documents with the counts taken out: what the hashed words have learnt."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, quality FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) ORDER BY 1").fetchall()
+    held = np.array([zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows])
+    label = np.array([r[2] for r in rows], float)
+    parts = [attention.encode_passages([(t or "").encode() for _, t, _ in rows[i:i + 100]]) for i in range(0, len(rows), 100)]
+    bags = np.split(np.concatenate([v for v, _ in parts]).astype(float), np.cumsum(np.concatenate([c for _, c in parts]))[:-1])
+
+    def held_out_auroc(columns, named):
+        monkeypatch.setattr(attention, "NAMES", named)
+        model = attention.GatedAttention.fit([b[:, columns] for b, h in zip(bags, held, strict=True) if not h], label[~held])
+        score = np.array([model.forward(b[:, columns], np.array([len(b)]))[0][0] for b, h in zip(bags, held, strict=True) if h])
+        rank, good = np.argsort(np.argsort(score)) + 1, label[held] == 1
+        return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+    n = len(attention.NAMES)
+    assert held_out_auroc(np.arange(attention.WIDTH), attention.NAMES) > 0.99
+    assert held_out_auroc(np.arange(n, attention.WIDTH), []) > 0.92
+
+
 def test_fit_sees_all_passages_and_chooses_rows_by_digest(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(attention.GatedAttention, "fit", classmethod(lambda cls, bags, labels: seen.append((bags, labels))))
