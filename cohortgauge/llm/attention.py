@@ -28,7 +28,7 @@ PASSAGE = 50
 #: Labelled documents the model is fitted on, at most: those with the smallest digest of their id.
 SAMPLE = 4000
 #: Passages of all sampled documents together, at most, unless the first document alone has more.
-SENT = 12 * SAMPLE
+SENT = 8 * SAMPLE
 HIDDEN, GATES = 24, 12
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 128, 0.01, 1e-4, 7
 THRESHOLD = 0.3
@@ -182,8 +182,9 @@ class GatedAttention:
         model = cls(cls.start(bags[0].shape[1] if bags else WIDTH, seed))
         if not bags:
             return model
-        everything = np.concatenate(bags)
-        model.weights["mean"], model.weights["scale"] = everything.mean(0), everything.std(0) + 1e-3
+        everything = np.concatenate(bags).astype(np.float32)
+        model.weights["mean"], model.weights["scale"] = everything.mean(0, dtype=np.float64), everything.std(0, dtype=np.float64) + 1e-3
+        del everything
         model.weights["scale"][len(NAMES):] *= SHRINK
         share = float(np.clip(labels.mean(), 0.01, 0.99))
         model.weights["d"] = np.array([np.log(share / (1 - share))])
@@ -196,7 +197,7 @@ class GatedAttention:
             for at in range(0, len(order), BATCH):
                 chosen = order[at:at + BATCH]
                 count = np.array([len(bags[i]) for i in chosen])
-                slope = model.gradient(np.concatenate([bags[i] for i in chosen]), count, labels[chosen])
+                slope = model.gradient(np.concatenate([bags[i] for i in chosen]).astype(np.float64), count, labels[chosen])
                 turn += 1
                 for k, g in slope.items():
                     g = g + DECAY * model.weights[k]
@@ -231,18 +232,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             vectors, count = encode_passages(texts)
             at, rows = 0, []
             for n in count.tolist():
-                rows.append(vectors[at:at + n].tobytes())
+                rows.append(vectors[at:at + n].astype(np.float16).tobytes())
                 at += n
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "bag": pa.array(rows, pa.binary())})
 
     schema = T.StructType([picked.schema["doc_id"], T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
     bagged = stored(picked.mapInArrow(run, schema).dropDuplicates().withColumn("digest", F.xxhash64("doc_id", "label", "bag")), "bags")
     sizes = bagged.select("digest", F.length("bag").alias("size")).orderBy("digest").limit(2 * sample).collect()
-    total = np.cumsum([r["size"] // (4 * WIDTH) for r in sizes])
+    total = np.cumsum([r["size"] // (2 * WIDTH) for r in sizes])
     last = sizes[max(0, int(np.searchsorted(total, SENT, "right")) - 1)]["digest"] if sizes else 0
     rows = bagged.where(F.col("digest") <= F.lit(last)).orderBy("doc_id", "bag").collect()
     discard(bagged)
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
+    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH) for r in rows]
     return GatedAttention.fit(bags, np.array([r["label"] for r in rows]))
 
 
