@@ -315,12 +315,14 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray) -> ChainField:
         arounds.append(words.around)
         n, begin = n + words.n, end
     features, owner, head, length = np.concatenate(parts), np.concatenate(owners), np.concatenate(heads), np.concatenate(lengths)
+    del parts
     marked = label_words(features, owner, np.concatenate(arounds), toxic)
     # Toxic documents in which nothing is marked say nothing about words.
     silent = toxic & (np.bincount(owner, marked, minlength=len(texts)) == 0)
     use = ~silent[owner[head]] if n else np.zeros(0, bool)
     field = ChainField.fit(features, head[use], length[use], marked)
-    p = _forward_backward(field.weights[features].sum(1, dtype=np.float64), field.pairs, _chains(head, length))[2]
+    scores = np.concatenate([field.weights[part].sum(1, dtype=np.float64) for part in np.array_split(features, len(features) // BATCH_WORDS + 1)])
+    p = _forward_backward(scores, field.pairs, _chains(head, length))[2]
     most, total = np.zeros(len(texts)), np.bincount(owner, p, minlength=len(texts))
     np.maximum.at(most, owner, p)
     field.fit_curve(most[~silent], total[~silent], toxic[~silent].astype(np.float64))
