@@ -1069,6 +1069,45 @@ LEFT JOIN bfolded b USING ({KEYS}) WHERE g.view = b.scope OR b.scope IS NULL""",
 FROM (SELECT *, {verdict(0.02)} AS v FROM intervals WHERE site IN ('AMERICA', 'EUROPE')) GROUP BY ALL""",
     )
 
+    split = f"""{SCORES},
+levels AS (
+  SELECT site, label, 'sex' AS stratum, 'Female' AS level_a, 'Male' AS level_b, sex AS level, patient_id, score, truth FROM seen
+  UNION ALL SELECT site, label, 'age_group', '<65', '>=65', age_group, patient_id, score, truth FROM seen),
+sides AS (SELECT *, CASE level WHEN level_a THEN 'a' WHEN level_b THEN 'b' END AS side FROM levels WHERE level IN (level_a, level_b)),
+sizes AS (SELECT DISTINCT {KEYS} FROM sides)"""
+    pairs = f"""{split},
+placed AS (
+  SELECT p.site, p.label, p.stratum, p.side, p.patient_id AS pos, n.patient_id AS neg, (n.score < p.score)::INT + 0.5 * (n.score = p.score)::INT AS won
+  FROM sides p JOIN sides n USING (site, label, stratum, side) WHERE p.truth = 1 AND n.truth = 0),
+v10 AS (SELECT site, label, stratum, side, pos, avg(won) AS v FROM placed GROUP BY ALL),
+v01 AS (SELECT site, label, stratum, side, neg, avg(won) AS v FROM placed GROUP BY ALL),
+areas AS (
+  SELECT site, label, stratum, side, auc, vp + vn AS variance
+  FROM (SELECT site, label, stratum, side, avg(v) AS auc, var_samp(v) / count(*) AS vp FROM v10 GROUP BY ALL)
+  JOIN (SELECT site, label, stratum, side, var_samp(v) / count(*) AS vn FROM v01 GROUP BY ALL) USING (site, label, stratum, side)),
+numbers AS (SELECT {KEYS}, {", ".join(f"count(*) FILTER (side = '{x}' AND truth = {t}) AS n_{w}_{x}" for w, t in (("positive", 1), ("negative", 0)) for x in "ab")}
+  FROM sides GROUP BY ALL),
+ab AS (
+  SELECT n.*, a.auc AS aa, b.auc AS ab, b.auc - a.auc AS gap, sqrt(a.variance + b.variance) AS se FROM numbers n
+  LEFT JOIN (SELECT * FROM areas WHERE side = 'a') a USING (site, label, stratum)
+  LEFT JOIN (SELECT * FROM areas WHERE side = 'b') b USING (site, label, stratum))"""
+    sql["auroc_gap"] = with_(
+        pairs,
+        f"""SELECT {KEYS}, n_positive_a, n_positive_b, n_negative_a, n_negative_b, {r6("aa")} AS auroc_a, {r6("ab")} AS auroc_b, {r6("gap")} AS gap,
+  {r6("se")} AS std_error, {r6(f"gap - {Z95} * se")} AS ci_low, {r6(f"gap + {Z95} * se")} AS ci_high, {r6(two_sided("(gap / se)"))} AS p_value FROM ab""",
+    )
+    sql["auprc_gap"] = with_(
+        f"""{split},
+ranked AS (
+  SELECT {KEYS}, side, truth, sum(truth) OVER w AS tp, count(*) OVER w AS n, sum(truth) OVER (PARTITION BY {KEYS}, side) AS m
+  FROM sides WINDOW w AS (PARTITION BY {KEYS}, side ORDER BY score DESC RANGE UNBOUNDED PRECEDING)),
+ap AS (SELECT {KEYS}, side, CASE WHEN any_value(m) > 0 AND any_value(m) < count(*) THEN sum(tp / n) FILTER (truth = 1) / any_value(m) END AS ap, any_value(m) / count(*) AS share
+  FROM ranked GROUP BY ALL)""",
+        f"""SELECT {KEYS}, {r6("a.ap")} AS auprc_a, {r6("b.ap")} AS auprc_b, {r6("b.ap - a.ap")} AS gap, {r6("a.share")} AS prevalence_a,
+  {r6("b.share")} AS prevalence_b FROM sizes LEFT JOIN (SELECT * FROM ap WHERE side = 'a') a USING ({KEYS})
+LEFT JOIN (SELECT * FROM ap WHERE side = 'b') b USING ({KEYS})""",
+    )
+
     # ---- models and families
     sql["interaction_cells"] = with_(
         INTERACTION,

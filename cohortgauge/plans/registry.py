@@ -14,6 +14,7 @@ from cohortgauge.operators import (
     cells,
     cohort,
     contracts,
+    discrimination,
     fairness,
     interaction,
     metrics,
@@ -634,6 +635,18 @@ def replication(spark, sf):
     return fairness.replication(_deltas(spark, sf).where(F.col("site").isin(pop.study().training_sites)))
 
 
+@query
+def auroc_gap(spark, sf):
+    table = discrimination.auroc_gap(pop.scores(spark, sf), pop.study().contrasts)
+    return rounded(table, "auroc_a", "auroc_b", "gap", "std_error", "ci_low", "ci_high", "p_value")
+
+
+@query
+def auprc_gap(spark, sf):
+    table = discrimination.auprc_gap(pop.scores(spark, sf), pop.study().contrasts)
+    return rounded(table, "auprc_a", "auprc_b", "gap", "prevalence_a", "prevalence_b")
+
+
 # ------------------------------------------------------------- models and families
 
 

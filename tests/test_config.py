@@ -93,6 +93,10 @@ def test_defaults_and_freeze(raw_config, tmp_path):
     copy_path = freeze_config(cfg, tmp_path / "frozen")
     assert cfg.config_hash in copy_path.name
     assert load_config(copy_path).config_hash == cfg.config_hash
+    assert freeze_config(cfg, tmp_path / "frozen") == copy_path
+    copy_path.write_text(copy_path.read_text().replace("n_folds", "n_fold"))
+    with pytest.raises(ConfigError, match="no longer holds"):
+        freeze_config(cfg, tmp_path / "frozen")
 
 
 def test_contrast_levels_follow_the_threshold(raw_config):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cohortgauge.operators import bootstrap as B
+from cohortgauge.operators import discrimination as D
 from cohortgauge.operators import fairness as Fa
 from cohortgauge.operators import interaction as I
 from cohortgauge.operators import multiplicity
@@ -111,6 +112,32 @@ def test_bootstrap_is_keyed_and_counts_lost_replicates(spark):
     assert rare["usable"] < 200 and rare["usable_replicates"] == 0 and rare["delta_ci_low"] is None
 
 
+def test_discrimination_gaps_against_pairs_of_patients(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        sex, truth = ("Female", "Male")[i % 2], float(rng.random() < 0.3)
+        score = float(np.round(rng.normal(truth * (1.0 if sex == "Male" else 0.4)), 1))
+        rows.append(("s", "L", sex, "<65", score, truth if i % 50 else None))
+    rows += [("one", "L", "Male", "<65", 0.5, 1.0), ("one", "L", "Female", "<65", 0.5, 1.0), ("one", "L", "Female", "<65", 0.1, 0.0)]
+    df = spark.createDataFrame(rows, "site string, label string, sex string, age_group string, score double, truth double")
+    got = {r["site"]: r for r in D.auroc_gap(df, {"sex": ("Female", "Male")}).collect()}
+    ap = {r["site"]: r for r in D.auprc_gap(df, {"sex": ("Female", "Male")}).collect()}
+    for side, sex in (("a", "Female"), ("b", "Male")):
+        kept = [(r[4], r[5]) for r in rows if r[0] == "s" and r[2] == sex and r[5] is not None]
+        pos, neg = (np.array([s for s, t in kept if t == k]) for k in (1.0, 0.0))
+        won = (pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)
+        assert abs(got["s"][f"auroc_{side}"] - won.mean()) < 1e-12
+        steps = [((pos >= s).sum() / ((pos >= s).sum() + (neg >= s).sum())) for s in pos]
+        assert abs(ap["s"][f"auprc_{side}"] - np.mean(steps)) < 1e-12
+        part = won.mean(1).var(ddof=1) / len(pos) + won.mean(0).var(ddof=1) / len(neg)
+        variance = part if side == "a" else variance + part
+    assert abs(got["s"]["std_error"] - variance**0.5) < 1e-12 and got["s"]["ci_low"] < got["s"]["gap"] < got["s"]["ci_high"]
+    lone = got["one"]
+    assert lone["auroc_a"] == 1.0 and lone["auroc_b"] is None and lone["gap"] is None and lone["std_error"] is None and ap["one"]["gap"] is None
+    assert ap["one"]["prevalence_b"] == 1.0
+
+
 def test_positivity_names_sparse_and_distant_cells(spark):
     rows = cohort_rows({("AP", "Female", "<65"): (3, 6), ("PA", "Female", "<65"): (50, 50), ("AP", "Male", "<65"): (50, 50),
                         ("PA", "Male", "<65"): (50, 50)})
