@@ -380,11 +380,10 @@ def test_stored_tables_survive_and_can_be_discarded(spark):
     assert outside.count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_recompression", "op4_simhash")])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_recompression", "op4_simhash", "op13_lehmer")])
 def test_queries_return_a_row_per_input_row(spark, name):
     got = queries.QUERIES[name](spark, SMALL)
-    source = "pages" if name.startswith(("op2_", "op9_")) else "documents"
-    key = "page_id" if source == "pages" else "doc_id"
+    source, key = ("pages", "page_id") if name.startswith(("op2_", "op9_")) else ("embeddings", "vec_id") if name.startswith("op12_") else ("documents", "doc_id")
     want = spark.read.parquet(f"{SMALL}/{source}.parquet").select(key)
     ids = sorted(r[0] for r in got.select(key).collect())
     if name.startswith("op7_"):
@@ -396,6 +395,13 @@ def test_queries_return_a_row_per_input_row(spark, name):
         assert ids == sorted(r[0] for r in want.collect())
 
 
+def test_audit_query_returns_every_order_and_step_of_every_source(spark):
+    got = queries.QUERIES["op13_lehmer"](spark, SMALL)
+    sources = {r[0] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("source").distinct().collect()}
+    rows = got.select("part", "filter_order", "step").distinct().collect()
+    assert len(rows) == got.count() == 600 * len(sources) and {r["part"] for r in rows} == sources
+
+
 def test_pipeline_stages_keep_the_columns_and_do_their_work(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_dedup", "substring_dedup", "decontamination", "encoding"]
