@@ -5,6 +5,7 @@ import zipfile
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -127,8 +128,11 @@ def test_training_tries_every_configured_strength_and_keeps_the_best(spark):
     assert all(r["not_converged"] == [] for r in search.rounds)
     scored = scorer.predict(models, df)
     assert scored.count() == 600 and scored.where("score < 0 OR score > 1").isEmpty()
-    own = models["Hit"].transform(df).select("patient_id", vector_to_array("probability")[1].alias("p"))
-    assert scored.join(own, "patient_id").where("abs(score - p) > 1e-9").isEmpty()
+    weight = float(np.clip(1 / df.limit(400).agg(F.avg("Hit")).first()[0] - 1, 1, 20))
+    rows = df.limit(400).withColumn("w", F.when(F.col("Hit") == 1, weight).otherwise(1.0))
+    library = LogisticRegression(labelCol="Hit", weightCol="w", regParam=settings.strengths[search.kept], maxIter=500, tol=1e-13)
+    own = library.fit(rows).transform(df).select("patient_id", vector_to_array("probability")[1].alias("p"))
+    assert scored.join(own, "patient_id").where("abs(score - p) > 1e-6").isEmpty()
 
 
 def test_patience_and_iteration_bound_are_seen(spark):
@@ -145,6 +149,59 @@ def test_cross_prediction_never_scores_training_rows(spark):
     assert scores.join(df.select("patient_id", F.col("fold").alias("own")), "patient_id").where("fold <> own").isEmpty()
 
 
+def test_all_folds_labels_and_strengths_equal_separate_fits(spark):
+    """Correlated, shifted and constant features, missing truths, a one-sided label; against one MLlib fit each."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    x[:, 1], x[:, 2], x[:, 3] = 1000 + x[:, 0] * 0.9 + x[:, 1] * 0.1, x[:, 2] * 50, 7.0
+    hit = (rng.uniform(size=400) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    rare = (rng.uniform(size=400) < 1 / (1 + np.exp(4 - x[:, 2] / 50))).astype(float)
+    rows = [
+        (f"p{i}", f"i{i}", [float(v) for v in x[i]], float(hit[i]), None if i % 5 == 0 else float(rare[i]), 1.0, i % 4 if i % 10 else -1)
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(
+        rows, "patient_id string, image_id string, v array<double>, Hit double, Rare double, Always double, fold int"
+    ).withColumn("features", array_to_vector("v"))
+    settings = ScorerSettings(labels=("Hit", "Rare", "Always"), strengths=(1e-3, 1e-1))
+    scores, searches = scorer.cross_predict(df, settings, n_folds=4)
+    assert scores.count() == 3 * df.where("fold >= 0").count() and all(not r["not_converged"] for s in searches for r in s.rounds)
+    assert scores.where("label = 'Always' AND score <> 1").isEmpty()
+    for held in (0, 3):
+        kept = settings.strengths[searches[held].kept]
+        train = df.where(~F.col("fold").isin(held, (held + 1) % 4, -1))
+        for label in ("Hit", "Rare"):
+            seen = train.where(f"{label} IS NOT NULL")
+            share = seen.agg(F.avg(label)).first()[0]
+            weighted = seen.withColumn("w", F.when(F.col(label) == 1, float(np.clip(1 / share - 1, 1, 20))).otherwise(1.0))
+            fit = LogisticRegression(labelCol=label, weightCol="w", regParam=kept, maxIter=1000, tol=1e-14).fit(weighted)
+            own = fit.transform(df.where(F.col("fold") == held)).select("patient_id", vector_to_array("probability")[1].alias("p"))
+            both = scores.where(F.col("label") == label).join(own, "patient_id")
+            assert both.count() > 50 and both.agg(F.max(F.abs(F.col("score") - F.col("p")))).first()[0] < 1e-6
+
+
+def test_training_takes_one_scan_an_iteration(spark, monkeypatch):
+    scans = []
+    whole = scorer._objective
+    monkeypatch.setattr(scorer, "_objective", lambda *a: scans.append(len(a[3])) or whole(*a))
+    df = vectors(spark, 300).withColumn("fold", F.expr("cast(substr(patient_id, 2) AS int) % 3"))
+    settings = ScorerSettings(labels=("Hit",), strengths=(1e-5, 1e-3, 1e-1))
+    scorer.cross_predict(df, settings, n_folds=3)
+    assert scans[0] == 9 and len(scans) < 25
+
+
+def test_training_refuses_rows_it_cannot_use(spark):
+    df = vectors(spark, 60).withColumn("fold", F.expr("cast(substr(patient_id, 2) AS int) % 3"))
+    settings = ScorerSettings(labels=("Hit",))
+    with pytest.raises(TrainError, match="no feature vector"):
+        scorer.cross_predict(df.withColumn("features", F.when(F.col("fold") > 0, F.col("features"))), settings, n_folds=3)
+    mixed = F.when(F.col("fold") > 0, F.col("v")).otherwise(F.array(F.lit(1.0)))
+    with pytest.raises(TrainError, match="differ in length"):
+        scorer.cross_predict(df.withColumn("features", array_to_vector(mixed)), settings, n_folds=3)
+    with pytest.raises(TrainError, match="no training row has a truth"):
+        scorer.cross_predict(df.withColumn("Hit", F.lit(None).cast("double")), settings, n_folds=3)
+
+
 def test_training_refuses_overlap_and_idle_settings(spark, cfg):
     df = vectors(spark, 60)
     with pytest.raises(TrainError, match="share 5 patient"):
