@@ -48,6 +48,33 @@ def hash_rank(df: DataFrame, keys: list[str], order: Column, tie: str, name: str
     )
 
 
+def hash_select(df: DataFrame, keys: list[str], order: Column, tie: str, take: DataFrame, wanted: str, name: str) -> DataFrame:
+    """Add ``name``: whether a row is among the first ``wanted`` of its group by an md5 order key.
+
+    ``take`` holds ``wanted`` per group. Chunk totals name the one chunk per group in which the
+    selection ends; only its rows, some 1 in 4,096, are ranked, for the last key selected. All
+    others are told apart by comparing with that key, so nothing else is sorted. Rows of equal
+    ``tie`` fall on the same side; a group without an entry in ``take`` selects nothing.
+    """
+    keyed = df.withColumn("_order", order)
+    chunk = F.substring("_order", 1, CHUNK_DIGITS)
+    totals = keyed.groupBy(*keys, chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)
+    ends = (
+        totals.withColumn("_upto", F.sum("_n").over(upto)).join(take.select(*keys, F.col(wanted).alias("_wanted")), keys)
+        .where("_wanted > 0 AND _wanted > _upto - _n AND _wanted <= _upto")
+        .select(*keys, "_chunk", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_need"))
+    )
+    inside = keyed.select(*keys, "_order", tie, chunk.alias("_chunk")).join(ends, [*keys, "_chunk"])
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_order", tie))
+    last = inside.withColumn("_rank", rank).where("_rank = _need").select(*keys, F.struct("_order", F.col(tie).alias("_tie")).alias("_last"))
+    whole = take.select(*keys, (F.col(wanted) > 0).alias("_some")).join(last, keys, "left")
+    # A group asked for all its rows, or more, has no last key: it selects everything.
+    chosen = F.when(~F.coalesce("_some", F.lit(False)), False).when(F.col("_last").isNull(), True)
+    chosen = chosen.otherwise(F.struct("_order", F.col(tie).alias("_tie")) <= F.col("_last"))
+    return keyed.join(whole, keys, "left").withColumn(name, chosen).drop("_order", "_some", "_last")
+
+
 def range_chunks(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
     """Add ``_chunk``, increasing with ``order`` within ``keys``.
 

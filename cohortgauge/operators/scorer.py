@@ -109,7 +109,8 @@ def predict(models: dict[str, LinearModel], frame: DataFrame, features: str = "f
 
 # ---------------------------------------------------------------- the fit
 
-TRAIN, CHOOSE, SCORE, UNUSED = 0, 1, 2, 3
+#: Roles of a row in a set; foreign rows are scored, but belong to no part of the set.
+TRAIN, CHOOSE, SCORE, UNUSED, FOREIGN = 0, 1, 2, 3, 4
 #: Rows whose products are held at once.
 BLOCK = 2048
 #: Steps a fit remembers.
@@ -406,26 +407,25 @@ def train_fold(train: DataFrame, val: DataFrame, settings: ScorerSettings, *, fo
     return dict(zip(settings.labels, kept[0], strict=True)), searches[0]
 
 
-def nested_predict(frame: DataFrame, roles: Column, settings: ScorerSettings, *, n_sets: int, features: str = "features",
-                   carry: tuple[str, ...] = ("patient_id", "image_id")) -> tuple[DataFrame, DataFrame, list[Search]]:
-    """Scores of the held-out rows and of the choosing rows of every set, and the searches.
+def score_sets(frame: DataFrame, roles: Column, settings: ScorerSettings, *, n_sets: int, features: str = "features",
+               carry: tuple[str, ...] = ("patient_id", "image_id")) -> tuple[DataFrame, list[Search]]:
+    """Train every set, then score its choosing, held-out and foreign rows in one scan.
 
-    ``roles`` gives a row's role in each of ``n_sets`` sets: ``TRAIN``, ``CHOOSE``, ``SCORE`` or
-    ``UNUSED``. Both tables have the columns ``carry``, ``fold`` (the set), ``label``, ``score``.
-    Two scans gather moments, then each iteration is one scan for all sets, labels and strengths.
+    ``roles`` gives a row's role in each of ``n_sets`` sets: ``TRAIN``, ``CHOOSE``, ``SCORE``,
+    ``FOREIGN`` or ``UNUSED``. Columns: ``carry``, ``fold`` (the set), ``role``, ``label``, ``truth``,
+    ``score``. Two scans gather moments, then each iteration is one scan for all sets, labels and
+    strengths.
     """
     rows = _narrow(frame, roles, settings.labels, features, list(carry))
     kept, searches = _search(rows, n_sets, settings)
-    scored = materialise(_scored(rows, kept, settings.labels, (CHOOSE, SCORE), list(carry)))
-    shown = [*carry, "label", "score", "fold"]
-    return scored.where(F.col("role") == SCORE).select(*shown), scored.where(F.col("role") == CHOOSE).select(*shown), searches
+    return _scored(rows, kept, settings.labels, (CHOOSE, SCORE, FOREIGN), list(carry)).drop("round"), searches
 
 
 def rotating_roles(fold: str, n_folds: int) -> Column:
     """Roles from a fold number alone: fold k is scored, fold k+1 chooses, the others train."""
     own = F.col(fold)
     return F.array(*[
-        F.when(~F.coalesce(own.between(0, n_folds - 1), F.lit(False)), UNUSED).when(own == held, SCORE)
+        F.when(own.isNull() | ~own.between(0, n_folds - 1), UNUSED).when(own == held, SCORE)
         .when(own == (held + 1) % n_folds, CHOOSE).otherwise(TRAIN)
         for held in range(n_folds)
     ])
@@ -439,5 +439,5 @@ def cross_predict(frame: DataFrame, settings: ScorerSettings, *, n_folds: int, f
     strength. Rows of no fold or an outside one take no part. The result carries ``fold`` and
     pools with ``assemble_out_of_fold``.
     """
-    scores, _, searches = nested_predict(frame, rotating_roles(fold, n_folds), settings, n_sets=n_folds, features=features)
-    return scores, searches
+    scored, searches = score_sets(frame, rotating_roles(fold, n_folds), settings, n_sets=n_folds, features=features)
+    return scored.where(F.col("role") == SCORE).select("patient_id", "image_id", "label", "score", "fold"), searches

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortgauge.functions.keys import hash_hex, hex_to_long, stratum_key
 from cohortgauge.functions.maths import ratio
-from cohortgauge.operators.ordering import hash_rank
+from cohortgauge.operators.ordering import hash_rank, hash_select
+from cohortgauge.session import materialise
 from cohortgauge.sources.tables import counted
 
 EXTERNAL_FOLD = -1
@@ -168,24 +169,26 @@ def fold_roles(cohort: DataFrame, *, val_stratify_by: list[str], n_folds: int =
         raise SplitError(f"val_fraction must lie in (0, 1), got {val_fraction}")
     if "fold" not in cohort.columns:
         raise SplitError("cohort has no 'fold' column; call assign_folds first")
-    plan = validation_plan(
-        cohort, stratify_by=val_stratify_by, n_folds=n_folds, val_fraction=val_fraction, min_stratum=min_stratum
+    plan = materialise(
+        validation_plan(
+            cohort, stratify_by=val_stratify_by, n_folds=n_folds, val_fraction=val_fraction, min_stratum=min_stratum
+        )
     )
-    slim = cohort.where(F.col("fold") != EXTERNAL_FOLD).select(
-        "site", "patient_id", "fold", stratum_key(*[f"`{c}`" for c in val_stratify_by]).alias("stratum")
+    # Read three times below, and as narrow as it gets: stored once.
+    slim = materialise(
+        cohort.where(F.col("fold") != EXTERNAL_FOLD).select(
+            "site", "patient_id", "fold", stratum_key(*[f"`{c}`" for c in val_stratify_by]).alias("stratum")
+        )
     )
     outer = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("outer_fold")
     spread = slim.select("*", outer)
-    development = spread.where("fold <> outer_fold")
     order = hash_hex(F.lit(seed) + F.col("outer_fold"), "patient_id")
-    drawn = hash_rank(
-        development, ["site", "outer_fold", "stratum"], order, "patient_id", "_rank",
-        carry=plan.select("site", "outer_fold", "stratum", "n_val"),
+    drawn = hash_select(
+        spread.where("fold <> outer_fold"), ["site", "outer_fold", "stratum"], order, "patient_id", plan, "n_val", "_chosen"
     )
-    role = F.when(F.col("_rank") <= F.col("n_val"), "val").otherwise("train")
     keep = ["site", "patient_id", "fold", "outer_fold"]
     tests = spread.where("fold = outer_fold").select(*keep, F.lit("test").alias("role"))
-    return drawn.select(*keep, role.alias("role")).unionByName(tests)
+    return drawn.select(*keep, F.when(F.col("_chosen"), "val").otherwise("train").alias("role")).unionByName(tests)
 
 
 def validate_folds(folds: DataFrame, *, training_sites: list[str], n_folds: int = 5) -> DataFrame:
@@ -337,6 +340,15 @@ def assemble_decisions(scores: DataFrame, cohort: DataFrame, labels: list[str],
     return scores.join(truths, ["site", "patient_id", "label"])
 
 
+def require_disjoint(roles: DataFrame) -> None:
+    """Raise where a patient holds two roles under one outer fold, or none under some."""
+    folds = roles.select("outer_fold").distinct().count()
+    listed = roles.groupBy("site", "patient_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("outer_fold").alias("folds"))
+    n, some = counted(listed.where((F.col("n") != F.col("folds")) | (F.col("folds") != folds)), "patient_id")
+    if n:
+        raise SplitError(f"{n} patient(s) do not hold exactly one role under each of {folds} folds, among them {some}")
+
+
 def leakage(roles: DataFrame) -> DataFrame:
     """Per site and outer fold: patients, and those listed under more than one role."""
     per_patient = roles.groupBy("site", "outer_fold", "patient_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -993,6 +993,29 @@ tcal AS (SELECT t.*, {scaled("score", "temperature")} AS calibrated FROM test t
         f"""SELECT site, fold, label, patient_id, {r6("calibrated")} AS calibrated,
   CASE WHEN calibrated >= threshold THEN 1.0 ELSE 0.0 END::DOUBLE AS predicted FROM tcal JOIN lim USING (site, fold, label)""",
     )
+    sources = ", ".join(f"('{s}')" for s in pop.study().training_sites)
+    rates = f"""sum(np)::BIGINT AS n_positive, sum(nn)::BIGINT AS n_negative, {r6("sum(missed) / nullif(sum(np), 0)")} AS fnr,
+  {r6("sum(wrong) / nullif(sum(nn), 0)")} AS fpr, {r6("min(missed / nullif(np, 0))")} AS fnr_low, {r6("max(missed / nullif(np, 0))")} AS fnr_high"""
+    sql["transport_rates"] = with_(
+        f"""{FOLD_SCORES}, {newton("fp", "val", "site, fold, label")},
+vcal AS (SELECT v.*, {scaled("score", "temperature")} AS calibrated FROM val v JOIN fp USING (site, fold, label)),
+{curve("vc", "vcal", "site, fold, label", "calibrated")},
+lim AS (SELECT site, fold, label, max(score) AS threshold FROM vc WHERE cum_pos / all_pos >= 0.9::DOUBLE GROUP BY ALL),
+strangers AS (
+  SELECT src AS source_site, f::INT AS fold, g.site AS target_site, patient_id, view, age, {", ".join(f'g."{n}"' for n in ANALYSIS)}
+  FROM grouped g, (VALUES {sources}) AS a(src), range({pop.study().n_folds}) AS b(f) WHERE src <> g.site),
+slong AS (SELECT source_site, fold, target_site, patient_id, view, age, label, truth FROM strangers {UNPIVOT}),
+sscored AS ({scored("slong", "source_site || fold")}),
+judged AS (
+  SELECT s.*, {scaled("score", "temperature")} >= threshold AS hit FROM sscored s
+  JOIN fp ON fp.site = s.source_site AND fp.fold = s.fold AND fp.label = s.label
+  JOIN lim ON lim.site = s.source_site AND lim.fold = s.fold AND lim.label = s.label),
+per_fold AS (
+  SELECT source_site, target_site, label, fold, coalesce(view, 'all') AS view, count(*) FILTER (truth = 1) AS np,
+    count(*) FILTER (truth = 1 AND NOT hit) AS missed, count(*) FILTER (truth = 0) AS nn, count(*) FILTER (truth = 0 AND hit) AS wrong
+  FROM judged GROUP BY GROUPING SETS ((source_site, target_site, label, fold, view), (source_site, target_site, label, fold)))""",
+        f"SELECT source_site, target_site, label, view, {rates} FROM per_fold GROUP BY ALL",
+    )
     sql["assemble_decisions"] = with_(
         SCORES,
         """SELECT site, patient_id, label, score, view, sex, age, truth FROM scores WHERE site IN ('AMERICA', 'EUROPE')""",

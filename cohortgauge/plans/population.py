@@ -184,6 +184,17 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return scored.where("role = 'val'").drop("role"), scored.where("role = 'test'").drop("role")
 
 
+def foreign_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every training site's fold models on the patients of all other sites."""
+    cfg = study()
+    sources = ", ".join(f"'{s}'" for s in cfg.training_sites)
+    keep = ["site", "patient_id", "view", "sex", "age", "age_group"]
+    models = f"inline(transform(sequence(0, {len(cfg.training_sites) * cfg.n_folds - 1}), i -> named_struct(" \
+        f"'source_site', array({sources})[i div {cfg.n_folds}], 'fold', cast(i % {cfg.n_folds} as int))))"
+    long = _long(grouped(spark, sf_dir).selectExpr("*", models).where("source_site <> site"), [*keep, "source_site", "fold"], cfg.analysis_labels)
+    return long.selectExpr("*", label_score("concat(source_site, fold)"))
+
+
 def quick_decisions(spark: SparkSession, sf_dir: str, cut: float = 0.35) -> DataFrame:
     """Decisions at one fixed cut for all sites; the input of the gap operators."""
     return scores(spark, sf_dir).withColumn("predicted", (F.col("score") >= cut).cast("double"))

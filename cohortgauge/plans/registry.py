@@ -23,6 +23,7 @@ from cohortgauge.operators import (
     regression,
     scorer,
     splits,
+    transport,
 )
 from cohortgauge.operators.fingerprint import fingerprint
 from cohortgauge.operators.ordering import union_all
@@ -509,6 +510,15 @@ def decisions(spark, sf):
     return rounded(made.select("site", "fold", "label", "patient_id", "calibrated", "predicted"), "calibrated")
 
 
+@query
+def transport_rates(spark, sf):
+    """Frozen models and thresholds of the training sites at every other site."""
+    validation, _ = pop.fold_scores(spark, sf)
+    temperatures, thresholds = calibration.calibrate(validation, strict=False)
+    table = transport.transport_rates(transport.decide_elsewhere(pop.foreign_scores(spark, sf), temperatures, thresholds))
+    return rounded(table, "fnr", "fpr", "fnr_low", "fnr_high")
+
+
 @query
 def assemble_decisions(spark, sf):
     cfg = pop.study()

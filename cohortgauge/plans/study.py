@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortgauge.config import StudyConfig, freeze_config
-from cohortgauge.operators import calibration, cells, cohort, contracts, power, regression, splits
+from cohortgauge.operators import calibration, cells, cohort, contracts, metrics, power, regression, scorer, splits, transport
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.plans.analysis import Analysis, analyse, corrected_interactions
 from cohortgauge.plans.report import render_analysis_plan
@@ -15,6 +17,16 @@ from cohortgauge.sources.sites import load_site_metadata
 from cohortgauge.sources.tables import read_manifest, write_csv, write_parquet, write_text
 
 
+@dataclass
+class Scores:
+    """Stored score tables with the cohort's columns and truths beside each score."""
+
+    validation: DataFrame
+    test: DataFrame
+    elsewhere: DataFrame
+    searches: DataFrame
+
+
 class Study:
     """Paths and stage functions of one configuration.
 
@@ -53,12 +65,16 @@ class Study:
             raise cohort.CohortBuildError(f"manifest checks failed: {[(r['site'], r['check'], r['note']) for r in failed]}")
         return report
 
-    def build_cohorts(self, check: bool = True) -> dict[str, contracts.ContractReport]:
-        """Build, store and validate every configured site."""
+    def build_cohorts(self, check: bool = True, uncertain_policy: str | None = None) -> dict[str, contracts.ContractReport]:
+        """Build, store and validate every configured site.
+
+        A policy for uncertain labels other than the configured one belongs to a sensitivity
+        run: give that run a root of its own.
+        """
         cfg, reports = self.cfg, {}
         for site in cfg.site_names:
             built = cohort.build_cohort(
-                site, cfg, self.metadata(site), self.spark, image_manifest=self.manifest(site)
+                site, cfg, self.metadata(site), self.spark, image_manifest=self.manifest(site), uncertain_policy=uncertain_policy
             )
             write_parquet(built.cohort, self.path("cohorts", "cohort", site=site))
             write_parquet(built.audit, self.path("cohorts", "audit", site=site))
@@ -145,8 +161,69 @@ class Study:
             cells.cell_balance(trained, cfg.analysis_labels, cfg.n_folds, cfg.strata),
             self.path("splits", "cell_balance", "csv", scope="split"),
         )
+        self._store_roles(trained)
         return stored
 
+    def _store_roles(self, trained: DataFrame) -> None:
+        """Roles of every patient under every outer fold; no patient holds two under one."""
+        cfg = self.cfg
+        roles = splits.fold_roles(
+            trained, val_stratify_by=cfg.val_stratify_by, n_folds=cfg.n_folds, val_fraction=cfg.val_fraction,
+            min_stratum=cfg.min_val_stratum, seed=cfg.seed,
+        )
+        write_parquet(roles, self.path("splits", "roles", scope="split"))
+        splits.require_disjoint(self.roles())
+        sizes = self.roles().groupBy("site", "outer_fold", "role").agg(F.count(F.lit(1)).alias("patients"))
+        write_csv(sizes, self.path("splits", "role_sizes", "csv", scope="split"))
+
+    def roles(self) -> DataFrame:
+        return self.spark.read.parquet(self.path("splits", "roles", scope="split"))
+
+    # ---- 3b. training, one model per training site, fold and label
+    def train(self, features: DataFrame, column: str = "features") -> Scores:
+        """Train, choose, predict and pool; every table is stored.
+
+        ``features`` holds ``patient_id, image_id`` and a vector for every image of the cohorts. The
+        models of all sites and folds are fitted together. Rows of other sites are scored in the
+        same pass (``elsewhere``, with ``source_site``), and the pooled test scores are checked
+        to be out-of-fold before they are stored.
+        """
+        cfg, sites, folds = self.cfg, self.cfg.training_sites, self.cfg.n_folds
+        people = self.cohorts()
+        code = F.when(F.col("role") == "train", scorer.TRAIN).when(F.col("role") == "val", scorer.CHOOSE).otherwise(scorer.SCORE)
+        listed = self.roles().groupBy("site", "patient_id").agg(F.map_from_entries(F.collect_list(F.struct("outer_fold", code))).alias("_role"))
+        own = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: F.try_element_at("_role", k))
+        # One set per training site and fold; to the sets of other sites a row is a stranger.
+        roles = F.flatten(F.array(*[
+            F.when(F.col("site") == s, own).otherwise(F.array_repeat(F.lit(scorer.FOREIGN), folds)) for s in sites
+        ]))
+        vectors = features.select("patient_id", "image_id", F.col(f"`{column}`").alias("_features"))
+        frame = people.join(listed, ["site", "patient_id"], "left").join(vectors, ["patient_id", "image_id"], "left")
+        scored, searches = scorer.score_sets(
+            frame, roles, scorer.scorer_settings(cfg), n_sets=len(sites) * folds, features="_features",
+            carry=("site", "patient_id", "image_id", "view", "sex", "age", "age_group"),
+        )
+        named = scored.withColumns({
+            "source_site": F.element_at(F.array(*[F.lit(s) for s in sites]), (F.floor(F.col("fold") / folds) + 1).cast("int")),
+            "fold": (F.col("fold") % folds).cast("int"),
+        })
+        where = self.path("scores", "scores")
+        write_parquet(named, where, ["role"])
+        stored = self.spark.read.parquet(where)
+        part = lambda role: stored.where(F.col("role") == role).drop("role")
+        test = part(scorer.SCORE)
+        assigned = self.spark.read.parquet(self.path("splits", "folds")).where(F.col("site").isin(sites))
+        first = test.where(F.col("label") == cfg.analysis_labels[0])
+        splits.assemble_out_of_fold(first, assigned, n_folds=folds)
+        rounds = [
+            (sites[s.fold // folds], s.fold % folds, r["strength"], r["loss"], r["macro_auroc"], k == s.kept, ", ".join(r["not_converged"]))
+            for s in searches for k, r in enumerate(s.rounds)
+        ]
+        schema = "site string, fold int, strength double, loss double, macro_auroc double, kept boolean, not_converged string"
+        table = self.spark.createDataFrame(rounds, schema)
+        write_csv(table, self.path("scores", "searches", "csv", scope="model"))
+        return Scores(part(scorer.CHOOSE).drop("source_site"), test.drop("source_site"), part(scorer.FOREIGN), table)
+
     # ---- 4. decisions from stored scores
     def decide(self, validation: DataFrame, test: DataFrame, arm: str = "global") -> DataFrame:
         """Calibrate on validation scores, apply to test scores, store both results."""
@@ -163,8 +240,35 @@ class Study:
         )
         where = self.path("scores", f"decisions_{arm}", scope="model")
         write_parquet(calibration.decide(test, temperatures, thresholds, arm), where, ["site"])
+        write_parquet(temperatures, self.path("calibration", f"temperatures_{arm}", scope="model"))
+        write_parquet(thresholds, self.path("calibration", f"thresholds_{arm}", scope="model"))
         return self.spark.read.parquet(where)
 
+    def performance(self, decisions: DataFrame, arm: str = "global") -> dict[str, DataFrame]:
+        """Ordering and calibration of stored decisions: areas, report and reliability tables."""
+        keys = ["site", "label"]
+        areas = materialise(metrics.auroc(decisions, keys))
+        made = {
+            "auroc": areas,
+            "auroc_macro": metrics.macro_auroc(areas, ["site"]),
+            "calibration_report": calibration.calibration_report(decisions, keys, sorted(self.cfg.cohort["allowed_views"])),
+            "reliability_raw": metrics.reliability_table(decisions, keys),
+            "reliability_calibrated": metrics.reliability_table(decisions, keys, score="calibrated"),
+        }
+        for name, table in made.items():
+            made[name] = materialise(table)
+            write_csv(made[name], self.path("analysis", f"{name}_{arm}", "csv"))
+        return made
+
+    def transport(self, elsewhere: DataFrame, arm: str = "global") -> DataFrame:
+        """Rates of every source site's frozen models and thresholds at the other sites."""
+        temperatures, thresholds = [
+            self.spark.read.parquet(self.path("calibration", f"{name}_{arm}", scope="model")) for name in ("temperatures", "thresholds")
+        ]
+        rates = materialise(transport.transport_rates(transport.decide_elsewhere(elsewhere, temperatures, thresholds, arm)))
+        write_csv(rates, self.path("analysis", f"transport_{arm}", "csv"))
+        return rates
+
     # ---- 5. analysis
     def analyse(self, decisions: DataFrame, tiers: DataFrame, replicates: int | None = None) -> Analysis:
         result = analyse(decisions, self.cfg, replicates=replicates)
@@ -174,4 +278,8 @@ class Study:
         write_csv(result.interactions, self.path("analysis", "interactions", "csv"))
         write_csv(corrected_interactions(result.interactions, tiers, alpha), self.path("analysis", "corrected", "csv"))
         write_csv(result.notes, self.path("analysis", "notes", "csv"))
+        outcomes = self.cfg.analysis["outcomes"]
+        margins = outcomes.get("independence_margin_sensitivity") or [outcomes["independence_margin"]]
+        write_csv(result.sensitivity([float(m) for m in margins]), self.path("analysis", "verdict_sensitivity", "csv"))
+        write_csv(result.replication(), self.path("analysis", "replication", "csv"))
         return result

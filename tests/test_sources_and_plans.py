@@ -1,3 +1,4 @@
+import hashlib
 import io
 import sys
 import zipfile
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 from cohortgauge.config import from_mapping
 from cohortgauge.operators import cells, scorer
 from cohortgauge.operators.fingerprint import fingerprint
+from cohortgauge.operators.ordering import hash_select
 from cohortgauge.operators.scorer import ScorerSettings, TrainError
+from cohortgauge.operators.splits import SplitError, require_disjoint
+from cohortgauge.operators.transport import transport_rates
 from cohortgauge.plans import population
 from cohortgauge.plans.report import PlanError, render_analysis_plan
 from cohortgauge.plans.study import Study
@@ -294,3 +298,71 @@ def test_power_gate_stores_the_summary_that_the_plan_names(spark, raw_config, tm
     study.power_gate()
     stored = spark.read.option("header", True).csv(study.path("analysis", "cohort_summary", "csv"))
     assert stored.count() == cells.cohort_summary(study.cohorts()).count() > 0
+
+
+def test_study_goes_from_vectors_to_stored_results(spark, raw_config, tmp_path):
+    """Nested roles, one model per training site and fold, decisions, performance, transport, analysis."""
+    raw_config["model"]["strengths"] = [1e-3, 1e-1]
+    cfg = from_mapping(raw_config)
+    study = Study(spark, cfg, str(tmp_path))
+    people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
+    for site in cfg.site_names:
+        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+    study.assign_folds()
+    roles = study.roles()
+    assert {r["role"] for r in roles.select("role").distinct().collect()} == {"train", "val", "test"}
+    assert roles.groupBy("site", "patient_id").count().where(f"count <> {cfg.n_folds}").isEmpty()
+    # Vectors that say something of every label, with noise.
+    noise = lambda k: F.pmod(F.xxhash64("patient_id", F.lit(k)), F.lit(1000)) / 500.0
+    values = [F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) + noise(k) for k, n in enumerate(cfg.analysis_labels)]
+    vectors = people.select("patient_id", "image_id", array_to_vector(F.array(*values)).alias("features"))
+    scores = study.train(vectors)
+    trained = people.where(F.col("site").isin(cfg.training_sites)).count()
+    assert scores.test.count() == trained * len(cfg.analysis_labels)
+    assert scores.elsewhere.where("source_site = site").isEmpty()
+    per_source = [people.where(F.col("site") != s).count() for s in cfg.training_sites]
+    assert scores.elsewhere.count() == sum(per_source) * cfg.n_folds * len(cfg.analysis_labels)
+    held = scores.validation.join(roles.where("role = 'val'").select("site", "patient_id", F.col("outer_fold").alias("fold")), ["site", "patient_id", "fold"])
+    assert held.count() == scores.validation.count() > 0
+    assert scores.searches.count() >= 2 * cfg.n_folds and scores.searches.where("kept").count() == 2 * cfg.n_folds
+    made = study.decide(scores.validation, scores.test)
+    shown = study.performance(made)
+    assert shown["auroc_macro"].where("macro_auroc < 0.7").isEmpty() and shown["auroc"].count() == 2 * len(cfg.analysis_labels)
+    assert shown["reliability_calibrated"].groupBy("site", "label").agg(F.sum("n").alias("n")).where("n = 0").isEmpty()
+    moved = study.transport(scores.elsewhere)
+    assert moved.where("view = 'all'").count() == 2 * 4 * len(cfg.analysis_labels) and moved.where("fnr_low > fnr OR fnr > fnr_high").isEmpty()
+    tiers = spark.createDataFrame([(n, "primary") for n in cfg.analysis_labels], "label string, tier string")
+    study.analyse(made, tiers, replicates=200)
+    for name in ("verdict_sensitivity", "replication", "transport_global", "auroc_global", "calibration_report_global"):
+        assert spark.read.option("header", True).csv(study.path("analysis", name, "csv")).count() > 0
+
+
+def test_patients_with_two_roles_or_none_are_refused(spark):
+    kinds = "site string, patient_id string, fold int, outer_fold int, role string"
+    good = [("s", "a", 0, 0, "test"), ("s", "a", 0, 1, "train"), ("s", "b", 1, 0, "val"), ("s", "b", 1, 1, "test")]
+    require_disjoint(spark.createDataFrame(good, kinds))
+    for bad in ([*good, ("s", "b", 1, 0, "train")], good[:3]):
+        with pytest.raises(SplitError, match=r"1 patient\(s\) do not hold exactly one role.*'b'"):
+            require_disjoint(spark.createDataFrame(bad, kinds))
+
+
+def test_selection_by_hash_takes_exactly_what_it_is_asked(spark):
+    rows = [(g, f"{g}{i}") for g, n in (("a", 5000), ("b", 7), ("c", 3), ("d", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    take = spark.createDataFrame([("a", 777), ("b", 0), ("c", 3), ("e", 1)], "g string, n int")
+    order = F.md5("k")
+    got = hash_select(df, ["g"], order, "k", take, "n", "hit").where("hit").groupBy("g").agg(F.sort_array(F.collect_list("k")).alias("ks")).collect()
+    want = {"a": sorted(sorted((k for g, k in rows if g == "a"), key=lambda k: hashlib.md5(k.encode()).hexdigest())[:777]), "c": ["c0", "c1", "c2"]}
+    assert {r["g"]: r["ks"] for r in got} == want
+    assert hash_select(df.limit(0), ["g"], order, "k", take, "n", "hit").count() == 0
+
+
+def test_transport_counts_by_hand(spark):
+    rows = [
+        ("S", "T", 0, "L", "AP", 1.0, 1.0), ("S", "T", 0, "L", "AP", 1.0, 0.0), ("S", "T", 1, "L", "PA", 1.0, 1.0),
+        ("S", "T", 1, "L", None, 0.0, 1.0), ("S", "T", 1, "L", "PA", 1.0, None), ("S", "T", 1, "L", "PA", None, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "source_site string, target_site string, fold int, label string, view string, truth double, predicted double")
+    got = {r["view"]: (r["n_positive"], r["n_negative"], r["fnr"], r["fpr"], r["fnr_low"], r["fnr_high"]) for r in transport_rates(df).collect()}
+    assert got == {"all": (3, 1, 1 / 3, 1.0, 0.0, 0.5), "AP": (2, 0, 0.5, None, 0.5, 0.5), "PA": (1, 0, 0.0, None, 0.0, 0.0)}
+    assert transport_rates(df.limit(0)).count() == 0
