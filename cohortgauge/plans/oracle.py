@@ -1243,6 +1243,7 @@ FROM (SELECT site, count(*) AS n, {words} FROM cohort GROUP BY site)""",
         LAYOUT,
         "SELECT i.o_orderkey AS pos, i.image_id, x.shard, x.row FROM images i LEFT JOIN index x ON i.image_id = x.image_id",
     )
+    sql["random_read"] = "SELECT page_id AS pos, 'page' || page_id AS image_id, md5(html) AS digest FROM pages WHERE page_id % 100 = 0"
     sql["cache_verify"] = with_(
         f"{LAYOUT}, {HELD.removeprefix(IMAGES + ',')}",
         """SELECT "check", n_affected, n_affected = 0 AS ok FROM (

@@ -48,6 +48,7 @@ SCHEMAS = {
     "embeddings": "vec_id long, embedding array<float>, label int",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
+    "pages": "page_id long, url string, html string",
 }
 
 

@@ -29,7 +29,7 @@ from cohortgauge.operators.fingerprint import fingerprint
 from cohortgauge.operators.ordering import union_all
 from cohortgauge.plans import population as pop
 from cohortgauge.plans.analysis import analyse
-from cohortgauge.session import materialise
+from cohortgauge.session import materialise, shared_folder
 from cohortgauge.sources import imagecache, sites, tables
 
 QUERIES = {}
@@ -792,6 +792,16 @@ def cache_lookup(spark, sf):
     return imagecache.locate(wanted, index)
 
 
+@query
+def random_read(spark, sf):
+    """Every hundredth page out of a shard-partitioned store of all pages."""
+    pages = pop.table(spark, sf, "pages").selectExpr("page_id", "concat('page', page_id) AS image_id", "encode(html, 'UTF-8') AS pixels")
+    layout = imagecache.cache_layout(pages, shard_size=QUERY_SHARD)
+    store = imagecache.store_images(layout.join(pages.select("image_id", "pixels"), "image_id"), shared_folder(spark, "random-read"))
+    asked = pages.where("page_id % 100 = 0").selectExpr("page_id AS pos", "image_id")
+    return imagecache.fetch_images(store, asked).select("pos", "image_id", F.md5("pixels").alias("digest"))
+
+
 @query
 def cache_verify(spark, sf):
     index = imagecache.cache_layout(pop.cohort(spark, sf), depth=3, shard_size=QUERY_SHARD)

@@ -69,9 +69,9 @@ def test_cache_round_trip(spark, tmp_path):
     damaged = ic.ImageCache(cache.directory, cache.manifest, cache.images.withColumn("checksum", F.lit("0")))
     assert "pixels_match_checksums" in {r["check"] for r in ic.verify_cache(damaged).where("not ok").collect()}
     ic.load_cache(spark, cache.directory, cohort=wanted(spark, ids), config_hash="abc")
-    with pytest.raises(CacheError, match="under config"):
+    with pytest.raises(CacheError, match="configuration .* is needed"):
         ic.load_cache(spark, cache.directory, config_hash="zzz")
-    with pytest.raises(CacheError, match="different cohort"):
+    with pytest.raises(CacheError, match="cohort .* is needed"):
         ic.load_cache(spark, cache.directory, cohort=wanted(spark, ids[:2]))
 
 
@@ -111,6 +111,34 @@ def test_union_fills_absent_columns(spark):
     assert sorted((r["x"], r["y"]) for r in scan_union(a, b).collect()) == [(1, 2), (3, None)]
 
 
+def stored_images(spark, tmp_path, n=300):
+    rows = [(f"i{k}", k // 50, k % 50, bytes([k % 256]) * 20) for k in range(n)]
+    df = spark.createDataFrame(rows, "image_id string, shard int, row int, pixels binary")
+    return ic.store_images(df, str(tmp_path / "images"))
+
+
+def test_random_read_opens_the_named_shards_and_moves_no_pixels(spark, tmp_path):
+    images = stored_images(spark, tmp_path)
+    asked = spark.createDataFrame([(0, "i260"), (1, "i3"), (2, "i260"), (3, "i4")], "pos long, image_id string")
+    got = ic.fetch_images(images, asked)
+    assert {r["pos"]: (r["image_id"], bytes(r["pixels"])[0]) for r in got.collect()} == {0: ("i260", 4), 1: ("i3", 3), 2: ("i260", 4), 3: ("i4", 4)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    files = {r["f"] for r in got.select("pos").withColumn("f", F.input_file_name()).collect()}
+    assert len(files) <= 2
+    assert ic.fetch_images(images, asked.limit(0)).count() == 0
+    with pytest.raises(CacheError, match="1, 'i999' for one"):
+        ic.fetch_images(images, spark.createDataFrame([(0, "i999"), (1, "i1")], "pos long, image_id string"))
+
+
+def test_random_read_beyond_the_broadcast_bound_is_the_same(spark, tmp_path, monkeypatch):
+    images = stored_images(spark, tmp_path)
+    asked = spark.createDataFrame([(k, f"i{7 * k % 300}") for k in range(80)], "pos long, image_id string")
+    near = sorted((r["pos"], bytes(r["pixels"])) for r in ic.fetch_images(images, asked).collect())
+    monkeypatch.setattr(ic, "REQUESTS", 10)
+    assert near == sorted((r["pos"], bytes(r["pixels"])) for r in ic.fetch_images(images, asked).collect())
+
+
 # ---- scorer
 
 
