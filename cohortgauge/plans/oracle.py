@@ -1243,6 +1243,18 @@ FROM (SELECT site, count(*) AS n, {words} FROM cohort GROUP BY site)""",
         LAYOUT,
         "SELECT i.o_orderkey AS pos, i.image_id, x.shard, x.row FROM images i LEFT JOIN index x ON i.image_id = x.image_id",
     )
+    lines = """WITH lines AS (SELECT event_type, CASE WHEN event_id % 50 = 7 THEN left(props, length(props) - 1) WHEN event_id % 70 = 3 THEN '  '
+  WHEN event_id % 9 = 1 THEN '{"id": ' || event_id || ', ' || substr(props, 2) ELSE props END AS value FROM events),
+marked AS (SELECT *, coalesce(trim(value) = '', true) AS blank,
+  CASE WHEN NOT coalesce(trim(value) = '', true) AND NOT json_valid(value) THEN value END AS bad FROM lines)"""
+    sql["broken_records"] = f"""{lines},
+report AS (SELECT event_type, count(*) AS n_lines, count(*) FILTER (blank) AS n_blank, count(bad) AS n_broken,
+  [min(bad), max(bad), min_by(bad, md5(bad))] AS picked FROM marked GROUP BY ALL)
+SELECT event_type, n_lines, n_blank, n_broken,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter(picked, lambda x: x IS NOT NULL))), ' | '), '') AS examples FROM report"""
+    sql["record_fields"] = f"""{lines}
+SELECT event_type, field, count(*) AS n_lines FROM (
+  SELECT event_type, unnest(json_keys(value)) AS field FROM marked WHERE NOT blank AND bad IS NULL) GROUP BY ALL"""
     sql["random_read"] = "SELECT page_id AS pos, 'page' || page_id AS image_id, md5(html) AS digest FROM pages WHERE page_id % 100 = 0"
     sql["cache_verify"] = with_(
         f"{LAYOUT}, {HELD.removeprefix(IMAGES + ',')}",

@@ -48,6 +48,7 @@ SCHEMAS = {
     "embeddings": "vec_id long, embedding array<float>, label int",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "pages": "page_id long, url string, html string",
 }
 
@@ -223,6 +224,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.unionByName(strays).unionByName(blanks)
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property records of the events, some cut short, some blank, some with a second key."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_type", """CASE WHEN event_id % 50 = 7 THEN substr(props, 1, length(props) - 1) WHEN event_id % 70 = 3 THEN '  '
+            WHEN event_id % 9 = 1 THEN concat('{"id": ', event_id, ', ', substr(props, 2)) ELSE props END AS value""",
+    )
+
+
 def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The population as a one-file site writes it."""
     tokens = ", ".join(f"CASE WHEN `{n}` = 1 THEN '{n}' END" for n in PREVALENCE)

@@ -792,6 +792,17 @@ def cache_lookup(spark, sf):
     return imagecache.locate(wanted, index)
 
 
+@query
+def broken_records(spark, sf):
+    report = tables.record_report(pop.event_lines(spark, sf), ["event_type"])
+    return report.withColumn("examples", F.array_join("examples", " | "))
+
+
+@query
+def record_fields(spark, sf):
+    return tables.field_report(pop.event_lines(spark, sf), ["event_type"])
+
+
 @query
 def random_read(spark, sf):
     """Every hundredth page out of a shard-partitioned store of all pages."""

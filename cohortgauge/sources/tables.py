@@ -49,20 +49,45 @@ def scan_union(*frames: DataFrame) -> DataFrame:
     return result
 
 
-def jsonl_fields(spark: SparkSession, path) -> set[str]:
-    """Distinct top-level keys of a JSON-lines file (a schema-sized answer)."""
-    lines = _loaded(lambda: spark.read.text(str(path)), path).where(F.trim("value") != "")
-    keys = lines.select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
-    return {row["k"] for row in keys.collect()}
+def record_report(lines: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
+    """Per ``keys``: lines, blank lines, lines that hold no JSON object, and up to three of those.
+
+    The examples are the smallest, the largest and the one of the smallest digest, so that the
+    aggregate stays as small as three lines whatever breaks. Missing lines count as blank.
+    """
+    line = F.col(column)
+    blank = F.coalesce(F.trim(line) == "", F.lit(True))
+    bad = F.when(~blank & F.json_object_keys(line).isNull(), line)
+    return lines.select(*keys, blank.alias("_blank"), bad.alias("_bad")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if("_blank").alias("n_blank"), F.count("_bad").alias("n_broken"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(F.min("_bad"), F.max("_bad"), F.min_by("_bad", F.md5("_bad")))))).alias("examples"),
+    )
+
+
+def field_report(lines: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
+    """Per ``keys`` and top-level JSON key: the lines that hold it. Broken lines hold none."""
+    named = lines.select(*keys, F.explode(F.array_distinct(F.json_object_keys(column))).alias("field"))
+    return named.groupBy(*keys, "field").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def read_label_jsonl(spark: SparkSession, path, labels: list[str], key: str = "path_to_image",
                      site: str = "") -> DataFrame:
-    """One JSON object per line: the image path and one nullable value per label."""
-    fields = jsonl_fields(spark, path)
-    if key not in fields:
-        raise SourceError(f"{site}: label file {Path(path).name} has no {key!r} key; found {sorted(fields)[:8]}")
-    require_labels(fields, labels, site)
+    """One JSON object per line: the image path and one nullable value per label.
+
+    A broken line raises, with their number and examples; blank lines are passed over.
+    """
+    lines = _loaded(lambda: spark.read.text(str(path)), path)
+    name = Path(path).name
+    report = record_report(lines, []).first()
+    if report["n_broken"]:
+        shown = [e[:80] for e in report["examples"]]
+        raise SourceError(f"{site}: {report['n_broken']:,} of {report['n_lines']:,} lines of {name} hold no record, such as {shown}")
+    # One row as wide as the configuration; the keys of the file are never gathered.
+    held = F.json_object_keys("value")
+    found = lines.agg(*[F.coalesce(F.bool_or(F.array_contains(held, n)), F.lit(False)).alias(n) for n in (key, *labels)]).first().asDict()
+    if not found[key]:
+        raise SourceError(f"{site}: label file {name} has no {key!r} key")
+    require_labels([n for n in labels if found[n]], labels, site)
     schema = T.StructType(
         [T.StructField(key, T.StringType()), *[T.StructField(name, T.DoubleType()) for name in labels]]
     )

@@ -22,7 +22,7 @@ from cohortgauge.plans.report import PlanError, render_analysis_plan
 from cohortgauge.plans.study import Study
 from cohortgauge.sources import imagecache as ic
 from cohortgauge.sources.imagecache import CacheError
-from cohortgauge.sources.tables import markdown_table, scan_union, write_parquet
+from cohortgauge.sources.tables import SourceError, field_report, markdown_table, read_label_jsonl, record_report, scan_union, write_parquet
 from site_files import write_anchored, write_paths, write_tokens
 
 SIZE = 8
@@ -111,6 +111,24 @@ def test_union_fills_absent_columns(spark):
     assert sorted((r["x"], r["y"]) for r in scan_union(a, b).collect()) == [(1, 2), (3, None)]
 
 
+def test_broken_label_lines_are_counted_and_shown(spark, tmp_path):
+    file = tmp_path / "labels.json"
+    file.write_text('{"path_to_image": "a", "Edema": 1}\n\n{"path_to_image": "b", "Edema": nul}\n[1]\nx\n{"path_to_image": "c"\n')
+    with pytest.raises(SourceError, match="4 of 6 lines of labels.json hold no record, such as"):
+        read_label_jsonl(spark, file, ["Edema"], site="s")
+    file.write_text('{"path_to_image": "a", "Edema": 1}\n\n{"path_to_image": "b"}\n')
+    got = read_label_jsonl(spark, file, ["Edema"], site="s")
+    assert {(r["path_to_image"], r["Edema"]) for r in got.where("path_to_image IS NOT NULL").collect()} == {("a", 1.0), ("b", None)}
+    with pytest.raises(SourceError, match="no values for the labels .'Fracture'."):
+        read_label_jsonl(spark, file, ["Edema", "Fracture"], site="s")
+    with pytest.raises(SourceError, match="has no 'other' key"):
+        read_label_jsonl(spark, file, ["Edema"], key="other", site="s")
+    lines = spark.read.text(str(file))
+    assert {(r["field"], r["n_lines"]) for r in field_report(lines, []).collect()} == {("path_to_image", 2), ("Edema", 1)}
+    empty = record_report(lines.limit(0), []).first()
+    assert (empty["n_lines"], empty["n_broken"], empty["examples"]) == (0, 0, [])
+
+
 def stored_images(spark, tmp_path, n=300):
     rows = [(f"i{k}", k // 50, k % 50, bytes([k % 256]) * 20) for k in range(n)]
     df = spark.createDataFrame(rows, "image_id string, shard int, row int, pixels binary")
