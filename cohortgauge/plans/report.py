@@ -83,4 +83,22 @@ def render_analysis_plan(cfg: StudyConfig, tiers: DataFrame, coupling: DataFrame
         "independence or inconclusive; independence needs the whole interval inside "
         f"±{a['outcomes']['independence_margin']}.",
     ]
+    policy = cfg.labels.get("uncertain_policy") or {}
+    margins = a["outcomes"].get("independence_margin_sensitivity") or []
+    planned = [
+        f"Cohorts rebuilt with uncertain labels as `{policy['sensitivity']}`, in place of `{policy.get('primary')}`." if policy.get("sensitivity") else None,
+        f"Thresholds by `{rule['sensitivity_rule']}`.",
+        "Temperatures per view in place of one for all views.",
+        f"Outcomes under margins of {_names(f'±{m}' for m in margins)}." if margins else None,
+        f"Tiers under baseline rates of {_names(f'{b:.0%}' for b in gate['baseline_sensitivity_grid'])}.",
+        "Agreement of outcomes between sites, label by label.",
+    ]
+    parts += [
+        "## Planned sensitivity analyses", "\n".join(f"- {line}" for line in planned if line),
+        "## What the freeze covers",
+        "The hashes above cover the values of the configuration: cohort rules, folds, model settings, endpoints and limits. "
+        "They do not cover the source files, the program or the libraries it runs on; the cohort fingerprint covers "
+        "which patients were kept. Tiers come from counts alone, and no score of any model was read before this document. "
+        "What is not listed here is exploratory, whatever its result.",
+    ]
     return "\n\n".join(parts) + "\n"

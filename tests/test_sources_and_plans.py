@@ -278,7 +278,7 @@ def plan_tables(spark, tier="primary"):
 def test_plan_states_the_configuration(spark, cfg):
     sens = spark.createDataFrame([("Edema", "primary", True)], "label string, `FNR=10%` string, stable boolean")
     text = render_analysis_plan(cfg, *plan_tables(spark), sensitivity=sens, frozen_config="f.yaml")
-    for part in (cfg.config_hash, cfg.split_hash, "Edema", "age_decade", "f.yaml", "normal approximation", "holm", "FNR=10%"):
+    for part in (cfg.config_hash, cfg.split_hash, "Edema", "age_decade", "f.yaml", "normal approximation", "holm", "FNR=10%", "u_zeros", "youden", "±0.05", "do not cover"):
         assert part in text
     with pytest.raises(PlanError, match="no label reached"):
         render_analysis_plan(cfg, *plan_tables(spark, "descriptive"))
