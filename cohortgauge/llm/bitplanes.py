@@ -13,7 +13,10 @@ reader can fetch any block by ranges.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortgauge.llm.mergequeue import byte_letters
 from cohortgauge.llm.tables import new_path, per_worker, portions, stored
 
 MAGIC = b"IDPLANE1"
 FOOTER = "<QQQQQBI8s"
 #: Ids of a block, and the compression level of its planes.
 BLOCK, LEVEL = 1 << 16, 3
-#: Words after which a worker forgets those whose ids it keeps, and text bytes encoded together.
-CACHED, PORTION = 500_000, 1 << 20
+#: Words after which a worker forgets those whose ids it keeps, pieces it keeps, and text bytes encoded together.
+CACHED, PIECES, PORTION = 500_000, 1_000_000, 1 << 20
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -151,13 +155,35 @@ class PlaneReader:
             held = joined[length:]
 
 
+def _simple_classes() -> tuple[str, str, str]:
+    """Letters, digits and other signs below U+0250, as the insides of character classes.
+
+    These are plain signs: composing leaves them alone. White space, controls and capitals whose
+    lower case is two signs or lies beyond are not among them.
+    """
+    kinds: dict[str, list[str]] = {"L": [], "N": [], "": []}
+    for sign in map(chr, range(0x21, 0x250)):
+        kind = unicodedata.category(sign)
+        if kind[0] not in "CZ" and len(sign.lower()) == 1 and sign.lower() < "\u0250":
+            kinds[kind[0] if kind[0] in "LN" else ""].append(sign)
+    letters, digits, others = ("".join(map(re.escape, signs)) for signs in kinds.values())
+    return letters, digits, others
+
+
 class WordIds:
-    """Ids of texts from the tokenizer, with the ids of words kept between texts.
+    """Ids of texts from the tokenizer, with the ids of words and of their pieces kept between texts.
 
-    Holds for tokenizers whose splitting never spans ASCII white space and that drop it. The
-    ids of all known words lie in one array; a text's ids are gathered from it.
+    Holds for tokenizers whose splitting never spans ASCII white space and that drop it. A word
+    of plain signs is lower-cased and cut into pieces here, where the file says ``SIMPLE``, and
+    the library's model gives the ids of a piece; all other words, and those that could hold a
+    special token, are encoded whole. Pieces recur far more than words do. The ids of all known
+    words lie in one array, from which a text's ids are gathered.
     """
 
+    #: The normalising steps and the splitting pattern for which pieces are cut here.
+    STEPS = ("NFC", "Replace", "Lowercase")
+    SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, definition: str):
         import os
 
@@ -167,19 +193,78 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        spec = json.loads(definition)
+        letters, digits, others = _simple_classes()
+        lead = "".join({t["content"][:1] for t in spec["added_tokens"]})
+        self.simple = re.compile(rf"[{letters}{digits}{others}]+" if self._cuts(spec) else r"(?!)").fullmatch
+        self.special = re.compile(f"[{re.escape(lead)}]" if lead else r"(?!)").search
+        self.cut = re.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^ {letters}{digits}]+")
+        self.letters = byte_letters()
+        # Packed ids: bytes are no containers, so the garbage collector does not walk through them.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self._empty()
 
+    def _cuts(self, spec: dict) -> bool:
+        """Whether the file is of the kind whose pieces can be cut here."""
+        steps = (spec["normalizer"] or {}).get("normalizers") or []
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers") or []
+        if [s["type"] for s in steps] != list(self.STEPS) or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+            return False
+        split, level = parts
+        return (
+            split["pattern"] == {"Regex": self.SIMPLE} and split["behavior"] == "Removed" and split["invert"]
+            and not level["add_prefix_space"] and not level["use_regex"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        )
+
     def _empty(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a lower-cased piece. Pieces unused for half of ``PIECES`` new ones are forgotten."""
+        found = self.old.get(piece)
+        if found is None:
+            # Printable ASCII stands for itself among the letters of bytes.
+            spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.young) >= PIECES // 2:
+            self.old, self.young = self.young, {}
+        self.young[piece] = found
+        return found
+
+    def _cut_up(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of plain signs."""
+        out, ids = [], b""
+        for piece in self.cut.findall(" ".join(words).lower() + " "):
+            if piece == " ":
+                out.append(ids)
+                ids = b""
+            else:
+                ids += self.young.get(piece) or self._piece(piece)
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
-        found = [f.ids for f in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
-        ends = self.starts[-1] + np.cumsum([len(f) for f in found])
-        new = np.fromiter((i for f in found for i in f), np.uint32)
+        plain, plain_texts, odd, odd_texts = [], [], [], []
+        for word in words:
+            text = word.decode()
+            if self.simple(text) and not self.special(text):
+                plain.append(word)
+                plain_texts.append(text)
+            else:
+                odd.append(word)
+                odd_texts.append(text)
+        found = self._cut_up(plain_texts) if plain else []
+        if odd:
+            encoded = self.tokenizer.encode_batch_fast(odd_texts, add_special_tokens=False)
+            found += [np.asarray(f.ids, "<u4").tobytes() for f in encoded]
+        self.numbers.update(zip(plain + odd, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        ends = self.starts[-1] + np.cumsum([len(f) // 4 for f in found])
         self.starts = np.concatenate([self.starts, ends])
-        self.ids = np.concatenate([self.ids, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -191,7 +276,8 @@ class WordIds:
         if fresh:
             self._learn(fresh)
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        begin, size = self.starts[number], self.starts[number + 1] - self.starts[number]
+        begin = self.starts[number]
+        size = self.starts[number + 1] - begin
         ends = np.cumsum(size)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
         bounds = np.cumsum([0] + [len(x) for x in lists])

@@ -243,6 +243,30 @@ def test_planes_round_trip(unit, count):
         bitplanes.PlaneReader(opened(b"x" * 100))
 
 
+def test_pieces_cut_here_are_the_librarys(monkeypatch):
+    """Every sign below U+0260 alone and between others, mixed strings, and a worker that forgets its pieces."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bitplanes, "PIECES", 200)
+    monkeypatch.setattr(bitplanes, "CACHED", 3000)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        definition = file.read()
+    library, words = Tokenizer.from_str(definition), bitplanes.WordIds(definition)
+    signs = [chr(c) for c in range(1, 0x260)]
+    pool = [*signs, "<|endoftext|>", "<", "'s", "'LL", "\u0301", "\u03a3", "\u65e5", "\u3000", *"abST12.,' " * 8]
+    rng = random.Random(3)
+    texts = [t for c in signs for t in (c, f"a{c}b", f".{c}.", f"1{c}2")] + ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(4000)]
+    for begin in range(0, len(texts), 500):
+        part = texts[begin:begin + 500]
+        ids, counts = words.encode([t.encode() for t in part])
+        wanted = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in wanted]
+        assert ids.tolist() == [i for w in wanted for i in w]
+    assert words.simple("word") and len(words.young) <= 100 + 500 * 13
+
+
 def test_ids_come_back_from_files_in_order(spark, library):
     texts = [*HARD, "same", "same"]
     df = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string").withColumn("part", F.lit(1))
