@@ -351,7 +351,8 @@ def read_ids(files: DataFrame, with_ids: bool = False) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("before"))
     # Short rows that stand for whole files: with a stated number they are not merged by their own bytes.
-    placed = files.join(starts, "part").select("part", "path", "before", "ids").repartition(max(1, files.count()), "part")
+    # By path, as the join may have dealt them by part already: Spark drops a second dealing by the same key.
+    placed = files.join(starts, "part").select("part", "path", "before", "ids").repartition(max(1, files.count()), "path")
     kind = files.schema["ids"].dataType.elementType
     fields = [
         T.StructField("id", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
