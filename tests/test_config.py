@@ -22,10 +22,8 @@ def test_stage_hash_moves_only_with_what_the_stage_reads(raw_config):
         scoped_hash(raw_config, "nothing")
 
 
-def test_artifact_names(cfg):
-    assert cfg.artifact_name("cohort", site="X") == f"cohort_X_{cfg.cohort_hash}.parquet"
-    assert cfg.artifact_name("gaps", ext="csv", seed=1) == f"gaps_seed1_{cfg.analysis_hash}.csv"
-    assert cfg.artifact_name("balance", scope="split").endswith(f"{cfg.split_hash}.parquet")
+def test_artifacts_carry_the_hash_of_their_stage(cfg):
+    assert [cfg.hash_for(a) for a in ("cohort", "folds", "scores", "gaps")] == [cfg.cohort_hash, cfg.split_hash, cfg.model_hash, cfg.analysis_hash]
     with pytest.raises(ConfigError):
         cfg.drive_path("nowhere")
 

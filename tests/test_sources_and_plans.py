@@ -22,7 +22,7 @@ from cohortgauge.plans.report import PlanError, render_analysis_plan
 from cohortgauge.plans.study import Study
 from cohortgauge.sources import imagecache as ic
 from cohortgauge.sources.imagecache import CacheError
-from cohortgauge.sources.tables import SourceError, field_report, markdown_table, read_label_jsonl, record_report, scan_union, write_parquet
+from cohortgauge.sources.tables import SourceError, field_report, markdown_table, read_label_jsonl, record_report, scan_union
 from site_files import write_anchored, write_paths, write_tokens
 
 SIZE = 8
@@ -315,10 +315,10 @@ def test_study_runs_from_cohorts_to_corrected_results(spark, raw_config, tmp_pat
     study = Study(spark, cfg, str(tmp_path))
     people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
     for site in cfg.site_names:
-        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+        study.put(people.where(F.col("site") == site), "cohorts", "cohort", site=site)
     table, tiers = study.power_gate()
     assert table.count() == 160 and tiers.where("tier = 'primary'").count() == 7
-    plan = spark.read.text(study.path("analysis", "analysis_plan", "md"), wholetext=True).first()["value"]
+    plan = study.catalogue.get_text(study.place("analysis", "analysis_plan", "md"))
     assert cfg.config_hash in plan and "| age_decade |" in plan
     folded = study.assign_folds()
     assert folded.where("fold IS NULL").isEmpty() and folded.count() == people.count()
@@ -329,7 +329,7 @@ def test_study_runs_from_cohorts_to_corrected_results(spark, raw_config, tmp_pat
     assert 0.86 < sensitivity < 0.94
     result = study.analyse(made, tiers, replicates=200)
     assert result.gaps.count() == 2 * 8 * 2 * 3 and result.standardised.count() == 2 * 8 * 2
-    corrected = spark.read.option("header", True).csv(study.path("analysis", "corrected", "csv"))
+    corrected = study.get("analysis", "corrected", "csv")
     assert corrected.where("p_adjusted < p_value").isEmpty()
     assert result.replication().count() == 16 and result.sensitivity([0.01, 0.05]).count() == 32
 
@@ -340,9 +340,9 @@ def test_power_gate_stores_the_summary_that_the_plan_names(spark, raw_config, tm
     study = Study(spark, cfg, str(tmp_path))
     people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
     for site in cfg.site_names:
-        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+        study.put(people.where(F.col("site") == site), "cohorts", "cohort", site=site)
     study.power_gate()
-    stored = spark.read.option("header", True).csv(study.path("analysis", "cohort_summary", "csv"))
+    stored = study.get("analysis", "cohort_summary", "csv")
     assert stored.count() == cells.cohort_summary(study.cohorts()).count() > 0
 
 
@@ -353,7 +353,7 @@ def test_study_goes_from_vectors_to_stored_results(spark, raw_config, tmp_path):
     study = Study(spark, cfg, str(tmp_path))
     people = population.cohort(spark, "/root/testdata/sf0.01").withColumn("config_hash", F.lit(cfg.cohort_hash))
     for site in cfg.site_names:
-        write_parquet(people.where(F.col("site") == site), study.path("cohorts", "cohort", site=site))
+        study.put(people.where(F.col("site") == site), "cohorts", "cohort", site=site)
     study.assign_folds()
     roles = study.roles()
     assert {r["role"] for r in roles.select("role").distinct().collect()} == {"train", "val", "test"}
@@ -379,8 +379,8 @@ def test_study_goes_from_vectors_to_stored_results(spark, raw_config, tmp_path):
     assert moved.where("view = 'all'").count() == 2 * 4 * len(cfg.analysis_labels) and moved.where("fnr_low > fnr OR fnr > fnr_high").isEmpty()
     tiers = spark.createDataFrame([(n, "primary") for n in cfg.analysis_labels], "label string, tier string")
     study.analyse(made, tiers, replicates=200)
-    for name in ("verdict_sensitivity", "replication", "transport_global", "auroc_global", "calibration_report_global"):
-        assert spark.read.option("header", True).csv(study.path("analysis", name, "csv")).count() > 0
+    for name, facets in (("verdict_sensitivity", {}), ("replication", {}), ("transport", {"arm": "global"}), ("auroc", {"arm": "global"}), ("calibration_report", {"arm": "global"})):
+        assert study.get("analysis", name, "csv", **facets).count() > 0
 
 
 def test_patients_with_two_roles_or_none_are_refused(spark):
