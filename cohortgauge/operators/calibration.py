@@ -171,17 +171,18 @@ def require_fitted(params: DataFrame, arm: str = "view") -> DataFrame:
 def apply_temperatures(df: DataFrame, params: DataFrame, keys: list[str] | None = None, arm: str = "global") -> DataFrame:
     """Add ``calibrated``. Under ``view``, a view without its own value uses the pooled one.
 
-    ``params`` should be stored, so that its measured size decides how it is joined.
+    ``params`` has one row per group and view, whatever the rows, and is sent to every task: a join by the
+    few groups would shuffle all rows and put a whole group into one task. Store it, or it is fitted twice.
     """
     keys = keys or FIT_KEYS
     if arm not in ("global", "view"):
         raise CalibrationError(f"unknown calibration arm: {arm!r}")
     pooled = params.where(F.col("view") == POOLED).select(*keys, F.col("temperature").alias("_pooled"))
-    joined = df.join(pooled, keys, "left")
+    joined = df.join(F.broadcast(pooled), keys, "left")
     temperature = F.col("_pooled")
     if arm == "view":
         own = params.where(F.col("view") != POOLED).select(*keys, "view", F.col("temperature").alias("_own"))
-        joined = joined.join(own, [*keys, "view"], "left")
+        joined = joined.join(F.broadcast(own), [*keys, "view"], "left")
         temperature = F.coalesce("_own", "_pooled")
     return joined.withColumn("calibrated", scale_score(F.col("score"), temperature)).drop("_pooled", "_own")
 
@@ -259,7 +260,7 @@ def decide(test: DataFrame, temperatures: DataFrame, thresholds: DataFrame, arm:
     the prediction stays NULL, and the row stays in the table.
     """
     scored = apply_temperatures(test, temperatures, FIT_KEYS, arm)
-    joined = scored.join(thresholds.select(*FIT_KEYS, "threshold"), FIT_KEYS, "left")
+    joined = scored.join(F.broadcast(thresholds.select(*FIT_KEYS, "threshold")), FIT_KEYS, "left")
     above = F.coalesce((F.col("calibrated") >= F.col("threshold")).cast("double"), F.lit(0.0))
     return joined.withColumn("predicted", F.when(F.col("threshold").isNotNull(), above)).drop("threshold")
 

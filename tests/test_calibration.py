@@ -157,3 +157,11 @@ def test_score_curve_counts_as_a_plain_sort_does_for_any_scores(spark):
     for r in score_curve(df, ["k"]).collect():
         assert r["cum_pos"] == int(((scores >= r["score"]) & (truth == 1)).sum()) and r["all_neg"] == int((truth == 0).sum())
         assert r["cum_neg"] == int(((scores >= r["score"]) & (truth == 0)).sum()) and r["n_pos"] == int(((scores == r["score"]) & (truth == 1)).sum())
+
+
+def test_decisions_shuffle_no_rows_for_their_parameters(spark):
+    rows = frame(spark, draw(400, 1.5, 6))
+    for arm in ("global", "view"):
+        temperatures, thresholds = C.calibrate(rows, arm=arm)
+        plan = C.decide(rows, temperatures, thresholds, arm)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
