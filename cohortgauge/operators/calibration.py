@@ -130,7 +130,8 @@ def fit_temperatures(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
             F.sum(z * (p - y)).alias(f"_g{scale}"), F.sum(z * z * p * (1.0 - p)).alias(f"_h{scale}")
         ]
 
-    scored = rows.join(pooled, keys).join(by_view, [*keys, "view"], "left")
+    # A row per group against any number of rows: sent to the tasks, so that no row is shuffled and no group meets in one task.
+    scored = rows.join(F.broadcast(pooled), keys).join(F.broadcast(by_view), [*keys, "view"], "left")
     totals = scored.groupBy(*keys, "view", "_pooled", "_own").agg(*sums("_pooled"), *sums("_own"))
     whole = totals.groupBy(*keys, "_pooled").agg(
         F.sum("_g_pooled").alias("_g"), F.sum("_h_pooled").alias("_h")

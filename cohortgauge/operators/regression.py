@@ -95,7 +95,8 @@ def fit_logistic(df: DataFrame, keys: list[str], features: dict[str, Column], ta
     design = [F.lit(1.0), *[F.col(n) for n in names]]
     k = len(design)
     p = F.when(F.col("_y").isNotNull(), sigmoid(_dot(names, betas)))
-    joined = rows.join(start, keys).withColumn("_p", p)
+    # One row per group, sent to the tasks: a join by the few groups would put a whole group into one task.
+    joined = rows.join(F.broadcast(start), keys).withColumn("_p", p)
     sums = [F.sum(design[i] * (F.col("_y") - F.col("_p"))).alias(f"_g{i}") for i in range(k)]
     sums += [
         F.sum(design[i] * design[j] * F.col("_p") * (1.0 - F.col("_p"))).alias(f"_h{i}_{j}")

@@ -165,3 +165,12 @@ def test_decisions_shuffle_no_rows_for_their_parameters(spark):
         temperatures, thresholds = C.calibrate(rows, arm=arm)
         plan = C.decide(rows, temperatures, thresholds, arm)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_last_newton_steps_shuffle_no_rows(spark):
+    rows = frame(spark, draw(400, 1.5, 7))
+    plan = C.fit_temperatures(rows)._jdf.queryExecution().sparkPlan().toString()
+    # The one merge left is of the parameters themselves.
+    assert plan.count("BroadcastHashJoin") == 4 and plan.count("SortMergeJoin") == 1
+    plan = C.calibration_slope(rows, KEYS)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan
