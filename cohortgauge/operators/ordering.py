@@ -122,7 +122,8 @@ def score_bucket(score: Column) -> Column:
     return F.coalesce(F.when(F.isnan(score), F.lit(BUCKETS)).otherwise(F.floor(unit * BUCKETS).cast("int")), F.lit(BUCKETS))
 
 
-def score_curve(df: DataFrame, keys: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
+def score_curve(df: DataFrame, keys: list[str], score: str = "score", truth: str = "truth",
+                sides: dict[str, Column] | None = None) -> DataFrame:
     """Class counts at and above every distinct score.
 
     One row per ``keys`` and score: ``n_pos``/``n_neg`` at the score, ``cum_pos``/
@@ -130,26 +131,31 @@ def score_curve(df: DataFrame, keys: list[str], score: str = "score", truth: str
     together before anything is sorted, so a value held by a third of all rows costs one
     row. Buckets with fixed edges cut each group into ordered pieces; their counts are at most
     ``BUCKETS`` + 1 rows a group, and nothing is sampled, stored or run before the result is.
+
+    ``sides`` maps suffixes to conditions: the six counts then exist once for each, over the rows
+    where it holds. Overlapping selections share the rows of the curve instead of having a curve each.
     """
+    sides = {"": F.lit(True)} if sides is None else sides
+    classes = [(f"{kind}{s}", F.count_if((F.col(truth) == value) & holds)) for s, holds in sides.items() for kind, value in (("pos", 1), ("neg", 0))]
+    names = [name for name, _ in classes]
     folded = (
         df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
         .groupBy(*keys, score_bucket(F.col(score)).alias("_bucket"), F.col(score).alias("score"))
-        .agg(F.count_if(F.col(truth) == 1).alias("n_pos"), F.count_if(F.col(truth) == 0).alias("n_neg"))
+        .agg(*[count.alias(f"n_{name}") for name, count in classes])
     )
     group = W.partitionBy(*keys)
     above = group.orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
-    offsets = folded.groupBy(*keys, "_bucket").agg(F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n")).select(
-        *keys, "_bucket", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_pos_above"),
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_neg_above"),
-        F.sum("_p").over(group).alias("all_pos"), F.sum("_n").over(group).alias("all_neg"),
+    offsets = folded.groupBy(*keys, "_bucket").agg(*[F.sum(f"n_{n}").alias(f"_{n}") for n in names]).select(
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_{n}_above") for n in names],
+        *[F.sum(f"_{n}").over(group).alias(f"all_{n}") for n in names],
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
     return (
-        folded.withColumn("_cp", F.sum("n_pos").over(inside)).withColumn("_cn", F.sum("n_neg").over(inside))
+        folded.select("*", *[F.sum(f"n_{n}").over(inside).alias(f"_{n}_inside") for n in names])
         .join(offsets, [*keys, "_bucket"])
         .select(
-            *keys, "score", "n_pos", "n_neg", (F.col("_cp") + F.col("_pos_above")).alias("cum_pos"),
-            (F.col("_cn") + F.col("_neg_above")).alias("cum_neg"), "all_pos", "all_neg",
+            *keys, "score", *[f"n_{n}" for n in names],
+            *[(F.col(f"_{n}_inside") + F.col(f"_{n}_above")).alias(f"cum_{n}") for n in names], *[f"all_{n}" for n in names],
         )
     )
 
