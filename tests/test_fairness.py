@@ -275,3 +275,23 @@ def test_corrections_against_their_definitions(spark, p):
     assert all(abs(got[i]["p_adjusted"] - holm[i]) < 1e-12 and got[i]["reject"] == (holm[i] < 0.05) for i in range(m))
     got = {r["i"]: r["p_adjusted"] for r in multiplicity.benjamini_hochberg(df, ties=["i"]).collect()}
     assert all(abs(got[i] - bh[i]) < 1e-12 for i in range(m))
+
+
+def test_all_levels_share_one_curve_and_measure_as_alone(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (g, "L", ("Female", "Male", None)[i % 3], ("<65", ">=65")[i % 2] if g == "s" else None, float(np.round(rng.random(), 2)), float(rng.random() < 0.4))
+        for g in "st" for i in range(120)
+    ] + [("u", "L", "Male", "<65", 0.5, 1.0), ("v", "L", None, None, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "site string, label string, sex string, age_group string, score double, truth double")
+    gaps = D.auroc_gap(df, CONTRASTS)
+    plan = gaps._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Window"), "rows are copied for every contrast before the curve"
+    got = {(r["site"], r["stratum"]): r for r in gaps.collect()}
+    assert set(got) == {("s", "sex"), ("s", "age_group"), ("t", "sex"), ("u", "sex"), ("u", "age_group")}
+    for (site, stratum), row in got.items():
+        for side, level in zip("ab", CONTRASTS[stratum], strict=True):
+            alone = D.curve_measures(df.where((df["site"] == site) & (df[stratum] == level)), ["site"]).first()
+            for name in ("n_positive", "n_negative", "auroc"):
+                want = alone[name] if alone else None
+                assert row[f"{name}_{side}"] == (pytest.approx(want, abs=1e-12) if want is not None else None)
