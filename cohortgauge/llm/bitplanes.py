@@ -13,11 +13,15 @@ reader can fetch any block by ranges.
 
 from __future__ import annotations
 
+import array
+import itertools
 import json
 import re
 import struct
+import sys
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,16 +159,16 @@ class PlaneReader:
             held = joined[length:]
 
 
-def _simple_classes() -> tuple[str, str, str]:
+def _simple_classes(without: str = "") -> tuple[str, str, str]:
     """Letters, digits and other signs below U+0250, as the insides of character classes.
 
-    These are plain signs: composing leaves them alone. White space, controls and capitals whose
+    Signs of ``without`` are left out. These are plain signs: composing leaves them alone. White space, controls and capitals whose
     lower case is two signs or lies beyond are not among them.
     """
     kinds: dict[str, list[str]] = {"L": [], "N": [], "": []}
     for sign in map(chr, range(0x21, 0x250)):
         kind = unicodedata.category(sign)
-        if kind[0] not in "CZ" and len(sign.lower()) == 1 and sign.lower() < "\u0250":
+        if sign not in without and kind[0] not in "CZ" and len(sign.lower()) == 1 and sign.lower() < "\u0250":
             kinds[kind[0] if kind[0] in "LN" else ""].append(sign)
     letters, digits, others = ("".join(map(re.escape, signs)) for signs in kinds.values())
     return letters, digits, others
@@ -197,8 +201,7 @@ class WordIds:
         spec = json.loads(definition)
         letters, digits, others = _simple_classes()
         lead = "".join({t["content"][:1] for t in spec["added_tokens"]})
-        self.simple = re.compile(rf"[{letters}{digits}{others}]+" if self._cuts(spec) else r"(?!)").fullmatch
-        self.special = re.compile(f"[{re.escape(lead)}]" if lead else r"(?!)").search
+        self.simple = re.compile(rf"[{''.join(_simple_classes(lead))}]+" if self._cuts(spec) else r"(?!)").fullmatch
         self.cut = re.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^ {letters}{digits}]+")
         self.letters = byte_letters()
         # Packed ids: bytes are no containers, so the garbage collector does not walk through them.
@@ -220,7 +223,8 @@ class WordIds:
         )
 
     def _empty(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        # Numbers in the order of looking up: a new word gets the next one without being asked for first.
+        self.numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _piece(self, piece: str) -> bytes:
@@ -230,7 +234,7 @@ class WordIds:
             # Printable ASCII stands for itself among the letters of bytes.
             spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
             ids = [t.id for t in self.model.tokenize(spelt)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = array.array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
         if len(self.young) >= PIECES // 2:
             self.old, self.young = self.young, {}
         self.young[piece] = found
@@ -248,38 +252,39 @@ class WordIds:
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, plain_texts, odd, odd_texts = [], [], [], []
-        for word in words:
-            text = word.decode()
-            if self.simple(text) and not self.special(text):
-                plain.append(word)
-                plain_texts.append(text)
-            else:
-                odd.append(word)
-                odd_texts.append(text)
-        found = self._cut_up(plain_texts) if plain else []
+        """Ids of the words numbered last, in the order of their numbers."""
+        texts = b"\n".join(words).decode().split("\n")
+        simple = list(map(self.simple, texts))
+        found = self._cut_up([t for t, m in zip(texts, simple, strict=True) if m])
+        odd = [t for t, m in zip(texts, simple, strict=True) if not m]
         if odd:
-            encoded = self.tokenizer.encode_batch_fast(odd_texts, add_special_tokens=False)
-            found += [np.asarray(f.ids, "<u4").tobytes() for f in encoded]
-        self.numbers.update(zip(plain + odd, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
-        ends = self.starts[-1] + np.cumsum([len(f) // 4 for f in found])
+            encoded = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            cut, whole = iter(found), (np.asarray(f.ids, "<u4").tobytes() for f in encoded)
+            found = [next(cut) if m else next(whole) for m in simple]
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
         self.starts = np.concatenate([self.starts, ends])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         lists = [t.split() for t in texts]
-        words = [w for x in lists for w in x]
+        words = list(itertools.chain.from_iterable(lists))
         if len(self.numbers) > CACHED:
             self._empty()
-        fresh = list({*words} - self.numbers.keys())
-        if fresh:
-            self._learn(fresh)
+        known = len(self.numbers)
         number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > known:
+            fresh = list(itertools.islice(reversed(self.numbers), len(self.numbers) - known))
+            try:
+                self._learn(fresh[::-1])
+            except BaseException:
+                self._empty()  # a numbered word without ids must not outlive the failure
+                raise
         begin = self.starts[number]
         size = self.starts[number + 1] - begin
         ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+        place = np.repeat(begin - (ends - size), size)
+        place += np.arange(len(place))
         bounds = np.cumsum([0] + [len(x) for x in lists])
         total = np.append(0, ends)[bounds]
         return self.ids[place], np.diff(total)

@@ -267,6 +267,21 @@ def test_pieces_cut_here_are_the_librarys(monkeypatch):
     assert words.simple("word") and len(words.young) <= 100 + 500 * 13
 
 
+def test_new_words_are_looked_up_once_and_a_failure_leaves_none_half_known():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        words = bitplanes.WordIds(file.read())
+    first, counts = words.encode(["one two \u6f22\u5b57 one".encode(), b"", b"three<s> two"])
+    # In the order of the text, words encoded whole among the cut ones: each is numbered by its one look-up.
+    assert list(words.numbers) == [b"one", b"two", "\u6f22\u5b57".encode(), b"three<s>"] and len(words.starts) == 5
+    with pytest.raises(UnicodeDecodeError):
+        words.encode([b"one four \xff"])
+    assert not words.numbers
+    again, same = words.encode(["one two \u6f22\u5b57 one".encode(), b"", b"three<s> two"])
+    assert again.tolist() == first.tolist() and same.tolist() == counts.tolist()
+
+
 def test_ids_come_back_from_files_in_order(spark, library):
     texts = [*HARD, "same", "same"]
     df = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string").withColumn("part", F.lit(1))
