@@ -18,7 +18,7 @@ is left to a min-label contraction over the nodes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -191,21 +191,22 @@ def _shard_mapper(radius: int):
     return run
 
 
-def classes(links: DataFrame, left: str = "value", right: str = "root") -> DataFrame:
+def classes(links: DataFrame, left: str = "value", right: str = "root", bounds: Sequence[DataFrame] = ()) -> DataFrame:
     """``node, label``: the smallest node of each connected class, for nodes with a link.
 
     Every round each node takes the smallest label around it and then the label of that
     label, so chains halve. Labels are stored each round; minima are aggregated before the
-    shuffle, and a join splits the rows of a node that many others name.
+    shuffle, and a join splits the rows of a node that many others name. ``bounds`` are stored
+    tables that the links are no larger than.
     """
     edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", *bounds)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", both)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        after = stored(lower.join(jump, F.col("label") == F.col("at")).select("node", "was", F.col("next").alias("label")), "labels")
+        after = stored(lower.join(jump, F.col("label") == F.col("at")).select("node", "was", F.col("next").alias("label")), "labels", both)
         discard(labels)
         labels = after.drop("was")
         if after.where("label <> was").isEmpty():

@@ -241,7 +241,7 @@ def _only(rows: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
 def _joined(rows: DataFrame, nodes: DataFrame, turn: str, width: int, similarity: float, labels: DataFrame | None) -> DataFrame:
     """The labels after one turn. What the turn stored is deleted with the labels before it."""
     links, used = _partners(rows, nodes, turn, width, similarity, labels)
-    after = classes(links)
+    after = classes(links, bounds=[*used, *([labels] if labels is not None else [])])
     discard(*used, *([labels] if labels is not None else []))
     return after
 
@@ -264,9 +264,9 @@ def _partners(
     held = [F.bit_xor(F.xxhash64("same", F.lit(k))).alias(f"held{k}") for k in range(2)]
     several = placed.groupBy("shard").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(weight).alias("all"), F.count(F.lit(1)).alias("n"), *held)
     several = several.where("low <> high").groupBy("held0", "held1", "n").agg(F.min("shard").alias("shard"), F.first("all").alias("all"))
-    several = stored(several.select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards")
+    several = stored(several.select("shard", F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks")), "shards", nodes)
     member = placed.join(several, "shard").groupBy("id", "mark", "same", "value", "label").agg(F.collect_set(F.struct("shard", "blocks")).alias("in_shards"))
-    member = stored(member.withColumnsRenamed({"id": "its", "mark": "own"}), "members")
+    member = stored(member.withColumnsRenamed({"id": "its", "mark": "own"}), "members", nodes, several)
     with_text = _only(rows, member, "inner").select("same", "value", "label", "text", F.explode("in_shards").alias("of"))
     block = F.pmod(F.xxhash64("same"), F.col("of.blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("of.blocks") - 1))
@@ -284,7 +284,7 @@ def _shared(sets: DataFrame) -> DataFrame:
     """``name, often``: the names that nodes of several classes have, and how many nodes."""
     each = sets.select("class", F.explode("names").alias("name"))
     counted = each.groupBy("name").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("often"))
-    return stored(counted.where("low <> high").select("name", "often"), "shared")
+    return stored(counted.where("low <> high").select("name", "often"), "shared", sets)
 
 
 def _open(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -296,7 +296,7 @@ def _open(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> D
     shared = _shared(sets)
     met = sets.select("same", F.explode("names").alias("name")).join(shared, "name").groupBy("same").agg(F.count(F.lit(1)).alias("met"))
     left = sets.join(met, "same", "left").where(F.size("names") - F.coalesce("met", F.lit(0)) <= spare).select("same")
-    left = stored(left.join(nodes, "same"), "open")
+    left = stored(left.join(nodes, "same"), "open", sets, nodes)
     discard(sets, shared)
     # The same with all names.
     heads = left.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own"))
@@ -307,7 +307,7 @@ def _open(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> D
     common = each.groupBy("same", "shingles").agg(F.array_sort(F.collect_list(F.struct("often", "name"))).alias("common"))
     rarest = spare + 1 - (F.col("shingles") - F.size("common"))
     first = F.slice(F.col("common.name"), F.lit(1), rarest.cast("int")).alias("exact")
-    found = stored(left.join(common.where(rarest > 0).select("same", first), "same"), "rarest")
+    found = stored(left.join(common.where(rarest > 0).select("same", first), "same"), "rarest", left, sets)
     discard(left, sets, shared)
     return found
 
@@ -331,7 +331,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     sketched = stored(rows.mapInArrow(_sketch_rows(width, similarity), T.StructType(kinds + made)), "sketches")
     head = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "mark")).alias("head")
     nodes = sketched.groupBy("same").agg(head, *[F.first(c).alias(c) for c in ("value", "shingles", *TURNS)])
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes, "nodes", sketched)
     discard(sketched)
     labels = None
     for turn in TURNS:
@@ -339,6 +339,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     open_nodes = _open(rows, _with_labels(nodes, labels), width, similarity)
     labels = _joined(rows, open_nodes, "exact", width, similarity, labels)
     classed = nodes.join(labels, F.col("same") == F.col("node"), "left").groupBy(F.coalesce("label", "same")).agg(F.min("head").alias("head"))
-    kept = stored(classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own")), "kept")
+    kept = stored(classed.select(F.col("head.id").alias("its"), F.col("head.mark").alias("own")), "kept", nodes, labels)
     discard(open_nodes, labels, nodes)
     return unpacked(_only(marked.drop("text"), kept, "left_semi"), docs.columns)

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of stored tables for one task and file of a table made of them, and files a core that are written all the same.
+FILE_BYTES, FILES_A_CORE = 4 << 20, 3
 #: Frees the shuffle files of a finished job, so that a chain of jobs holds one job's files at a time.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -47,14 +49,27 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def file_count(*tables: DataFrame) -> int:
+    """Files for a table that is no larger than the stored ``tables`` it is made of."""
+    spark, size = tables[0].sparkSession, 0
+    for parent in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+
+
+def stored(df: DataFrame, name: str, *bounds: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and continue from its rows.
 
     The table cuts the lineage: a lost executor costs a reread, and what was decided
-    before the write cannot come out differently afterwards.
+    before the write cannot come out differently afterwards. ``bounds`` names stored tables that
+    ``df`` is made of and no larger than: then it has as many files as their bytes ask for, at most,
+    and not one for every shuffle partition. A file costs its executor several processes on a local disk.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if bounds:
+        df = df.coalesce(file_count(*bounds))
     with _setting(spark, SHUFFLE_CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cohortgauge.llm import fences, qgrams, recompression, simhash, simhash_texts
+from cohortgauge.llm import fences, qgrams, recompression, simhash, simhash_texts, tables
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -254,6 +254,33 @@ def test_exact_turn_alone_finds_all_classes(spark, monkeypatch, block):
     assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == jaccard_classes(texts, 0.8)
 
 
+def test_stored_tables_have_files_by_their_bytes_not_by_partitions(spark, monkeypatch):
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, written = {k: spark.conf.get(k, None) for k in keys}, {}
+
+    def noted(df, name, *bounds):
+        table = tables.stored(df, name, *bounds)
+        written[name] = max(written.get(name, 0), len(table.inputFiles()))
+        return table
+
+    for module in (simhash, simhash_texts):
+        monkeypatch.setattr(module, "stored", noted)
+    texts = near_copies() + missed_by_keys()
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert {r["doc_id"] for r in simhash_texts.keep_one(docs(spark, texts)).collect()} == jaccard_classes(texts, 0.8)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    least = tables.FILES_A_CORE * spark.sparkContext.defaultParallelism
+    few = {"nodes", "shards", "members", "links", "labels", "shared", "open", "rarest", "kept"}
+    assert few <= set(written) and max(written[n] for n in few) <= least < 40
+    monkeypatch.setattr(tables, "FILE_BYTES", 100)
+    large = tables.stored(spark.range(10_000), "numbers")
+    assert tables.file_count(large) > least, "larger tables have more files"
+
+
 def test_equal_rows_and_null_ids_keep_one(spark):
     text = " ".join(prose(9, 50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (None, "only this"), (None, "only this")], "doc_id long, text string")
