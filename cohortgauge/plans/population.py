@@ -57,13 +57,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _dealt(df: DataFrame, key: str) -> DataFrame:
-    """The narrow columns the population is hashed from, over all cores.
+#: Bytes of a table's files for one task, some 60,000 to 110,000 orders or line items.
+DEALT_BYTES = 1 << 20
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str) -> DataFrame:
+    """The narrow columns the population is hashed from, over all cores and over as many tasks as the table's bytes ask for.
 
     The made-up labels cost some thirty digests a row; a file with one row group would be
-    hashed by one task. This is the fixture's own cost and stays out of the operators.
+    hashed by one task. This is the fixture's own cost and stays out of the operators. What a task
+    folds before the next shuffle stays in its memory, so larger tables get more tasks, not larger ones.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // DEALT_BYTES))
+    return table(spark, sf_dir, name).select(*columns).repartition(tasks, key)
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +83,9 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = _dealt(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_orderkey")
     return (
-        _dealt(orders, "o_orderkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -297,7 +305,7 @@ def flagged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as a badly assembled cohort: every contract finds something."""
     used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"]
-    return _dealt(table(spark, sf_dir, "lineitem").select(*used), "l_partkey").selectExpr(
+    return _dealt(spark, sf_dir, "lineitem", used, "l_partkey").selectExpr(
         """CASE WHEN l_quantity = 50 THEN cast(null as string) WHEN l_orderkey % 100 = 7 THEN '  '
            ELSE cast(l_orderkey as string) END AS patient_id""",
         """CASE WHEN l_linenumber = 1 THEN concat('S', l_suppkey)

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohortgauge.plans import oracle, registry
+from cohortgauge.plans import oracle, population, registry
 
 SMALL = "/root/testdata/sf0.001"
 # An iterative fit over long vectors.
@@ -18,6 +19,17 @@ def test_every_query_has_sql_or_a_reason():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_larger_tables_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id o_orderkey", "id % 7 o_custkey", "'F' o_orderstatus").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    size = sum(p.stat().st_size for p in tmp_path.rglob("part-*.parquet"))
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    dealt = lambda: population._dealt(spark, str(tmp_path), "orders", columns, "o_orderkey")
+    assert dealt().rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(population, "DEALT_BYTES", size // 20)
+    sizes = dealt().groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert 15 <= len(sizes) <= 25 and sizes.sum() == 2000 and sizes.max() < 200
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 160
 
